@@ -16,6 +16,7 @@ from riskframe.functions.exprs import d
 from riskframe.operators.neighbors import _matrix, assign, block_pairs, knn, make_cells, measure, radius_visits
 from riskframe.operators.profile import vector_summary
 from riskframe.operators.quantiles import quantiles
+from riskframe.operators.ranking import running_totals
 from riskframe.session import stage
 
 
@@ -104,18 +105,18 @@ def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str =
 
     def count(l, r):
         if not len(l) or not len(r):
-            return pd.DataFrame({"lid": [], "n": []})
+            return pd.DataFrame({"lid": l["lid"][:0], "n": np.zeros(0, dtype=np.int64)})
         return pd.DataFrame({"lid": l["lid"], "n": _within(_matrix(l["f"]), _matrix(r["f"]), eps) @ r["w"].to_numpy()})
 
-    counts = block_pairs(visits, placed, cells, block_rows).applyInPandas(count, T.StructType().add("lid", key_type).add("n", "bigint"))
+    counts = block_pairs(visits, placed, cells, block_rows).applyInPandas(count, T.StructType().add("lid", key_type).add("n", T.LongType()))
     state = stage(counts.groupBy("lid").agg((F.sum("n") >= min_samples).cast("int").alias("core")))
     core_placed = stage(placed.join(state.filter("core = 1").select(F.col("lid").alias("vid")), "vid", "left_semi"))
     flagged = stage(visits.join(state, "lid").select("lid", "f", "core", "cell"))
-    pair = T.StructType().add("a", key_type).add("b", key_type).add("border", "int")
+    pair = T.StructType().add("a", key_type).add("b", key_type).add("border", T.IntegerType())
 
     def forest(l, r):
         if not len(l) or not len(r):
-            return pd.DataFrame({"a": [], "b": [], "border": []})
+            return pd.DataFrame({"a": l["lid"][:0], "b": l["lid"][:0], "border": np.zeros(0, dtype=np.int32)})
         adj = _within(_matrix(l["f"]), _matrix(r["f"]), eps)
         lk, rk, core = l["lid"].to_numpy(), r["vid"].to_numpy(), l["core"].to_numpy() == 1
         left, right = _block_components(adj[core])
@@ -132,8 +133,6 @@ def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str =
     links = stage(block_pairs(flagged, core_placed, cells, block_rows).applyInPandas(forest, pair))
     nodes = state.filter("core = 1").select(F.col("lid").alias("v"))
     comp = _connected(links.filter("border = 0").select("a", "b"), nodes)
-    from riskframe.operators.ranking import running_totals
-
     heads = comp.select(F.col("c").alias("head")).distinct().withColumn("one", F.lit(1))
     number = running_totals(heads, "head", ["one"]).select(F.col("head").alias("c"), (F.col("cum_one") - 1).cast("bigint").alias("cluster"))
     named = comp.join(number, "c").select("v", "cluster")
@@ -175,7 +174,7 @@ def fit_isolation(
     sample = min(sample, n)
     limit = min(1.0, 2.0 * sample / n)
     h = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(key)).alias("h")))
-    edge = int(-(2**63) + limit * (2**64 - 1))
+    edge = min(2**63 - 1, int(-(2**63) + limit * 2**64))
     picked = df.select(F.col(feat).cast("array<double>").alias("f"), F.explode(F.filter(h, lambda s: s["h"] <= F.lit(edge))).alias("s"))
     rank = F.row_number().over(Window.partitionBy("s.tree").orderBy("s.h"))
     rows = picked.withColumn("r", rank).filter(F.col("r") <= sample).select(F.col("s.tree").alias("tree"), "f")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +53,25 @@ def tokens(text: Column, ngram: int = 1) -> Column:
 
 
 def text_counts(df: DataFrame, col: str, dim: int = 64, ngram: int = 1, out: str = "tf") -> DataFrame:
-    """Token counts per hash bucket, inside the row: no token leaves its document, so nothing is shuffled."""
+    """Token counts per hash bucket, inside the row: no token leaves its document, so nothing is shuffled.
+
+    Tokens are hashed in the JVM; only the bucket numbers go through Arrow to be counted.
+    """
+
+    @F.pandas_udf("array<double>")
+    def count(buckets: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(b, minlength=dim).astype(np.float64) for b in buckets])
+
     buckets = F.transform(tokens(F.col(col), ngram), lambda t: (hex_int(F.md5(t.cast("binary"))) % dim).cast("int"))
-    b = df.withColumn("__b", buckets)
-    count = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(F.col("__b"), lambda x: x == i)).cast("double"))
-    return b.withColumn(out, count).drop("__b")
+    return df.withColumn(out, count(F.coalesce(buckets, F.array().cast("array<int>"))))
 
 
 def fit_text(df: DataFrame, col: str, dim: int = 64, ngram: int = 1) -> list[float]:
     """idf per bucket: ln((1 + N) / (1 + df)) + 1."""
-    import math
-
     tf = text_counts(df, col, dim, ngram)
-    row = tf.agg(F.count("*").alias("n"), *[F.count_if(F.col("tf")[i] > 0).alias(f"b{i}") for i in range(dim)]).first()
-    return [math.log((1 + row["n"]) / (1 + row[f"b{i}"])) + 1 for i in range(dim)]
+    hit = F.transform("tf", lambda x: (x > 0).cast("double"))
+    row = tf.select(array_to_vector(hit).alias("v")).agg(F.count("*").alias("n"), Summarizer.sum(F.col("v")).alias("df")).first()
+    return [math.log((1 + row["n"]) / (1 + x)) + 1 for x in row["df"].toArray()]
 
 
 def text_embedding(df: DataFrame, col: str, idf: list[float], ngram: int = 1, out: str = "features") -> DataFrame:

@@ -31,10 +31,10 @@ def anova_f(df: DataFrame, label: str = "target", k: int | None = None, col: str
     c = class_moments(df, label, col)
     n, m = F.col("n").cast("double"), F.col("mean")
     s = c.groupBy("pos").agg(
-        F.sum(n).alias("N"), F.count("*").alias("k"), F.sum(n * m).alias("t"), F.sum(n * m * m).alias("q"), F.sum(n * F.col("var")).alias("ssw")
+        F.sum(n).alias("whole"), F.count("*").alias("k"), F.sum(n * m).alias("t"), F.sum(n * m * m).alias("q"), F.sum(n * F.col("var")).alias("ssw")
     )
-    ssb = F.col("q") - F.col("t") * F.col("t") / F.col("N")
-    f = safe_div(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
+    ssb = F.col("q") - F.col("t") * F.col("t") / F.col("whole")
+    f = safe_div(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("whole") - F.col("k")))
     return top_k(s.select("pos", f.alias("score")), k) if k else s.select("pos", f.alias("score"), F.lit(1).alias("selected"))
 
 
@@ -56,8 +56,8 @@ def chi2_scores(df: DataFrame, label: str = "target", n: int = 5, col: str = "fe
     )
     per = vector_summary(df.withColumn("__code", code), [label], "__code")
     rows = per.select(label, "n", F.posexplode("mean").alias("pos", "mean")).withColumn("obs", F.col("mean") * F.col("n"))
-    tot = rows.groupBy("pos").agg(F.sum("obs").alias("total"), F.sum("n").alias("N"))
-    e = F.col("n") / F.col("N") * F.col("total")
+    tot = rows.groupBy("pos").agg(F.sum("obs").alias("total"), F.sum("n").alias("whole"))
+    e = F.col("n") / F.col("whole") * F.col("total")
     stat = rows.join(tot, "pos").groupBy("pos").agg(
         F.sum(safe_div((F.col("obs") - e) * (F.col("obs") - e), e)).alias("score"), F.max("total").alias("total")
     )

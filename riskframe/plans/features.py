@@ -27,7 +27,7 @@ STATS_SQL = """, s AS (SELECT id, avg(x) AS m, stddev_pop(x) AS sd, max(x) AS mx
 )
 def _(spark, sf):
     out = build.row_stats(frames.vec(spark, sf)).select("id", *build.ROW_STATS)
-    return rounded(out, build.ROW_STATS).withColumn("row_cv", F.round("row_cv", 4))
+    return rounded(out, build.ROW_STATS[:-1]).withColumn("row_cv", F.round("row_cv", 4))
 
 
 @query(
@@ -80,11 +80,12 @@ CROSS_SQL = ", ".join([*CROSS, *[f"{a} * {b}" for i, a in enumerate(CROSS) for b
 
 @query(
     "polynomial_crosses",
-    with_sql(COMPANY_SQL) + f"SELECT company_id, unnest(generate_series(0, 9))::int AS pos, round(unnest([{CROSS_SQL}]), 6) AS v FROM company",
+    with_sql(COMPANY_SQL) + f"SELECT company_id, unnest(generate_series(0, 9))::int AS pos, round(unnest([{CROSS_SQL}]) + 1e-10::double, 6) AS v FROM company",
 )
 def _(spark, sf):
     df = schema.assemble(frames.company(spark, sf), CROSS)
-    return long(build.crosses(df, len(CROSS)), "company_id", "crosses")
+    cells = build.crosses(df, len(CROSS)).select("company_id", F.posexplode("crosses").alias("pos", "v"))
+    return cells.withColumn("v", r6(F.col("v") + d(frames.TIE)))
 
 
 # ---- embedding columns

@@ -17,10 +17,11 @@ S = with_sql(SCORED_SQL)
 # ---- votes and cascades
 
 
-@query("soft_vote", S + "SELECT id, round((p_a + p_b) / 2, 6) AS p_vote, ((p_a + p_b) / 2 >= 0.5)::int AS prediction FROM scored")
+@query("soft_vote", S + "SELECT id, round((p_a + p_b) / 2 + 1e-10::double, 6) AS p_vote, ((p_a + p_b) / 2 >= 0.5)::int AS prediction FROM scored")
 def _(spark, sf):
     out = ensemble.soft_vote(frames.scored(spark, sf), ["p_a", "p_b"])
-    return rounded(thresholds.apply_threshold(out, "p_vote", 0.5), ["p_vote"]).select("id", "p_vote", "prediction")
+    out = thresholds.apply_threshold(out, "p_vote", 0.5)
+    return out.select("id", r6(F.col("p_vote") + d(frames.TIE)).alias("p_vote"), "prediction")
 
 
 @query("hard_vote", S + "SELECT id, round_even(((p_a >= 0.5)::int + (p_b >= 0.5)::int) / 2, 0)::int AS vote FROM scored")
@@ -31,10 +32,11 @@ def _(spark, sf):
 
 @query(
     "weighted_vote",
-    S + "SELECT id, round(0.3::double * p_a + 0.7::double * p_b, 6) AS p_weighted, (0.3::double * p_a + 0.7::double * p_b >= 0.5)::int AS vote FROM scored",
+    S + "SELECT id, round(0.3::double * p_a + 0.7::double * p_b + 1e-10::double, 6) AS p_weighted, (0.3::double * p_a + 0.7::double * p_b >= 0.5)::int AS vote FROM scored",
 )
 def _(spark, sf):
-    return rounded(ensemble.weighted_vote(frames.scored(spark, sf), ["p_a", "p_b"], [0.3, 0.7]), ["p_weighted"]).select("id", "p_weighted", "vote")
+    out = ensemble.weighted_vote(frames.scored(spark, sf), ["p_a", "p_b"], [0.3, 0.7])
+    return out.select("id", r6(F.col("p_weighted") + d(frames.TIE)).alias("p_weighted"), "vote")
 
 
 def auc_sql(p, frame="scored", y="y"):

@@ -74,13 +74,22 @@ if __name__ == "__main__":
     con = oracle_connection(sf)
     qs, sqls = e.queries(), e.oracle_sql()
     want = sys.argv[1:]
+    import signal
+
+    def stop(*_):
+        raise TimeoutError("query took too long")
+
+    signal.signal(signal.SIGALRM, stop)
+    limit = int(os.environ.get("LIMIT", "90"))
     for name, fn in qs.items():
+        signal.alarm(limit)
         if want and not any(w in name for w in want):
             continue
         try:
             s, n, t, msg = run_one(spark, con, sf, name, fn, sqls.get(name))
             print(f"{s:5} {t:6.2f}s {n:8d} {name} {msg[:600]}", flush=True)
         except Exception as x:
+            spark.sparkContext.cancelAllJobs()
             print(f"FAIL  {name}: {str(x)[:900]}", flush=True)
             if os.environ.get("TB"):
                 traceback.print_exc()
