@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from riskframe.plans import basic, features, scores  # noqa: F401
+from riskframe.plans import basic, features, learn, rebalance, scores  # noqa: F401
 from riskframe.plans.registry import ORACLES, QUERIES  # noqa: F401
