@@ -91,15 +91,11 @@ def _estimator(kind: str, params: dict, width: int, weight: bool, valid: str | N
     seed = p.get("seed", 42)
     subset = str(p["colsample"]) if "colsample" in p else None
     if kind == "gbt":
-        e = GBTClassifier(
-            **common, maxIter=p.get("rounds", 20), maxDepth=p.get("depth", 5), stepSize=p.get("lr", 0.1), subsamplingRate=p.get("subsample", 1.0), seed=seed
+        stop = {"validationIndicatorCol": valid, "validationTol": p.get("tol", 0.01)} if valid else {}
+        return GBTClassifier(
+            **common, **stop, maxIter=p.get("rounds", 20), maxDepth=p.get("depth", 5), stepSize=p.get("lr", 0.1),
+            subsamplingRate=p.get("subsample", 1.0), featureSubsetStrategy=subset or "all", seed=seed,
         )
-        if subset:
-            e.setFeatureSubsetStrategy(subset)
-        if valid:
-            e.setValidationIndicatorCol(valid)
-            e.setValidationTol(p.get("tol", 0.01))
-        return e
     if kind == "rf":
         return RandomForestClassifier(
             **common, numTrees=p.get("trees", 100), maxDepth=p.get("depth", 8), subsamplingRate=p.get("subsample", 1.0),
@@ -193,13 +189,15 @@ def _fit_adaboost(df, label, params, weight, col):
                 now.withColumn("__v", array_to_vector("features"))
             )
             root = stump._java_obj.rootNode()
-            if stump.depth == 0:
-                break
-            f, t = root.split().featureIndex(), root.split().threshold()
-            lo, hi = (2 * root.leftChild().prediction() - 1, 2 * root.rightChild().prediction() - 1)
+            if stump.depth == 0:  # no split beats the majority class: a constant vote, which shifts the weights
+                f, t = 0, 1e308
+                lo = hi = 2 * root.prediction() - 1
+            else:
+                f, t = root.split().featureIndex(), root.split().threshold()
+                lo, hi = (2 * root.leftChild().prediction() - 1, 2 * root.rightChild().prediction() - 1)
             vote = F.when(F.get("features", F.lit(f)) <= d(t), d(lo)).otherwise(d(hi))
             err = round_error(now, F.col("w"), vote * (F.col("y") * d(2) - d(1)) < 0)
-            if err >= 0.5 and state["f"]:
+            if err >= 0.5:
                 break
             alpha = lr * math.log((1 - max(err, 1e-10)) / max(err, 1e-10))
             for k, v in (("f", float(f)), ("t", t), ("lo", lo), ("hi", hi), ("alpha", alpha)):
@@ -209,7 +207,7 @@ def _fit_adaboost(df, label, params, weight, col):
     finally:
         rows.unpersist()
     if not state["f"]:
-        raise ValueError("no stump separates the classes")
+        raise ValueError("no stump is better than chance")
     width = int(max(state["f"])) + 1
     imp = np.bincount(np.array(state["f"], dtype=int), weights=np.maximum(state["alpha"], 0), minlength=width)
     state["importances"] = (imp / imp.sum()).tolist() if imp.sum() > 0 else imp.tolist()

@@ -19,7 +19,7 @@ from riskframe.operators.schema import slice_features
 from riskframe.operators.select import anova_f, selected_positions, top_k
 from riskframe.session import stage
 
-PARALLEL = 4  # Spark jobs of independent fits run side by side
+PARALLEL = 8  # Spark jobs of independent fits run side by side
 
 
 def run_all(spark, tasks: list):
@@ -30,7 +30,8 @@ def run_all(spark, tasks: list):
 
 def holdout(train: DataFrame, test: DataFrame, label: str, kind: str, params: dict | None = None, t: float = 0.5, **fit) -> DataFrame:
     """Fit on train, all metrics on test."""
-    return metrics.evaluate(fit_model(train, label, kind, params, **fit).score(test), label, "p", t)
+    scored = fit_model(train, label, kind, params, **fit).score(test)
+    return metrics.evaluate(stage(scored.select(label, "p")), label, "p", t)  # scored once, read several times
 
 
 def one_metric(scored: DataFrame, label: str, p: str, metric: str) -> float:
@@ -48,15 +49,22 @@ def one_metric(scored: DataFrame, label: str, p: str, metric: str) -> float:
 def cv_scores(df: DataFrame, label: str, kind: str, params: dict | None = None, folds: int = 3, metric: str = "auc", seed: int = 42, key: str = "id") -> list[float]:
     """One score per stratified fold; folds are fitted side by side."""
     f = df if "fold" in df.columns else stage(fold_ids(df, label, folds, seed, key))
+    return run_all(df.sparkSession, [fold_task(f, i, label, kind, params, metric, key) for i in range(folds)])
 
-    def fold(i):
-        def run():
-            m = fit_model(f.filter(F.col("fold") != i), label, kind, params, key=key)
-            return one_metric(m.score(f.filter(F.col("fold") == i)), label, "p", metric)
 
-        return run
+def fold_task(f: DataFrame, i: int, label: str, kind: str, params: dict | None, metric: str, key: str):
+    def run():
+        m = fit_model(f.filter(F.col("fold") != i), label, kind, params, key=key)
+        return one_metric(m.score(f.filter(F.col("fold") == i)), label, "p", metric)
 
-    return run_all(df.sparkSession, [fold(i) for i in range(folds)])
+    return run
+
+
+def subset_scores(f: DataFrame, subsets: list[list[int]], label: str, kind: str, params, folds: int, key: str) -> list[float]:
+    """Mean cross-validated AUC of several feature subsets; all fits of all folds share one pool."""
+    tasks = [fold_task(slice_features(f, cols), i, label, kind, params, "auc", key) for cols in subsets for i in range(folds)]
+    s = run_all(f.sparkSession, tasks)
+    return [sum(s[j * folds : (j + 1) * folds]) / folds for j in range(len(subsets))]
 
 
 def cv_score(df, label, kind, params=None, folds=3, metric="auc", seed=42, key="id") -> DataFrame:
@@ -167,14 +175,10 @@ def rfecv(df, label, kind="logreg", params=None, folds=3, step=5, min_features=5
     """Elimination order from the full data; the number kept is the one with the best cross-validated AUC."""
     order = rfe(df, label, kind, params, min_features, step, key)["rank"]
     f = stage(fold_ids(df.select(key, "features", label), label, folds, seed, key))
-    history = {}
-    for cut in sorted(set(order)):
-        cols = [c for c, r in enumerate(order) if r <= cut]
-        s = cv_scores(slice_features(f, cols), label, kind, params, folds, "auc", seed, key)
-        history[len(cols)] = sum(s) / len(s)
-    best = max(history, key=lambda n: (history[n], -n))
-    cols = next([c for c, r in enumerate(order) if r <= cut] for cut in sorted(set(order)) if sum(r <= cut for r in order) == best)
-    return {"selected": cols, "history": history}
+    subsets = [[c for c, r in enumerate(order) if r <= cut] for cut in sorted(set(order))]
+    scores = subset_scores(f, subsets, label, kind, params, folds, key)
+    best = max(range(len(subsets)), key=lambda j: (scores[j], -len(subsets[j])))
+    return {"selected": subsets[best], "history": {len(c): s for c, s in zip(subsets, scores)}}
 
 
 def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5, cap=50, seed=42, key="id") -> dict:
@@ -186,11 +190,8 @@ def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5
     width = len(f.select("features").first()[0])
     chosen, left, history = [], list(range(width)), []
     while left and len(chosen) < cap:
-        scores = []
-        for c in left:
-            s = cv_scores(slice_features(f, [*chosen, c]), label, kind, params, folds, "auc", seed, key)
-            scores.append((sum(s) / len(s), c))
-        top, best = max(scores)
+        scores = subset_scores(f, [[*chosen, c] for c in left], label, kind, params, folds, key)
+        top, best = max(zip(scores, left))
         if history and top <= max(history) and len(chosen) >= min_features:
             break
         chosen.append(best)
@@ -204,9 +205,7 @@ def search_k(df, label, ks=(30, 50, 80, 100), kind="logreg", params=None, folds=
     """Cross-validated AUC of the k best features by F statistic, for each k: ``(k, auc, best)``."""
     f = stage(fold_ids(df.select(key, "features", label), label, folds, seed, key))
     imp = stage(anova_f(f, label).select("pos", "score"))
-    out = []
-    for k in ks:
-        s = cv_scores(slice_features(f, selected_positions(top_k(imp, k))), label, kind, params, folds, "auc", seed, key)
-        out.append((int(k), sum(s) / len(s)))
+    subsets = [selected_positions(top_k(imp, k)) for k in ks]
+    out = [(int(k), s) for k, s in zip(ks, subset_scores(f, subsets, label, kind, params, folds, key))]
     best = max(out, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame([(k, a, int(k == best)) for k, a in out], "k int, auc double, best int")

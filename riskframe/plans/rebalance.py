@@ -224,12 +224,12 @@ def _(spark, sf):
 
 @query(
     "synthetic_quality_filter",
-    V + ", " + SMOTE_SQL + ", " + nn_sql("q", "syn", "vec", 5, False) + " SELECT id, round(avg(dist), 6) AS mean_dist FROM q GROUP BY 1 HAVING avg(dist) < 0.75",
+    V + ", " + SMOTE_SQL + ", " + nn_sql("q", "syn", "vec", 5, False) + " SELECT id, round(avg(dist), 6) AS mean_dist FROM q GROUP BY 1 HAVING avg(dist) < 0.95",
 )
 def _(spark, sf):
     v = frames.vec(spark, sf)
     made = sample.smote(v, "target").filter("synthetic = 1")
-    return rounded(sample.quality_filter(made, v, 5, 0.75), ["mean_dist"]).select("id", "mean_dist")
+    return rounded(sample.quality_filter(made, v, 5, 0.95), ["mean_dist"]).select("id", "mean_dist")
 
 
 def _noise_sql(view):
