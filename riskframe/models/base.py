@@ -233,7 +233,7 @@ def _fit_gnb(df, label, params, col):
     v = {c: np.array(per[c]["var"]) for c in (0, 1)}
     mean = (n[0] * m[0] + n[1] * m[1]) / total
     whole = sum(n[c] * (v[c] + (m[c] - mean) ** 2) for c in (0, 1)) / total
-    eps = params.get("smoothing", 1e-9) * float(whole.max())
+    eps = params.get("smoothing", 1e-9) * (float(whole.max()) or 1.0)  # constant features only: keep the variance positive
     return Model("gnb", state={"prior": [n[0] / total, n[1] / total], "mean": [m[c].tolist() for c in (0, 1)], "var": [(v[c] + eps).tolist() for c in (0, 1)]}, col=col)
 
 

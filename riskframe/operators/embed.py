@@ -66,16 +66,23 @@ def text_counts(df: DataFrame, col: str, dim: int = 64, ngram: int = 1, out: str
     return df.withColumn(out, count(F.coalesce(buckets, F.array().cast("array<int>"))))
 
 
-def fit_text(df: DataFrame, col: str, dim: int = 64, ngram: int = 1) -> list[float]:
-    """idf per bucket: ln((1 + N) / (1 + df)) + 1."""
-    tf = text_counts(df, col, dim, ngram)
-    hit = F.transform("tf", lambda x: (x > 0).cast("double"))
-    row = tf.select(array_to_vector(hit).alias("v")).agg(F.count("*").alias("n"), Summarizer.sum(F.col("v")).alias("df")).first()
+def fit_idf(counted: DataFrame, tf: str = "tf") -> list[float]:
+    """idf per bucket from counted documents: ln((1 + N) / (1 + df)) + 1."""
+    hit = F.transform(tf, lambda x: (x > 0).cast("double"))
+    row = counted.select(array_to_vector(hit).alias("v")).agg(F.count("*").alias("n"), Summarizer.sum(F.col("v")).alias("df")).first()
     return [math.log((1 + row["n"]) / (1 + x)) + 1 for x in row["df"].toArray()]
 
 
+def apply_idf(counted: DataFrame, idf: list[float], tf: str = "tf", out: str = "features") -> DataFrame:
+    """Weighted counts, L2-normalised; text without tokens gives zeros."""
+    w = counted.withColumn("__w", F.zip_with(tf, lit_array(idf), lambda a, b: a * b)).withColumn("__n", l2_norm(F.col("__w")))
+    return w.withColumn(out, F.transform("__w", lambda x: F.when(F.col("__n") == 0, d(0)).otherwise(x / F.col("__n")))).drop(tf, "__w", "__n")
+
+
+def fit_text(df: DataFrame, col: str, dim: int = 64, ngram: int = 1) -> list[float]:
+    return fit_idf(text_counts(df, col, dim, ngram))
+
+
 def text_embedding(df: DataFrame, col: str, idf: list[float], ngram: int = 1, out: str = "features") -> DataFrame:
-    """Hashed tf-idf vector, L2-normalised; text without tokens gives zeros."""
-    tf = text_counts(df, col, len(idf), ngram, "__tf")
-    w = tf.withColumn("__w", F.zip_with("__tf", lit_array(idf), lambda a, b: a * b)).withColumn("__n", l2_norm(F.col("__w")))
-    return w.withColumn(out, F.transform("__w", lambda x: F.when(F.col("__n") == 0, d(0)).otherwise(x / F.col("__n")))).drop("__tf", "__w", "__n")
+    """Hashed tf-idf vector of each text. Count once (``text_counts``) to fit and apply on the same rows."""
+    return apply_idf(text_counts(df, col, len(idf), ngram, "__tf"), idf, "__tf", out)

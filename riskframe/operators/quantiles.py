@@ -1,8 +1,9 @@
-"""Exact linear-interpolation quantiles by repeated bracketing.
+"""Exact linear-interpolation quantiles by bracketing.
 
-A single exact aggregate would hold every distinct value in one task. Here a mergeable sketch brackets
-each wanted rank, the next pass looks only inside the bracket, and so on until the bracket is small
-enough to be read exactly. Two passes for small data, three or four for very large data.
+A single exact aggregate would hold every distinct value in one task. Here a mergeable sketch brackets each
+wanted rank; the last pass counts what lies below and at the bracket's ends and reads only the values
+strictly inside, whose number the sketch's error bounds. Two passes up to about 10^8 rows, two more for
+every further factor of a thousand.
 """
 
 from __future__ import annotations
@@ -13,17 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import lit_array
-from riskframe.operators.ranking import running_totals
 
-SMALL = 50_000  # values held by one exact read
+SMALL = 200_000  # values held by one exact read
 ACCURACY = 10_000
+MARGIN = 2.0 / ACCURACY  # bracket half-width as a share of the rows: twice the sketch error
+SHARE = 2 * (MARGIN + 1.0 / ACCURACY)  # largest share of rows strictly inside a bracket
 CHUNK = 60  # columns per aggregate
 
 
-def _percentile_value(lo_v, hi_v, frac):
-    return lo_v + (hi_v - lo_v) * frac
-
-
 def quantiles(df: DataFrame, cols: dict[str, Column] | list[str], qs: list[float], accuracy: int | None = None, small: int = SMALL):
     """``{column: [value per q]}``; nulls are skipped. ``accuracy`` switches to one sketch pass."""
     exprs = {c: F.col(c) for c in cols} if not isinstance(cols, dict) else cols
@@ -35,91 +33,97 @@ def quantiles(df: DataFrame, cols: dict[str, Column] | list[str], qs: list[float
     return out
 
 
-def _by_counts(values: DataFrame, k: int):
-    """Values at 0-based ranks k and k + 1, from one row per distinct value."""
-    hist = values.groupBy("x").agg(F.count("*").alias("n"))
-    cum = running_totals(hist, "x", ["n"])
-    row = cum.agg(F.min(F.when(F.col("cum_n") > k, F.col("x"))), F.min(F.when(F.col("cum_n") > k + 1, F.col("x")))).first()
-    return row[0], row[1]
-
-
 def _sketch(df, exprs, qs, accuracy):
     row = df.agg(*[F.percentile_approx(c.cast("double"), lit_array(qs), accuracy).alias(n) for n, c in exprs.items()]).first()
     return {n: list(row[n]) if row[n] is not None else [None] * len(qs) for n in exprs}
 
 
+def _probes(p: float) -> list[float]:
+    return [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+
+
 def _exact(df, exprs, qs, small):
     names = list(exprs)
+    ids = range(len(names))
     base = df.select(*[exprs[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    counts = base.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    if max([counts[i] for i in range(len(names))], default=0) <= small:
-        row = base.agg(*[F.percentile(f"x{i}", lit_array(qs)).alias(f"p{i}") for i in range(len(names))]).first()
+    probes = lit_array([p for q in qs for p in _probes(q)])
+    row = base.agg(
+        *[F.count(f"x{i}").alias(f"n{i}") for i in ids], *[F.percentile_approx(f"x{i}", probes, ACCURACY).alias(f"b{i}") for i in ids]
+    ).first()
+    if max(row[f"n{i}"] for i in ids) <= small:
+        row = base.agg(*[F.percentile(f"x{i}", lit_array(qs)).alias(f"p{i}") for i in ids]).first()
         return {n: (list(row[i]) if row[i] is not None else [None] * len(qs)) for i, n in enumerate(names)}
 
-    state = {}  # (column, quantile) -> bracket
-    for i in range(len(names)):
+    state = {}  # (column, quantile) -> bracket [lo, hi] around 0-based rank k
+    for i in ids:
+        n = row[f"n{i}"]
         for j, q in enumerate(qs):
-            n = counts[i]
             if n:
                 h = q * (n - 1)
-                state[i, j] = {"lo": None, "hi": None, "below": 0, "inside": n, "k": math.floor(h), "frac": h - math.floor(h)}
-
-    def inside(i, s):
-        c = F.col(f"x{i}")
-        cond = c.isNotNull()
-        if s["lo"] is not None:
-            cond = cond & (c >= F.lit(s["lo"])) & (c <= F.lit(s["hi"]))
-        return cond
-
-    open_ = {k: s for k, s in state.items() if s["inside"] > small}
-    while open_:
-        aggs = []
-        for (i, j), s in open_.items():
-            rank = s["k"] - s["below"]
-            eps = 2.0 / ACCURACY
-            p = [max(0.0, rank / s["inside"] - eps), min(1.0, (rank + 2) / s["inside"] + eps)]
-            aggs.append(F.percentile_approx(F.when(inside(i, s), F.col(f"x{i}")), p, ACCURACY).alias(f"b{i}_{j}"))
-        row = base.agg(*aggs).first()
-        for (i, j), s in open_.items():
-            s["lo"], s["hi"] = row[f"b{i}_{j}"]
-        row = base.agg(
-            *[F.count_if(F.col(f"x{i}") < F.lit(s["lo"])).alias(f"b{i}_{j}") for (i, j), s in open_.items()],
-            *[F.count_if(inside(i, s)).alias(f"n{i}_{j}") for (i, j), s in open_.items()],
-        ).first()
-        nxt = {}
-        for (i, j), s in open_.items():
-            before = s["inside"]
-            s["below"], s["inside"] = row[f"b{i}_{j}"], row[f"n{i}_{j}"]
-            if not s["below"] <= s["k"] < s["below"] + s["inside"]:
-                raise RuntimeError("quantile bracket lost its rank")
-            if s["lo"] != s["hi"] and s["inside"] > small:
-                if s["inside"] < before:
-                    nxt[i, j] = s
-                else:  # a few values hold most rows: count per value instead of bracketing further
-                    s["pair"] = _by_counts(base.filter(inside(i, s)).select(F.col(f"x{i}").alias("x")), s["k"] - s["below"])
-        open_ = nxt
+                lo, hi = row[f"b{i}"][2 * j : 2 * j + 2]
+                state[i, j] = {"lo": lo, "hi": hi, "k": math.floor(h), "frac": h - math.floor(h), "inside": n * SHARE}
+    wide = {k: s for k, s in state.items() if s["inside"] > small}
+    while wide:
+        wide = _narrow(base, wide, small)
 
     aggs = []
     for (i, j), s in state.items():
-        c = F.col(f"x{i}")
-        if "pair" not in s and (s["lo"] is None or s["lo"] != s["hi"]):
-            vals = F.sort_array(F.collect_list(F.when(inside(i, s), c)))
-            k = s["k"] - s["below"]
-            aggs.append(F.slice(vals, k + 1, 2).alias(f"v{i}_{j}"))
-        above = F.min(F.when(c > F.lit(s["hi"]), c)) if s["hi"] is not None else F.lit(None).cast("double")
-        aggs.append(above.alias(f"a{i}_{j}"))
+        c, lo, hi = F.col(f"x{i}"), F.lit(s["lo"]), F.lit(s["hi"])
+        aggs += [
+            F.count_if(c < lo).alias(f"below{i}_{j}"),
+            F.count_if(c == lo).alias(f"lo{i}_{j}"),
+            F.count_if((c == hi) & (c > lo)).alias(f"hi{i}_{j}"),
+            F.sort_array(F.collect_list(F.when((c > lo) & (c < hi), c))).alias(f"in{i}_{j}"),
+            F.min(F.when(c > hi, c)).alias(f"above{i}_{j}"),
+        ]
     row = base.agg(*aggs).first() if aggs else {}
     out = {n: [None] * len(qs) for n in names}
     for (i, j), s in state.items():
-        if "pair" in s:
-            v0, v1 = s["pair"]
-            v1 = row[f"a{i}_{j}"] if v1 is None else v1
-        elif s["lo"] is not None and s["lo"] == s["hi"]:
-            v0 = s["lo"]
-            v1 = s["lo"] if s["k"] + 1 < s["below"] + s["inside"] else row[f"a{i}_{j}"]
-        else:
-            vals = row[f"v{i}_{j}"]
-            v0 = vals[0]
-            v1 = vals[1] if len(vals) > 1 else row[f"a{i}_{j}"]
-        out[names[i]][j] = v0 if (s["frac"] == 0 or v1 is None) else _percentile_value(v0, v1, s["frac"])
+
+        def at(r):
+            r -= row[f"below{i}_{j}"]
+            if r < 0:
+                raise RuntimeError("quantile bracket lost its rank")
+            inner = row[f"in{i}_{j}"]
+            for count, value in ((row[f"lo{i}_{j}"], s["lo"]), (len(inner), None), (row[f"hi{i}_{j}"], s["hi"])):
+                if r < count:
+                    return inner[r] if value is None else value
+                r -= count
+            return row[f"above{i}_{j}"]
+
+        v0 = at(s["k"])
+        out[names[i]][j] = v0 if s["frac"] == 0 else v0 + (at(s["k"] + 1) - v0) * s["frac"]
     return out
+
+
+def _narrow(base: DataFrame, wide: dict, small: int) -> dict:
+    """One more bracketing round, looking only at values strictly inside the brackets.
+
+    A rank that turns out to sit on a bracket end is resolved: the bracket closes on that value.
+    """
+    inner = lambda i, s: (F.col(f"x{i}") > F.lit(s["lo"])) & (F.col(f"x{i}") < F.lit(s["hi"]))
+    row = base.agg(
+        *[F.count_if(F.col(f"x{i}") <= F.lit(s["lo"])).alias(f"upto{i}_{j}") for (i, j), s in wide.items()],
+        *[F.count_if(inner(i, s)).alias(f"n{i}_{j}") for (i, j), s in wide.items()],
+    ).first()
+    live = {}
+    for (i, j), s in wide.items():
+        r, n = s["k"] - row[f"upto{i}_{j}"], row[f"n{i}_{j}"]
+        if r < 0:  # both wanted ranks lie at the lower end, or the upper one just above it
+            s["hi"], s["inside"] = s["lo"], 0
+        elif r >= n:
+            s["lo"], s["inside"] = s["hi"], 0
+        elif n > small:
+            live[i, j] = (s, r / n, n)
+    if not live:
+        return {}
+    row = base.agg(
+        *[F.percentile_approx(F.when(inner(i, s), F.col(f"x{i}")), lit_array(_probes(p)), ACCURACY).alias(f"b{i}_{j}") for (i, j), (s, p, _) in live.items()]
+    ).first()
+    nxt = {}
+    for (i, j), (s, _, n) in live.items():
+        s["lo"], s["hi"] = row[f"b{i}_{j}"]
+        s["inside"] = n * SHARE
+        if s["inside"] > small and s["lo"] < s["hi"]:
+            nxt[i, j] = s
+    return nxt

@@ -83,7 +83,7 @@ FILLED_SQL = ", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in NUMERIC
 @query("clean_table_sink", with_sql(COMPANY_SQL) + f"SELECT company_id, {FILLED_SQL}, target FROM company, (SELECT {MEANS_SQL} FROM company)")
 def _(spark, sf):
     path = scratch(spark)
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     io.write_table(clean.apply_impute(df, clean.fit_impute(df, NUMERIC)), path)
     return rounded(io.read_parquet(spark, path), NUMERIC)
 
@@ -169,7 +169,7 @@ def _(spark, sf):
     with_sql(COMPANY_SQL) + "SELECT company_id, urgent_avg, (urgent_avg > 2.5)::int AS label FROM company WHERE urgent_avg IS NOT NULL",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", "urgent_avg", (F.col("urgent_avg") > d(2.5)).cast("int").alias("label"))
+    df = frames.company_table(spark, sf, "company_id", "urgent_avg", (F.col("urgent_avg") > d(2.5)).cast("int").alias("label"))
     return schema.drop_null_label(df, "label")
 
 
@@ -200,7 +200,7 @@ LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     + " OR ".join(f"(n_{c} = n AND s_{c} > 0 AND abs(({c} - m_{c}) / s_{c}) > 2.5)" for c in NUMERIC),
 )
 def _(spark, sf):
-    return schema.outliers_z(frames.company(spark, sf), NUMERIC).select("company_id")
+    return schema.outliers_z(frames.company_table(spark, sf, "company_id", *NUMERIC), NUMERIC).select("company_id")
 
 
 @query(
@@ -212,7 +212,7 @@ def _(spark, sf):
     + " OR ".join(f"coalesce({c} < q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) OR {c} > q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]), false)" for c in NUMERIC),
 )
 def _(spark, sf):
-    return schema.outliers_iqr(frames.company(spark, sf), NUMERIC).select("company_id")
+    return schema.outliers_iqr(frames.company_table(spark, sf, "company_id", *NUMERIC), NUMERIC).select("company_id")
 
 
 @query(
@@ -329,7 +329,7 @@ def _impute_sql(stat):
 
 def _impute(strategy):
     def run(spark, sf):
-        df = frames.company(spark, sf).select("company_id", *NUMERIC)
+        df = frames.company_table(spark, sf, "company_id", *NUMERIC)
         return rounded(clean.apply_impute(df, clean.fit_impute(df, NUMERIC, strategy)), NUMERIC)
 
     return run
@@ -341,7 +341,7 @@ query("median_impute", _impute_sql("median"))(_impute("median"))
 
 @query("constant_impute", with_sql(COMPANY_SQL) + "SELECT company_id, coalesce(seg, 'missing') AS seg, coalesce(urgent_status, 'missing') AS urgent_status FROM company")
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *STRINGS)
+    df = frames.company_table(spark, sf, "company_id", *STRINGS)
     return clean.apply_impute(df, clean.fit_impute(df, STRINGS, "constant", "missing"))
 
 
@@ -373,7 +373,7 @@ COMPANY_KNN_SQL = (
     + COMPANY_KNN_SQL,
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *NUMERIC)
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC)
     return rounded(clean.knn_impute(df, df, NUMERIC, 5, "company_id"), NUMERIC)
 
 
@@ -410,7 +410,7 @@ def _(spark, sf):
     + " FROM company",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *STRINGS)
+    df = frames.company_table(spark, sf, "company_id", *STRINGS)
     return encode.apply_label(df, encode.fit_label(df, STRINGS))
 
 
@@ -426,7 +426,7 @@ def _onehot_sql(first):
 
 def _onehot(drop):
     def run(spark, sf):
-        df = frames.company(spark, sf).select("company_id", *STRINGS)
+        df = frames.company_table(spark, sf, "company_id", *STRINGS)
         return encode.apply_onehot(df, encode.fit_onehot(df, STRINGS, drop))
 
     return run
@@ -444,7 +444,7 @@ query("onehot_ignore_unknown", _onehot_sql(0))(_onehot(False))
     SELECT company_id, round(enc, 6) AS urgent_status_target_encoded FROM company JOIN m ON coalesce(urgent_status, 'nan') = v""",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", "urgent_status", "target")
+    df = frames.company_table(spark, sf, "company_id", "urgent_status", "target")
     out = encode.apply_target(df, encode.fit_target(df, "urgent_status", "target"))
     return out.select("company_id", r6("urgent_status_target_encoded").alias("urgent_status_target_encoded"))
 
@@ -458,7 +458,7 @@ def _(spark, sf):
     FROM company LEFT JOIN m ON coalesce(urgent_status, 'nan') = v, (SELECT avg(enc) AS u FROM m)""",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", "urgent_status", "target")
+    df = frames.company_table(spark, sf, "company_id", "urgent_status", "target")
     fit = encode.fit_target(df.filter(~F.col("urgent_status").eqNullSafe("P")), "urgent_status", "target")
     return encode.apply_target(df, fit).select("company_id", r6("urgent_status_target_encoded").alias("enc"))
 
@@ -483,7 +483,7 @@ def _code_sql(c):
     with_sql(COMPANY_SQL, _edges_sql(5)) + "SELECT company_id, " + ", ".join(f"{_code_sql(c)} AS {c}" for c in BIN_COLS) + " FROM company, " + ", ".join(f"e_{c}" for c in BIN_COLS),
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *BIN_COLS)
+    df = frames.company_table(spark, sf, "company_id", *BIN_COLS)
     return encode.apply_bins(df, encode.fit_bins(df, BIN_COLS, 5))
 
 
@@ -497,7 +497,7 @@ def _(spark, sf):
     + " FROM company)",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *BIN_COLS)
+    df = frames.company_table(spark, sf, "company_id", *BIN_COLS)
     return encode.apply_bins(df, encode.fit_bins(df, BIN_COLS, 5, "uniform"))
 
 
@@ -511,7 +511,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *BIN_COLS)
+    df = frames.company_table(spark, sf, "company_id", *BIN_COLS)
     out = encode.apply_bins(df, encode.fit_bins(df, BIN_COLS, 10), "onehot")
     parts = [long(out.select("company_id", F.lit(c).alias("feature"), c), "company_id", c, "feature") for c in BIN_COLS]
     return parts[0].unionByName(parts[1])
@@ -528,7 +528,7 @@ def _(spark, sf):
     FROM company JOIN m ON coalesce(urgent_status, 'nan') = v JOIN s ON coalesce(seg, 'nan') = sv, e_sum_price, e_n_orders""",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf)
+    df = frames.company_table(spark, sf, "company_id", "avg_disc", "n_orders", "sum_price", "seg", "urgent_status", "target")
     fit = encode.fit_hierarchy(df, ["avg_disc"], [r"sum_", r"n_ord"], [r"seg$", r"urgent_s"], "target")
     return rounded(encode.apply_hierarchy(df, fit, ["company_id"]), ["seg_target_encoded", "urgent_status_target_encoded"])
 
@@ -548,7 +548,7 @@ TYPED_BLOCKS += [f"(coalesce(urgent_status, 'missing') = '{s}')::int::double" fo
     + f" FROM f) SELECT company_id, unnest(generate_series(0, {len(TYPED_BLOCKS) - 1}))::int AS pos, round(unnest([{', '.join(TYPED_BLOCKS)}]), 6) AS v FROM f, st",
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, *STRINGS, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, *STRINGS, "target")
     return long(encode.apply_typed(df, encode.fit_typed(df, "company_id", "target"), ["company_id"]), "company_id", "features")
 
 
@@ -559,7 +559,7 @@ SCALED = ["sum_price", "avg_disc", "ret_share", "n_orders"]
 
 def _scaled(kind):
     def run(spark, sf):
-        df = frames.company(spark, sf).select("company_id", *SCALED)
+        df = frames.company_table(spark, sf, "company_id", *SCALED)
         return rounded(scale.apply_scale(df, scale.fit_scale(df, SCALED, kind)), SCALED)
 
     return run
@@ -593,7 +593,7 @@ def _grid_sql(c):
     ),
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *SCALED)
+    df = frames.company_table(spark, sf, "company_id", *SCALED)
     out = scale.apply_scale(df, scale.fit_scale(df, SCALED, "quantile"))
     return rounded(out.unpivot("company_id", SCALED, "feature", "value"), ["value"])
 
@@ -618,7 +618,7 @@ def _power_ll(c):
     + " UNION ALL ".join(f"SELECT company_id, '{c}' AS feature, lam, round((z - m) / s, 6) AS value FROM t_{c} JOIN b_{c} USING (lam)" for c in SCALED),
 )
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *SCALED)
+    df = frames.company_table(spark, sf, "company_id", *SCALED)
     fit = scale.fit_scale(df, SCALED, "power")
     out = scale.apply_scale(df, fit).unpivot("company_id", SCALED, "feature", "value")
     lam = F.lit(None).cast("double")

@@ -9,6 +9,7 @@ from riskframe.operators import build, cluster, embed, project, schema, select
 from riskframe.operators.profile import vector_summary
 from riskframe.plans.basic import FISHER_SQL, VEC_LONG_SQL, long, rounded
 from riskframe.plans.registry import query
+from riskframe.session import stage
 from riskframe.sources import frames
 from riskframe.sources.frames import COMPANY_SQL, NUMERIC, VEC_SQL, with_sql
 
@@ -113,7 +114,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = frames.docs(spark, sf).select("doc_id", "text")
-    out = embed.text_embedding(df, "text", embed.fit_text(df, "text", 64))
+    counted = stage(embed.text_counts(df, "text", 64).select("doc_id", "tf"))  # texts are read and hashed once
+    out = embed.apply_idf(counted, embed.fit_idf(counted))
     return long(out, "doc_id", "features").filter("v != 0")
 
 

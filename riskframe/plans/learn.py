@@ -208,8 +208,9 @@ query("network_weight_importance")(importance(lambda v: search.mlp_importance(v,
 @query("forest_regressor_importance")
 def _(spark, sf):
     """Vector column kept whole; the company numbers compete for the remaining places."""
-    df = clean.apply_impute(frames.company(spark, sf), clean.fit_impute(frames.company(spark, sf), NUMERIC))
-    df = schema.assemble(df, [*NUMERIC, "zero_var"])
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "zero_var", "target")
+    df = schema.assemble(clean.apply_impute(df, clean.fit_impute(df, NUMERIC)), [*NUMERIC, "zero_var"])
+    df = stage(df.select("company_id", "features", "target"))
     imp = search.importance_frame(spark, search.tree_importance(df, "target", "rf_reg", {"trees": 20, "depth": 5}))
     return rounded(select.top_k(imp, 5), ["score"])
 
@@ -245,7 +246,7 @@ def _(spark, sf):
 
 @query("forward_addition")
 def _(spark, sf):
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     df = schema.assemble(clean.apply_impute(df, clean.fit_impute(df, NUMERIC)), NUMERIC).select("company_id", "features", "target")
     out = search.forward_addition(df, "target", "gnb", folds=2, min_features=2, cap=3, key="company_id")
     return _table(spark, out["rank"], out["order"])
@@ -261,7 +262,7 @@ def _(spark, sf):
 
 def company_bundle(spark, sf, **more):
     """Fill, scaling and model fitted on the company numbers."""
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     impute = clean.fit_impute(df, NUMERIC)
     filled = clean.apply_impute(df, impute)
     scaled = scale.fit_scale(filled, NUMERIC, "standard")
@@ -290,7 +291,7 @@ def _(spark, sf):
 @query("aligned_scoring")
 def _(spark, sf):
     """Train with one-hot columns, score a table that lacks one column and has an extra one."""
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, *STRINGS, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, *STRINGS, "target")
     onehot = encode.fit_onehot(df, STRINGS)
     wide = encode.apply_onehot(df, onehot).na.fill(0.0)
     cols = [c for c in wide.columns if c not in ("company_id", "target")]

@@ -313,7 +313,7 @@ FILL_SQL = (
 
 def scorecard(spark, sf):
     """company -> mean fill -> standardise -> weighted sigmoid."""
-    df = frames.company(spark, sf).select("company_id", *NUMERIC, "target")
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     df = clean.apply_impute(df, clean.fit_impute(df, NUMERIC))
     df = scale.apply_scale(df, scale.fit_scale(df, NUMERIC, "standard"))
     return rounded(score.linear_score(df, WEIGHTS), ["p"]).select(F.col("company_id").alias("id"), F.col("target").alias("y"), "p")

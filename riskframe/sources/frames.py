@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d, hash_unit
+from riskframe.session import stage
 
 NUMERIC = ["n_orders", "sum_price", "avg_disc", "max_qty", "ret_share", "urgent_avg", "open_avg"]
 STRINGS = ["seg", "urgent_status"]
@@ -45,7 +46,8 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("n_ret").alias("n_ret"),
             F.avg(F.when(urgent, F.col("o_totalprice"))).alias("urgent"),
             F.avg(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("open"),
-            F.min(F.when(urgent, F.col("o_orderstatus"))).alias("urgent_status"),
+            # status letters as numbers: a string minimum would force a sort-based aggregate
+            F.char(F.min(F.when(urgent, F.ascii("o_orderstatus")))).alias("urgent_status"),
         )
     )
     return (
@@ -69,6 +71,13 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def company_table(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Chosen company columns, written once: fitting and applying both read this small table, so orders and
+    lines are aggregated a single time (and not at all when no column needs them)."""
+    df = company(spark, sf_dir)
+    return stage(df.select(*cols) if cols else df)
+
+
 COMPANY_SQL = """
 company AS (
   SELECT c_custkey AS company_id, c_mktsegment AS seg, c_nationkey AS nation,
