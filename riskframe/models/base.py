@@ -27,6 +27,7 @@ from pyspark.storagelevel import StorageLevel
 from riskframe.functions.exprs import array_sum, d, hash_unit, lit_array
 from riskframe.operators.neighbors import knn
 from riskframe.operators.profile import vector_summary
+from riskframe.session import stage
 
 KINDS = ("gbt", "adaboost", "rf", "brf", "tree", "knn", "logreg", "gnb", "linsvc", "mlp")
 
@@ -151,6 +152,12 @@ def _score_ml(model: Model, df: DataFrame, out: str) -> DataFrame:
 
 # ---- AdaBoost on stumps
 
+RESTAGE = 20  # rounds between writes of the row weights
+
+
+def _tail(state: dict, since: int) -> dict:
+    return {k: state[k][since:] for k in ("f", "t", "lo", "hi", "alpha")}
+
 
 def stump_votes(state: dict, col: str = "features") -> Column:
     """alpha-weighted +1/-1 votes of every stump, as one array."""
@@ -175,16 +182,25 @@ def round_error(rows: DataFrame, w: Column, miss: Column) -> float:
 
 
 def _fit_adaboost(df, label, params, weight, col):
-    """Reweighted depth-1 trees (SAMME). Each round fits one stump and reads one weighted error."""
+    """Reweighted depth-1 trees (SAMME). Each round fits one stump and reads one weighted error.
+
+    Weights are recomputed from the stumps since the last staging, so neither lineage nor the work per row
+    grows with the number of rounds.
+    """
     rounds, lr = params.get("rounds", 50), params.get("lr", 1.0)
     w0 = F.col(weight).cast("double") if weight else d(1)
     rows = df.select(F.col(col).alias("features"), F.col(label).cast("double").alias("y"), w0.alias("w0")).persist(StorageLevel.MEMORY_AND_DISK)
     state: dict = {k: [] for k in ("f", "t", "lo", "hi", "alpha")}
+    since = 0
     try:
-        mean = rows.agg(F.avg("w0")).first()[0]
-        for _ in range(rounds):
-            w = boosted_weight(F.col("w0") / d(mean), F.col("y"), state)
-            now = rows.withColumn("w", w)
+        for i in range(rounds):
+            if i % RESTAGE == 0:
+                mean = rows.agg(F.avg(boosted_weight(F.col("w0"), F.col("y"), _tail(state, since)))).first()[0]
+                if i:
+                    fresh = stage(rows.withColumn("w0", boosted_weight(F.col("w0"), F.col("y"), _tail(state, since)) / d(mean)))
+                    rows.unpersist()
+                    rows, since, mean = fresh, len(state["f"]), 1.0
+            now = rows.withColumn("w", boosted_weight(F.col("w0") / d(mean), F.col("y"), _tail(state, since)))
             stump = DecisionTreeClassifier(featuresCol="__v", labelCol="y", weightCol="w", maxDepth=1, seed=params.get("seed", 42)).fit(
                 now.withColumn("__v", array_to_vector("features"))
             )

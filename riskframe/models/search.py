@@ -7,6 +7,8 @@ import itertools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,28 @@ from riskframe.session import stage
 PARALLEL = 8  # Spark jobs of independent fits run side by side
 
 
+class CompositeEvaluator(Evaluator):
+    """Weighted precision, AUC and recall as a tuning criterion for Spark ML's cross-validation."""
+
+    def __init__(self, label: str = "label", score: str = "p", t: float = 0.5, w_p: float = 20, w_auc: float = 50, w_r: float = 30):
+        super().__init__()
+        self.args = (label, score, t, w_p, w_auc, w_r)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        label, score, t, w_p, w_auc, w_r = self.args
+        if score not in dataset.columns:
+            dataset = dataset.withColumn(score, vector_to_array(score_vector(dataset))[1])
+        m = metrics.evaluate(stage(dataset.select(label, score)), label, score, t).drop("score")
+        return float(metrics.composite(m, w_p, w_auc, w_r).first()["score"])
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def score_vector(df: DataFrame) -> str:
+    return "probability" if "probability" in df.columns else "rawPrediction"
+
+
 def run_all(spark, tasks: list):
     """Run driver-side callables concurrently; each only submits Spark jobs."""
     with ThreadPoolExecutor(PARALLEL) as pool:

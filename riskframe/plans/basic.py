@@ -418,22 +418,23 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 STATUSES = ["F", "O", "P"]
 
 
-def _onehot_sql(first):
+def _onehot_sql(first, statuses):
     flags = [f"(seg = '{s}')::int AS \"seg_{s}\"" for s in SEGMENTS[first:]]
-    flags += [f"coalesce(urgent_status = '{s}', false)::int AS \"urgent_status_{s}\"" for s in STATUSES[first:]]
+    flags += [f"coalesce(urgent_status = '{s}', false)::int AS \"urgent_status_{s}\"" for s in statuses[first:]]
     return with_sql(COMPANY_SQL) + "SELECT company_id, " + ", ".join(flags) + " FROM company"
 
 
-def _onehot(drop):
-    def run(spark, sf):
-        df = frames.company_table(spark, sf, "company_id", *STRINGS)
-        return encode.apply_onehot(df, encode.fit_onehot(df, STRINGS, drop))
-
-    return run
+@query("onehot_drop_first", _onehot_sql(1, STATUSES))
+def _(spark, sf):
+    df = frames.company_table(spark, sf, "company_id", *STRINGS)
+    return encode.apply_onehot(df, encode.fit_onehot(df, STRINGS, True))
 
 
-query("onehot_drop_first", _onehot_sql(1))(_onehot(True))
-query("onehot_ignore_unknown", _onehot_sql(0))(_onehot(False))
+@query("onehot_ignore_unknown", _onehot_sql(0, STATUSES[:2]))
+def _(spark, sf):
+    """Fitted without one status, applied to all rows: the unknown status is all zero."""
+    df = frames.company_table(spark, sf, "company_id", *STRINGS)
+    return encode.apply_onehot(df, encode.fit_onehot(df.filter("urgent_status != 'P'"), STRINGS, False))
 
 
 @query(

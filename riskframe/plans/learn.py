@@ -260,32 +260,32 @@ def _(spark, sf):
 # ---- bundles and batch scoring
 
 
-def company_bundle(spark, sf, **more):
-    """Fill, scaling and model fitted on the company numbers."""
+def company_bundle(spark, sf):
+    """Fill and scaling fitted on the company numbers: (bundle, training rows, company table)."""
     df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     impute = clean.fit_impute(df, NUMERIC)
     filled = clean.apply_impute(df, impute)
     scaled = scale.fit_scale(filled, NUMERIC, "standard")
     train = stage(schema.assemble(scale.apply_scale(filled, scaled), NUMERIC).select("company_id", "features", "target"))
     bundle = {"cols": NUMERIC, "impute": impute, "scale": scaled, "threshold": 0.1}
-    return bundle, train
+    return bundle, train, df
 
 
 @query("batch_scoring")
 def _(spark, sf):
-    bundle, train = company_bundle(spark, sf)
+    bundle, train, df = company_bundle(spark, sf)
     bundle["model"] = fit_model(train, "target", "logreg", key="company_id")
-    return rounded(score.score_batch(frames.company(spark, sf), bundle), ["proba"])
+    return rounded(score.score_batch(df, bundle), ["proba"])
 
 
 @query("cascade_scoring")
 def _(spark, sf):
-    bundle, train = company_bundle(spark, sf)
+    bundle, train, df = company_bundle(spark, sf)
     bundle["positions"] = [0, 1, 2, 4, 5, 6]
     rows = schema.slice_features(train, bundle["positions"])
     bundle["model"] = fit_model(rows, "target", "tree", {"depth": 4}, key="company_id")
     bundle["meta"] = ensembles.fit_meta(bundle["model"].score(rows, "base_p"), "target", "base_p", "gnb", key="company_id")
-    return rounded(score.score_cascade(frames.company(spark, sf), bundle), ["proba"])
+    return rounded(score.score_cascade(df, bundle), ["proba"])
 
 
 @query("aligned_scoring")
@@ -306,14 +306,13 @@ def _(spark, sf):
     """Scores of the saved and reloaded bundle next to those of the live one."""
     from riskframe.models.base import Model
 
-    bundle, train = company_bundle(spark, sf)
+    bundle, train, df = company_bundle(spark, sf)
     bundle["model"] = fit_model(train, "target", "rf", {"trees": 10, "depth": 4}, key="company_id")
     path = scratch(spark)
     parts = bundle["model"].bundle()
     io.save_bundle({**{k: v for k, v in bundle.items() if k != "model"}, **{f"model_{k}": v for k, v in parts.items()}}, path, spark)
     loaded = io.load_bundle(spark, path)
     loaded["model"] = Model.from_bundle({k[6:]: v for k, v in loaded.items() if k.startswith("model_")})
-    df = frames.company(spark, sf)
     live = score.score_batch(df, bundle).select("uuid", F.col("proba").alias("live"))
     back = score.score_batch(df, loaded).select("uuid", F.col("proba").alias("reloaded"))
     return rounded(live.join(back, "uuid"), ["live", "reloaded"])

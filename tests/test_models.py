@@ -118,3 +118,25 @@ def test_default_threshold(planted):
 
     df = planted.select(F.col("id").alias("company_id"), F.col("features")[0].alias("a"))
     assert score.score_batch(df, {"cols": ["a"], "model": Half()}).filter("prediction = 1").count() == 0
+
+
+def test_adaboost_restaging_changes_nothing(planted, monkeypatch):
+    from riskframe.models import base
+
+    whole = fit_model(planted, "target", "adaboost", {"rounds": 5, "lr": 0.5})
+    monkeypatch.setattr(base, "RESTAGE", 2)
+    parts = fit_model(planted, "target", "adaboost", {"rounds": 5, "lr": 0.5})
+    assert parts.state["f"] == whole.state["f"]
+    assert parts.state["alpha"] == pytest.approx(whole.state["alpha"])
+
+
+def test_composite_evaluator_in_cross_validation(planted):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    df = planted.select(array_to_vector("features").alias("features"), F.col("target").alias("label"))
+    lr = LogisticRegression(maxIter=10)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 10.0]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=search.CompositeEvaluator(), numFolds=2, seed=1).fit(df)
+    assert cv.avgMetrics[0] > cv.avgMetrics[1]
