@@ -160,15 +160,14 @@ def _tail(state: dict, since: int) -> dict:
 
 
 def stump_votes(state: dict, col: str = "features") -> Column:
-    """alpha-weighted +1/-1 votes of every stump, as one array."""
-    a = {k: lit_array(state[k]) for k in ("f", "t", "lo", "hi", "alpha")}
-    n = len(state["f"])
+    """The +1/-1 vote of every stump, as one array."""
+    a = {k: lit_array(state[k]) for k in ("f", "t", "lo", "hi")}
     vote = lambda i: F.when(F.get(F.col(col), F.get(a["f"], i).cast("int")) <= F.get(a["t"], i), F.get(a["lo"], i)).otherwise(F.get(a["hi"], i))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(a["alpha"], i) * vote(i))
+    return F.transform(F.sequence(F.lit(0), F.lit(len(state["f"]) - 1)), vote)
 
 
 def boosted_weight(w: Column, y: Column, state: dict, col: str = "features") -> Column:
-    """Row weight after all rounds so far: a closed form of the stumps, so no lineage builds up."""
+    """Row weight after the given rounds: times exp(alpha) for every stump that missed the row."""
     if not state["f"]:
         return w
     sign = y * d(2) - d(1)
@@ -231,7 +230,8 @@ def _fit_adaboost(df, label, params, weight, col):
 
 
 def _score_adaboost(model: Model, df: DataFrame, out: str) -> DataFrame:
-    decision = array_sum(stump_votes(model.state, model.col)) / d(sum(model.state["alpha"]))
+    alpha = model.state["alpha"]
+    decision = array_sum(F.zip_with(stump_votes(model.state, model.col), lit_array(alpha), lambda v, a: v * a)) / d(sum(alpha))
     return df.withColumn(out, d(1) / (d(1) + F.exp(-decision)))
 
 

@@ -72,39 +72,57 @@ def _exact(df, exprs, qs, small):
         aggs += [
             F.count_if(c < lo).alias(f"below{i}_{j}"),
             F.count_if(c == lo).alias(f"lo{i}_{j}"),
+            F.count_if(_inside(i, s)).alias(f"in{i}_{j}"),
             F.count_if((c == hi) & (c > lo)).alias(f"hi{i}_{j}"),
-            F.sort_array(F.collect_list(F.when((c > lo) & (c < hi), c))).alias(f"in{i}_{j}"),
             F.min(F.when(c > hi, c)).alias(f"above{i}_{j}"),
         ]
-    row = base.agg(*aggs).first() if aggs else {}
+    counts = base.agg(*aggs).first() if aggs else {}
+    # only ranks strictly inside a bracket need its values; the filter leaves little more than those
+    read = {}
+    for (i, j), s in state.items():
+        first = s["k"] - counts[f"below{i}_{j}"] - counts[f"lo{i}_{j}"]
+        if first + 1 >= 0 and first < counts[f"in{i}_{j}"]:
+            read[i, j] = s
+    values = {}
+    if read:
+        some = F.lit(False)
+        for (i, _), s in read.items():
+            some = some | F.coalesce(_inside(i, s), F.lit(False))
+        values = (
+            base.filter(some)
+            .agg(*[F.sort_array(F.collect_list(F.when(_inside(i, s), F.col(f"x{i}")))).alias(f"v{i}_{j}") for (i, j), s in read.items()])
+            .first()
+        )
     out = {n: [None] * len(qs) for n in names}
     for (i, j), s in state.items():
 
         def at(r):
-            r -= row[f"below{i}_{j}"]
+            r -= counts[f"below{i}_{j}"]
             if r < 0:
                 raise RuntimeError("quantile bracket lost its rank")
-            inner = row[f"in{i}_{j}"]
-            for count, value in ((row[f"lo{i}_{j}"], s["lo"]), (len(inner), None), (row[f"hi{i}_{j}"], s["hi"])):
-                if r < count:
-                    return inner[r] if value is None else value
-                r -= count
-            return row[f"above{i}_{j}"]
+            for n, value in ((counts[f"lo{i}_{j}"], s["lo"]), (counts[f"in{i}_{j}"], None), (counts[f"hi{i}_{j}"], s["hi"])):
+                if r < n:
+                    return values[f"v{i}_{j}"][r] if value is None else value
+                r -= n
+            return counts[f"above{i}_{j}"]
 
         v0 = at(s["k"])
         out[names[i]][j] = v0 if s["frac"] == 0 else v0 + (at(s["k"] + 1) - v0) * s["frac"]
     return out
 
 
+def _inside(i: int, s: dict):
+    return (F.col(f"x{i}") > F.lit(s["lo"])) & (F.col(f"x{i}") < F.lit(s["hi"]))
+
+
 def _narrow(base: DataFrame, wide: dict, small: int) -> dict:
     """One more bracketing round, looking only at values strictly inside the brackets.
 
     A rank that turns out to sit on a bracket end is resolved: the bracket closes on that value.
     """
-    inner = lambda i, s: (F.col(f"x{i}") > F.lit(s["lo"])) & (F.col(f"x{i}") < F.lit(s["hi"]))
     row = base.agg(
         *[F.count_if(F.col(f"x{i}") <= F.lit(s["lo"])).alias(f"upto{i}_{j}") for (i, j), s in wide.items()],
-        *[F.count_if(inner(i, s)).alias(f"n{i}_{j}") for (i, j), s in wide.items()],
+        *[F.count_if(_inside(i, s)).alias(f"n{i}_{j}") for (i, j), s in wide.items()],
     ).first()
     live = {}
     for (i, j), s in wide.items():
@@ -118,7 +136,7 @@ def _narrow(base: DataFrame, wide: dict, small: int) -> dict:
     if not live:
         return {}
     row = base.agg(
-        *[F.percentile_approx(F.when(inner(i, s), F.col(f"x{i}")), lit_array(_probes(p)), ACCURACY).alias(f"b{i}_{j}") for (i, j), (s, p, _) in live.items()]
+        *[F.percentile_approx(F.when(_inside(i, s), F.col(f"x{i}")), lit_array(_probes(p)), ACCURACY).alias(f"b{i}_{j}") for (i, j), (s, p, _) in live.items()]
     ).first()
     nxt = {}
     for (i, j), (s, _, n) in live.items():

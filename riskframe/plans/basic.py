@@ -139,8 +139,8 @@ def _(spark, sf):
 @query(
     "fix_vector_width",
     with_sql(VEC_SQL)
-    + """SELECT id, 'short' AS kind, unnest(generate_series(0, 39)) AS pos, round(unnest(features[1:40]), 6) AS v FROM vec
-    UNION ALL SELECT id, 'long', unnest(generate_series(0, 69)), round(unnest(list_concat(features, list_transform(range(6), lambda i: 0.0::double))), 6) FROM vec""",
+    + """SELECT id, 'short' AS kind, unnest(generate_series(0, 39))::int AS pos, round(unnest(features[1:40]), 6) AS v FROM vec
+    UNION ALL SELECT id, 'long', unnest(generate_series(0, 69))::int, round(unnest(list_concat(features, list_transform(range(6), lambda i: 0.0::double))), 6) FROM vec""",
 )
 def _(spark, sf):
     v = frames.vec(spark, sf)
@@ -158,7 +158,7 @@ def _(spark, sf):
 
 @query(
     "assemble_features",
-    with_sql(COMPANY_SQL) + f"SELECT company_id, unnest(generate_series(0, {len(NUMERIC) - 1})) AS pos, round(unnest([{NUMS}]), 6) AS v FROM company",
+    with_sql(COMPANY_SQL) + f"SELECT company_id, unnest(generate_series(0, {len(NUMERIC) - 1}))::int AS pos, round(unnest([{NUMS}]), 6) AS v FROM company",
 )
 def _(spark, sf):
     return long(schema.assemble(frames.company(spark, sf), NUMERIC), "company_id", "features")
@@ -476,7 +476,7 @@ def _edges_sql(n):
 
 
 def _code_sql(c):
-    return f"len(list_filter(e_{c}.e[2:-2], lambda t: t <= {c}))::int"
+    return f"(CASE WHEN {c} IS NOT NULL THEN len(list_filter(e_{c}.e[2:-2], lambda t: t <= {c})) END)::int"
 
 
 @query(
@@ -492,7 +492,7 @@ def _(spark, sf):
     "uniform_bins",
     with_sql(COMPANY_SQL)
     + "SELECT company_id, "
-    + ", ".join(f"len(list_filter([1, 2, 3, 4], lambda i: lo_{c} + i * ((hi_{c} - lo_{c}) / 5) <= {c}))::int AS {c}" for c in BIN_COLS)
+    + ", ".join(f"(CASE WHEN {c} IS NOT NULL THEN len(list_filter([1, 2, 3, 4], lambda i: lo_{c} + i * ((hi_{c} - lo_{c}) / 5) <= {c})) END)::int AS {c}" for c in BIN_COLS)
     + " FROM company, (SELECT "
     + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in BIN_COLS)
     + " FROM company)",
@@ -588,7 +588,7 @@ def _grid_sql(c):
     "quantile_uniform_scale",
     with_sql(COMPANY_SQL, *[_grid_sql(c) for c in SCALED])
     + " UNION ALL ".join(
-        f"""SELECT company_id, '{c}' AS feature, round(CASE WHEN {c} = v THEN (lo + hi) / 2 WHEN v1 IS NULL THEN 1 ELSE hi + (lo1 - hi) * ({c} - v) / (v1 - v) END, 6) AS value
+        f"""SELECT company_id, '{c}' AS feature, round(CASE WHEN {c} IS NULL THEN NULL WHEN {c} = v THEN (lo + hi) / 2 WHEN v1 IS NULL THEN 1 ELSE hi + (lo1 - hi) * ({c} - v) / (v1 - v) END, 6) AS value
         FROM company ASOF LEFT JOIN k_{c} ON {c} >= v"""
         for c in SCALED
     ),

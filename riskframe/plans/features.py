@@ -255,7 +255,7 @@ def _(spark, sf):
 # ---- selection
 
 
-@query("nonconstant_mask", with_sql(COMPANY_SQL) + ", l AS (SELECT unnest(generate_series(0, 5))::int AS pos, unnest([n_orders, sum_price, avg_disc, max_qty, ret_share, zero_var]) AS x FROM company) SELECT pos, round(stddev_pop(x), 6) AS score, (stddev_pop(x) > 1e-8)::int AS selected FROM l GROUP BY 1")
+@query("nonconstant_mask", with_sql(COMPANY_SQL) + ", l AS (SELECT unnest(generate_series(0, 5))::int AS pos, unnest([n_orders, sum_price, avg_disc, max_qty, ret_share, zero_var]) AS x FROM company WHERE sum_price IS NOT NULL) SELECT pos, round(stddev_pop(x), 6) AS score, (stddev_pop(x) > 1e-8)::int AS selected FROM l GROUP BY 1")
 def _(spark, sf):
     df = schema.assemble(frames.company(spark, sf).na.drop(subset=NUMERIC[:5]), [*NUMERIC[:5], "zero_var"])
     return rounded(select.nonconstant(df, 1e-8), ["score"])

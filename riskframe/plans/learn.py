@@ -248,7 +248,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     df = schema.assemble(clean.apply_impute(df, clean.fit_impute(df, NUMERIC)), NUMERIC).select("company_id", "features", "target")
-    out = search.forward_addition(df, "target", "gnb", folds=2, min_features=2, cap=3, key="company_id")
+    out = search.forward_addition(df, "target", "gnb", folds=2, min_features=2, key="company_id")
     return _table(spark, out["rank"], out["order"])
 
 
