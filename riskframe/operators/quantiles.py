@@ -42,6 +42,31 @@ def _probes(p: float) -> list[float]:
     return [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
 
 
+def _position(q: float, n: int) -> float:
+    """0-based rank of quantile ``q``; a whole rank must not be missed by floating noise."""
+    return round(q * (n - 1), 9)
+
+
+def _by_rank(base: DataFrame, names: list[str], counts: list[int], qs: list[float]) -> dict[str, list]:
+    """Interpolate between order statistics, which are data values: equal values give equal quantiles."""
+    ranks, aggs = {}, []
+    for i, n in enumerate(counts):
+        if n:
+            at = [_position(q, n) for q in qs]
+            need = sorted({k for h in at for k in (math.floor(h), min(n - 1, math.ceil(h)))})
+            ranks[i] = (at, {k: j for j, k in enumerate(need)}, n)
+            shares = ",".join(repr((k + 0.5) / n) for k in need)
+            aggs.append(F.expr(f"percentile_disc(cast(split('{shares}', ',') as array<double>)) within group (order by x{i})").alias(f"p{i}"))
+    row = base.agg(*aggs).first() if aggs else {}
+    out = {name: [None] * len(qs) for name in names}
+    for i, (at, index, n) in ranks.items():
+        for j, h in enumerate(at):
+            k = math.floor(h)
+            v0, v1 = row[f"p{i}"][index[k]], row[f"p{i}"][index[min(n - 1, math.ceil(h))]]
+            out[names[i]][j] = v0 + (v1 - v0) * (h - k)
+    return out
+
+
 def _exact(df, exprs, qs, small):
     names = list(exprs)
     ids = range(len(names))
@@ -51,15 +76,14 @@ def _exact(df, exprs, qs, small):
         *[F.count(f"x{i}").alias(f"n{i}") for i in ids], *[F.percentile_approx(f"x{i}", probes, ACCURACY).alias(f"b{i}") for i in ids]
     ).first()
     if max(row[f"n{i}"] for i in ids) <= small:
-        row = base.agg(*[F.percentile(f"x{i}", lit_array(qs)).alias(f"p{i}") for i in ids]).first()
-        return {n: (list(row[i]) if row[i] is not None else [None] * len(qs)) for i, n in enumerate(names)}
+        return _by_rank(base, names, [row[f"n{i}"] for i in ids], qs)
 
     state = {}  # (column, quantile) -> bracket [lo, hi] around 0-based rank k
     for i in ids:
         n = row[f"n{i}"]
         for j, q in enumerate(qs):
             if n:
-                h = q * (n - 1)
+                h = _position(q, n)
                 lo, hi = row[f"b{i}"][2 * j : 2 * j + 2]
                 state[i, j] = {"lo": lo, "hi": hi, "k": math.floor(h), "frac": h - math.floor(h), "inside": n * SHARE}
     wide = {k: s for k, s in state.items() if s["inside"] > small}

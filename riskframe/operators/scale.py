@@ -57,11 +57,11 @@ def _fit_minmax(df, cols):
 def _fit_quantile(df, cols, accuracy):
     counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     out = {}
-    for size in {min(GRID, counts[c]) for c in cols}:
-        part = [c for c in cols if min(GRID, counts[c]) == size]
-        refs = [i / max(1, size - 1) for i in range(max(1, size))]
-        big = max(counts[c] for c in part) > SMALL
-        for c, grid in quantiles(df, part, refs, accuracy or (GRID_ACCURACY if big else None)).items():
+    for n in sorted({counts[c] for c in cols}):
+        part = [c for c in cols if counts[c] == n]
+        size = max(1, min(GRID, n))
+        refs = [i / max(1, size - 1) for i in range(size)]
+        for c, grid in quantiles(df, part, refs, accuracy or (GRID_ACCURACY if n > SMALL else None)).items():
             # equal grid values collapse to one knot with its first and last reference position
             knots: dict[float, list[float]] = {}
             for v, r in zip(grid, refs):

@@ -579,7 +579,7 @@ query("minmax_scale", _scale_sql("min({c}) AS lo_{c}, max({c}) AS hi_{c}", "({c}
 def _grid_sql(c):
     """Reference grid by explicit interpolation of the sorted values (the quantile list has to be constant)."""
     return f"""o_{c} AS (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM company WHERE {c} IS NOT NULL),
-    h_{c} AS (SELECT i / (least(1000, n) - 1)::double AS r, i / (least(1000, n) - 1)::double * (n - 1) AS h FROM o_{c} WHERE i < least(1000, n)),
+    h_{c} AS (SELECT i / (least(1000, n) - 1)::double AS r, round(i * (n - 1) / (least(1000, n) - 1)::double, 9) AS h FROM o_{c} WHERE i < least(1000, n)),
     g_{c} AS (SELECT r, CASE WHEN a.x = b.x THEN a.x ELSE a.x + (b.x - a.x) * (h - floor(h)) END AS v FROM h_{c} JOIN o_{c} a ON a.i = floor(h) JOIN o_{c} b ON b.i = ceil(h)),
     k_{c} AS (SELECT v, lo, hi, lead(v) OVER (ORDER BY v) AS v1, lead(lo) OVER (ORDER BY v) AS lo1 FROM (SELECT v, min(r) AS lo, max(r) AS hi FROM g_{c} GROUP BY v))"""
 
@@ -588,7 +588,7 @@ def _grid_sql(c):
     "quantile_uniform_scale",
     with_sql(COMPANY_SQL, *[_grid_sql(c) for c in SCALED])
     + " UNION ALL ".join(
-        f"""SELECT company_id, '{c}' AS feature, round(CASE WHEN {c} IS NULL THEN NULL WHEN {c} = v THEN (lo + hi) / 2 WHEN v1 IS NULL THEN 1 ELSE hi + (lo1 - hi) * ({c} - v) / (v1 - v) END, 6) AS value
+        f"""SELECT company_id, '{c}' AS feature, round(CASE WHEN {c} IS NULL THEN NULL WHEN {c} = v THEN (lo + hi) / 2 WHEN v1 IS NULL THEN 1 ELSE hi + (lo1 - hi) * ({c} - v) / (v1 - v) END + 1e-10::double, 6) AS value
         FROM company ASOF LEFT JOIN k_{c} ON {c} >= v"""
         for c in SCALED
     ),
@@ -596,7 +596,7 @@ def _grid_sql(c):
 def _(spark, sf):
     df = frames.company_table(spark, sf, "company_id", *SCALED)
     out = scale.apply_scale(df, scale.fit_scale(df, SCALED, "quantile"))
-    return rounded(out.unpivot("company_id", SCALED, "feature", "value"), ["value"])
+    return out.unpivot("company_id", SCALED, "feature", "value").withColumn("value", r6(F.col("value") + d(frames.TIE)))
 
 
 def _power_ll(c):
