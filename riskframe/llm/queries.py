@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskframe.llm.balanced_shards import balanced_shards
 from riskframe.llm.content_sort import content_sort
+from riskframe.llm.mixture_packing import pack
+from riskframe.llm.order_minhash import fingerprints
 from riskframe.llm.pfair_mixing import mix
 from riskframe.llm.pii_spans import pii_digest
+from riskframe.llm.prefix_tree_join import near_duplicates
+from riskframe.llm.quality_qda import quality
+from riskframe.llm.toxicity_automata import toxicity
+from riskframe.llm.url_templates import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_url_templates")
+def op1(spark, d):
+    """A page's label is the quality label of the document that it shows, whose id ends its path."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    shown = F.regexp_extract("url", r"/([0-9]{1,18})(?:[./?#][^/]*)?/?(?:[?#].*)?$", 1)
+    shown = F.when(shown != "", shown.cast("long"))
+    labels = table(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("y"))
+    marks = pages.select("page_id", shown.alias("doc_id")).filter("doc_id IS NOT NULL").join(labels, "doc_id").select("page_id", "y")
+    return judge(pages, marks)
+
+
 @query("op2_balanced_shards")
 def op2(spark, d):
     return balanced_shards(table(spark, d, "documents"))
@@ -46,11 +65,36 @@ def op3(spark, d):
     return content_sort(table(spark, d, "documents"))
 
 
+@query("op4_quality_qda")
+def op4(spark, d):
+    return quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op5_mixture_packing")
+def op5(spark, d):
+    return pack(table(spark, d, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query("op6_pfair_mixing")
 def op6(spark, d):
     return mix(table(spark, d, "documents")).drop("toss")
 
 
+@query("op7_toxicity_automata")
+def op7(spark, d):
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op8_order_minhash")
+def op8(spark, d):
+    return fingerprints(table(spark, d, "documents"))
+
+
+@query("op9_prefix_tree_join")
+def op9(spark, d):
+    return near_duplicates(table(spark, d, "documents"))
+
+
 @query("op10_pii_spans")
 def op10(spark, d):
     return pii_digest(table(spark, d, "documents"))

@@ -14,7 +14,6 @@ most ``FIT_ROWS`` labelled texts; scoring is one pass without a shuffle, and eac
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.quality_qda import held_out, labelled_sample
+from riskframe.session import stage
 
 FIT_ROWS = 20_000
 CUT = 0.5
@@ -32,6 +32,7 @@ LEAST = 3  # toxic texts that must hold a term
 LONG = 9  # terms from this length on allow two edits
 SHORTEST = 4
 WINDOW = 5
+CANDIDATES = 20_000  # pure words, the most frequent first, that the cover chooses from
 HELD = 500_000  # looked-up words a worker remembers, about 60 MB
 ROWS = 500
 
@@ -107,17 +108,52 @@ def nearest(root: Node, word: str) -> tuple[str, int] | None:
     return (best[1], best[0]) if best else None
 
 
+DEPTH = 4  # letters of the trie walked to see whether a word's beginning leads anywhere
+
+
+def leads_on(root: Node, head: str) -> bool:
+    """Whether some word that begins with ``head`` keeps a state alive down to ``DEPTH`` letters, or meets a term before.
+
+    The states there reach at most ``DEPTH`` plus the edits into the word, so a head of that length decides.
+    """
+    stack = [(root, 0, _closed({0: 0}, len(head), root.edits))]
+    while stack:
+        node, depth, states = stack.pop()
+        if depth == DEPTH or node.term is not None:
+            return True
+        for c, child in node.next.items():
+            after = _step(states, head, c, child.edits)
+            if after:
+                stack.append((child, depth + 1, after))
+    return False
+
+
 class Finder:
-    """Looks words up in the lexicon and remembers the answers."""
+    """Looks words up in the lexicon; remembers the answers, and which beginnings of words lead nowhere."""
 
     def __init__(self, terms, exact_only=frozenset()):
-        self.root, self.exact_only, self.held = trie(terms), exact_only, {}
+        self.root, self.exact_only = trie(terms), exact_only
+        self.held: dict[str, int | None] = {}
+        self.heads: dict[str, bool] = {}
+        self.head = DEPTH + self.root.edits
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        if len(word) > self.head:
+            head = word[: self.head]
+            alive = self.heads.get(head)
+            if alive is None:
+                if len(self.heads) >= HELD:
+                    self.heads.clear()
+                alive = self.heads[head] = leads_on(self.root, head)
+            if not alive:
+                return None
+        return nearest(self.root, word)
 
     def look(self, word: str) -> int | None:
         """Edits to the nearest term, or None."""
         if word in self.held:
             return self.held[word]
-        got = nearest(self.root, word) if len(word) >= SHORTEST or word in self.root.next else None
+        got = self.nearest(word)
         edits = None if got is None or (got[1] and got[0] in self.exact_only) else got[1]
         if len(self.held) >= HELD:
             self.held.clear()
@@ -150,27 +186,24 @@ class Finder:
         return 2 if any(w in ADDRESS for w in near) else 0
 
 
-def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int) -> list[str]:
-    """Terms by greedy cover: the purest, most frequent word first, counted over texts not yet covered ``COVER`` times."""
-    counts = Counter(w for t in toxic for w in t)
-    fit = {w for w, n in counts.items() if n >= LEAST and len(w) >= 3 and n / max(len(toxic), 1) >= 20 * (clean[w] + 0.25) / max(n_clean, 1)}
-    holds: dict[str, list[int]] = {w: [] for w in fit}
+def lexicon(toxic: list[set[str]]) -> list[str]:
+    """Terms by greedy cover: the most frequent word first, counted over texts not yet covered ``COVER`` times."""
+    holds: dict[str, list[int]] = {}
     for i, t in enumerate(toxic):
-        for w in t & fit:
-            holds[w].append(i)
+        for w in t:
+            holds.setdefault(w, []).append(i)
     left, gain, out = [COVER] * len(toxic), {w: len(h) for w, h in holds.items()}, []
     while gain:
         w = max(gain, key=lambda x: (gain[x], x))
-        if gain[w] < LEAST:
+        if gain.pop(w) < LEAST:
             break
         out.append(w)
         for i in holds[w]:
             left[i] -= 1
             if left[i] == 0:
-                for v in toxic[i] & fit:
+                for v in toxic[i]:
                     if v in gain:
                         gain[v] -= 1
-        gain.pop(w)
     return sorted(out)
 
 
@@ -197,36 +230,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.hstack([x, np.ones((len(x), 1))]) @ self.weights, -40, 40)))
 
 
-def fit(texts: list[str | None], y: np.ndarray) -> Model:
-    """Lexicon from the labels of distinct texts, near misses checked against clean texts, then the curve."""
-    seen = {}
-    for t, v in zip(texts, y.tolist()):
-        seen[t or ""] = max(v, seen.get(t or "", 0))
-    sets = {t: set(WORD.findall(t.lower())) for t in seen}
-    clean = Counter(w for t, v in seen.items() if not v for w in sets[t])
-    n_clean = sum(1 for v in seen.values() if not v)
-    terms = lexicon([sets[t] for t, v in seen.items() if v], clean, n_clean)
-    if not terms or not n_clean:
-        return Model(terms, frozenset(), None)
-    root, wrong = trie(terms), set()
-    for w in clean:
-        got = nearest(root, w)
-        if got and got[1]:
-            wrong.add(got[0])
-    finder = Finder(terms, frozenset(wrong))
-    x = np.array([finder.features(t) for t in seen])
-    return Model(terms, frozenset(wrong), logistic(x, np.array(list(seen.values()))))
+def _per_text(sample: DataFrame, of, schema: str) -> DataFrame:
+    """Rows that ``of(text, y)`` gives for each sampled text."""
+
+    def work(batches):
+        for b in batches:
+            rows = [r for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) for r in of(t or "", y)]
+            cols = list(zip(*rows)) if rows else [[] for _ in schema.split(",")]
+            yield pa.RecordBatch.from_pydict({f.split()[0]: pa.array(list(c), _ARROW[f.split()[1]]) for f, c in zip(schema.split(","), cols)})
+
+    return sample.mapInArrow(work, schema)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """The texts that the fit reads, at most ``FIT_ROWS`` of them, meet on the driver in batches of word lists."""
-    sample = labelled_sample(docs, labels, "toxic", 5, 0, FIT_ROWS)
-    got = sample.orderBy("id").select("text", "y")
-    texts, y = [], []
-    for row in got.toLocalIterator():
-        texts.append(row["text"])
-        y.append(row["y"])
-    return fit(texts, np.array(y, int))
+    """Lexicon, near misses and curve from the distinct texts of a bounded sample, in passes over it.
+
+    What meets on the driver: pure words, the lists of them in toxic texts, and five numbers per sampled text.
+    """
+    sample = stage(labelled_sample(docs, labels, "toxic", 5, 0, FIT_ROWS).groupBy("text").agg(F.max("y").alias("y")).repartition("text"))
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Model([], frozenset(), None)
+    words = _per_text(sample, lambda t, y: [(w, y) for w in set(WORD.findall(t.lower())) if len(w) >= 3], "word string, y int")
+    counts = words.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    pure = counts.filter((F.col("bad") >= LEAST) & (F.col("bad") / n[1] >= 20 * (F.col("good") + 0.25) / n[0]))
+    # a lexicon word stands out in toxic texts; the most frequent ones suffice for the cover
+    fit_words = {r["word"] for r in pure.orderBy(F.desc("bad"), "word").limit(CANDIDATES).select("word").collect()}
+    lists = _per_text(sample.filter("y = 1"), lambda t, y: [(sorted(set(WORD.findall(t.lower())) & fit_words),)], "words array<string>")
+    terms = lexicon([set(r["words"]) for r in lists.orderBy("words").collect()])
+    if not terms:
+        return Model([], frozenset(), None)
+    misses = _per_text(sample.filter("y = 0"), _near_misses(terms), "term string").distinct()
+    wrong = frozenset(r["term"] for r in misses.collect())
+    held: dict[str, Finder] = {}
+    rows = _per_text(sample, lambda t, y: [(held.setdefault("f", Finder(terms, wrong)).features(t), y)], "x array<double>, y int").orderBy("x", "y").toPandas()
+    return Model(terms, wrong, logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy()))
+
+
+def _near_misses(terms: list[str]):
+    held: dict[str, Finder] = {}
+
+    def of(text: str, y: int):
+        finder = held.setdefault("f", Finder(terms))
+        found = (finder.nearest(w) for w in set(WORD.findall(text.lower())))
+        return [(term,) for term in {g[0] for g in found if g and g[1]}]
+
+    return of
 
 
 def scorer(model: Model):
