@@ -17,6 +17,7 @@ def local_session(cores: str = "8", app: str = "riskframe") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,14 +28,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back to a temporary one only when none is named."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; only local mode may do without one."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskframe-ckpt-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name beside the checkpoints, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the reliable checkpoint folder and cut its lineage.
 
