@@ -86,12 +86,15 @@ def judged_templates(labelled: DataFrame) -> DataFrame:
     parts = F.split("template", "/", -1)
     family = own.select("host", "template", "bad", "n", F.posexplode(parts).alias("i", "part")).filter("part <> '' AND NOT part LIKE '*%'")
     family = family.withColumn("kin", F.array_join(F.transform(F.split("template", "/", -1), lambda x, j: F.when(j == F.col("i"), "?").otherwise(x)), "/"))
-    pooled = family.groupBy("host", "kin").agg(F.sum("bad").alias("kb"), F.sum("n").alias("kn"), F.count("*").alias("members")).filter("members > 1")
-    pooled = pooled.withColumnsRenamed({"host": "h", "kin": "k"})
-    alike = family.join(pooled, (F.col("host") == F.col("h")) & (F.col("kin") == F.col("k")))
+    # those above and below the family's common rate are pooled apart, and a template joins its side if it is like it
+    whole = family.groupBy("host", "kin").agg((F.sum("bad") / F.sum("n")).alias("rate")).withColumnsRenamed({"host": "h", "kin": "k"})
+    family = family.join(whole, (F.col("host") == F.col("h")) & (F.col("kin") == F.col("k"))).withColumn("high", F.col("bad") / F.col("n") > F.col("rate")).drop("h", "k", "rate")
+    side = family.groupBy("host", "kin", "high").agg(F.sum("bad").alias("kb"), F.sum("n").alias("kn"), F.count("*").alias("members")).filter("members > 1")
+    side = side.withColumnsRenamed({"host": "h", "kin": "k", "high": "hi"})
+    alike = family.join(side, (F.col("host") == F.col("h")) & (F.col("kin") == F.col("k")) & (F.col("high") == F.col("hi")))
     rate = (F.col("kb") + 1) / (F.col("kn") + 2)
     far = F.abs(F.col("bad") / F.col("n") - rate) / F.sqrt(rate * (1 - rate) / F.col("n"))
-    alike = alike.filter(far <= ALIKE)
+    alike = alike.filter(far <= ALIKE).select("host", "template", F.concat_ws(" ", "kin", "high").alias("kin"), "bad", "n")
     merged = alike.groupBy("host", "kin").agg(F.sum("bad").alias("mb"), F.sum("n").alias("mn")).withColumnsRenamed({"host": "h2", "kin": "k2"})
     best = alike.join(merged, (F.col("host") == F.col("h2")) & (F.col("kin") == F.col("k2"))).groupBy(F.col("host").alias("mh"), F.col("template").alias("mt")).agg(F.max(F.struct("mn", "mb")).alias("pool"))
     out = own.join(best, (F.col("host") == F.col("mh")) & (F.col("template") == F.col("mt")), "left").join(hosts, F.col("host") == F.col("ph"))
