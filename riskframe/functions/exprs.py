@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def r6(c: Column | str) -> Column:
@@ -16,6 +17,18 @@ def d(x) -> Column:
     return F.lit(float(x))
 
 
+def value(c: Column | str) -> Column:
+    """A number as double; NaN counts as missing, like null."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def missing(df: DataFrame, c: str) -> Column:
+    """Whether a cell is null, or NaN in a floating column."""
+    floating = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))
+    return F.col(c).isNull() | F.isnan(c) if floating else F.col(c).isNull()
+
+
 def hash_hex(*parts) -> Column:
     """md5 of the parts joined by '|'. Every pick, gap and shuffle is ordered by such a key hash."""
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
@@ -39,10 +52,6 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, d(0), lambda acc, x: acc + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return array_sum(F.zip_with(a, b, lambda x, y: x * y))
-
-
 def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, d(0), lambda acc, x: acc + x * x))
 

@@ -31,14 +31,6 @@ from riskframe.session import stage
 
 KINDS = ("gbt", "adaboost", "rf", "brf", "tree", "knn", "logreg", "gnb", "linsvc", "mlp")
 
-# Published tuned settings
-TUNED = {
-    "adaboost": {"rounds": 393, "lr": 0.4262},
-    "boosted": {"colsample": 0.7124, "lr": 0.1728, "depth": 11, "rounds": 356, "subsample": 0.9209},
-    "gbt_auc": {"subsample": 0.8, "rounds": 300, "depth": 5, "lr": 0.1},
-    "gbt_recall": {"subsample": 0.8, "rounds": 500, "depth": 7, "lr": 0.05},
-}
-
 
 @dataclass
 class Model:
@@ -121,6 +113,10 @@ def fit_model(
     """Train one model. ``weight`` names a row-weight column; ``valid`` a boolean column marking the rows
     that only decide when boosting stops."""
     params = params or {}
+    if weight and kind in ("gnb", "knn", "brf", "mlp"):
+        raise ValueError(f"{kind!r} does not take row weights; resample instead")
+    if valid and kind != "gbt":
+        raise ValueError(f"{kind!r} does not stop early; only 'gbt' takes validation rows")
     if kind == "adaboost":
         return _fit_adaboost(df, label, params, weight, col)
     if kind == "gnb":
@@ -223,7 +219,7 @@ def _fit_adaboost(df, label, params, weight, col):
         rows.unpersist()
     if not state["f"]:
         raise ValueError("no stump is better than chance")
-    width = int(max(state["f"])) + 1
+    width = len(df.select(col).first()[0])
     imp = np.bincount(np.array(state["f"], dtype=int), weights=np.maximum(state["alpha"], 0), minlength=width)
     state["importances"] = (imp / imp.sum()).tolist() if imp.sum() > 0 else imp.tolist()
     return Model("adaboost", state=state, col=col)

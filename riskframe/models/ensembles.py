@@ -142,7 +142,7 @@ def meta_bakeoff(hard: DataFrame, test: DataFrame, label: str, base_p: str, kind
         def run():
             m = fit_model(hard, label, *member, key=key)
             s = ensemble.cascade_proba(m.score(test, "__meta"), base_p, "__meta", out="__p")
-            t = thresholds.grid_threshold(s, label, "__p", objective="cost").first()["threshold"]
+            t = thresholds.grid_threshold(s, label, "__p", objective="cost", recall=1.0, precision=1.0, specificity=0.0).first()["threshold"]
             r = metrics.rates(metrics.confusion(s, label, "__p", t), 1.2).first()
             return (member[0], float(t), float(r["precision"]), float(r["recall"]), float(r["fbeta"]))
 

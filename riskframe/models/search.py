@@ -205,15 +205,16 @@ def rfecv(df, label, kind="logreg", params=None, folds=3, step=5, min_features=5
     return {"selected": subsets[best], "history": {len(c): s for c, s in zip(subsets, scores)}}
 
 
-def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5, cap=50, seed=42, key="id") -> dict:
-    """Add the feature with the best cross-validated AUC; stop without a gain once ``min_features`` are in.
+def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5, cap=None, seed=42, key="id") -> dict:
+    """Add the feature with the best cross-validated AUC; stop without a gain once ``min_features`` are in,
+    or at ``cap`` features if one is given.
 
     Returns the order, the score history and a rank per feature (unchosen ones follow in position order).
     """
     f = stage(fold_ids(df.select(key, "features", label), label, folds, seed, key))
     width = len(f.select("features").first()[0])
     chosen, left, history = [], list(range(width)), []
-    while left and len(chosen) < cap:
+    while left and (cap is None or len(chosen) < cap):
         scores = subset_scores(f, [[*chosen, c] for c in left], label, kind, params, folds, key)
         top, best = max(zip(scores, left))
         if history and top <= max(history) and len(chosen) >= min_features:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.exprs import d
+from riskframe.functions.exprs import d, missing
+from riskframe.functions.exprs import value as number
 from riskframe.operators.fitted import Fitted
 from riskframe.operators.neighbors import BROADCAST_BYTES, _key_order, block_topk, knn
 from riskframe.operators.quantiles import quantiles
@@ -17,9 +18,9 @@ from riskframe.session import stage
 
 
 def fit_impute(df: DataFrame, cols: list[str], strategy: str = "mean", value=None, accuracy: int | None = None) -> Fitted:
-    """Fill value per column: mean, median or a constant."""
+    """Fill value per column: mean, median or a constant. NaN is missing, like null."""
     if strategy == "mean":
-        row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+        row = df.agg(*[F.avg(number(c)).alias(c) for c in cols]).first()
         fill = {c: row[c] for c in cols}
     elif strategy == "median":
         fill = {c: v[0] for c, v in quantiles(df, cols, [0.5], accuracy).items()}
@@ -34,7 +35,7 @@ def apply_impute(df: DataFrame, params: Fitted) -> DataFrame:
     def fill(c, v):
         if v is None:  # nothing was seen at fit time
             return F.col(c)
-        return F.coalesce(F.col(c), F.lit(v) if isinstance(v, str) else d(v))
+        return F.when(missing(df, c), F.lit(v) if isinstance(v, str) else d(v)).otherwise(F.col(c))
 
     return df.withColumns({c: fill(c, p["fill"]) for c, p in params.cols.items() if c in df.columns})
 

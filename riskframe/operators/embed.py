@@ -60,7 +60,11 @@ def text_counts(df: DataFrame, col: str, dim: int = 64, ngram: int = 1, out: str
 
     @F.pandas_udf("array<double>")
     def count(buckets: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(b, minlength=dim).astype(np.float64) for b in buckets])
+        sizes = np.array([len(b) for b in buckets], np.int64)
+        flat = np.concatenate(buckets.tolist()) if sizes.sum() else np.zeros(0, np.int64)
+        # one count for the whole batch
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat.astype(np.int64), minlength=len(sizes) * dim)
+        return pd.Series(list(counts.reshape(len(sizes), dim).astype(np.float64)))
 
     buckets = F.transform(tokens(F.col(col), ngram), lambda t: (hex_int(F.md5(t.cast("binary"))) % dim).cast("int"))
     return df.withColumn(out, count(F.coalesce(buckets, F.array().cast("array<int>"))))

@@ -23,7 +23,7 @@ def leaderboard(metrics: DataFrame, by: str = "auc", name: str = "model") -> Dat
 def ablation_table(metrics: DataFrame, baseline: str = "Full Model", name: str = "model") -> DataFrame:
     """Percentage-point differences of F1 and recall to the baseline row; failed runs (F1 = 0) are left out."""
     ok = metrics.filter(F.col("f1") > 0)
-    base = ok.filter(F.col(name) == baseline).select("f1", "recall").first() or ok.select("f1", "recall").first()
+    base = ok.filter(F.col(name) == baseline).select("f1", "recall").first() or ok.orderBy(name, "f1", "recall").select("f1", "recall").first()
     if base is None:
         return ok.withColumns({"delta_f1": d(0), "delta_recall": d(0)})
     return ok.withColumns(

@@ -7,13 +7,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import d
+from riskframe.functions.exprs import d, missing
 from riskframe.operators.quantiles import quantiles as exact_quantiles
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """``(column, nulls)`` from one pass."""
-    one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """``(column, nulls)`` from one pass; NaN counts as null."""
+    one = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in df.columns])
     return one.unpivot([], df.columns, "column", "nulls")
 
 

@@ -28,10 +28,11 @@ def gram(df: DataFrame, col: str = "features", mean: np.ndarray | None = None) -
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "row": list(total)})
 
+    first = df.select(F.size(col).alias("d")).first()
+    if first and first["d"] > MAX_WIDTH:
+        raise ValueError(f"more than {MAX_WIDTH} features: select features first")
     parts = df.select(F.col(col).cast("array<double>").alias("f")).mapInPandas(partial, "i int, row array<double>")
     rows = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()
-    if len(rows) > MAX_WIDTH:
-        raise ValueError(f"more than {MAX_WIDTH} features: select features first")
     return np.array([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
 
 

@@ -9,11 +9,14 @@ every further factor of a thousand.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import lit_array
+from riskframe.functions.exprs import lit_array, value
+from riskframe.operators.ranking import running_totals
+from riskframe.session import stage
 
 SMALL = 200_000  # values held by one exact read
 ACCURACY = 10_000
@@ -23,7 +26,7 @@ CHUNK = 60  # columns per aggregate
 
 
 def quantiles(df: DataFrame, cols: dict[str, Column] | list[str], qs: list[float], accuracy: int | None = None, small: int = SMALL):
-    """``{column: [value per q]}``; nulls are skipped. ``accuracy`` switches to one sketch pass."""
+    """``{column: [value per q]}``; nulls and NaN are skipped. ``accuracy`` switches to one sketch pass."""
     exprs = {c: F.col(c) for c in cols} if not isinstance(cols, dict) else cols
     names = list(exprs)
     out: dict[str, list] = {}
@@ -34,10 +37,57 @@ def quantiles(df: DataFrame, cols: dict[str, Column] | list[str], qs: list[float
 
 
 def _sketch(df, exprs, qs, accuracy):
-    row = df.agg(*[F.percentile_approx(c.cast("double"), lit_array(qs), accuracy).alias(n) for n, c in exprs.items()]).first()
+    row = df.agg(*[F.percentile_approx(value(c), lit_array(qs), accuracy).alias(n) for n, c in exprs.items()]).first()
     return {n: list(row[n]) if row[n] is not None else [None] * len(qs) for n in exprs}
 
 
+def even_quantiles(df: DataFrame, cols: list[str], size: int, small: int = SMALL) -> dict[str, list]:
+    """``size`` evenly spaced quantiles per column, from the minimum to the maximum, exact at every size.
+
+    Values are folded to (column, value, count); running counts give each distinct value the ranks it covers, and only
+    values next to a wanted rank, at most three per quantile, reach the driver.
+    """
+    counts = df.agg(*[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    n = {c: counts[f"n{i}"] for i, c in enumerate(cols)}
+    out: dict[str, list] = {c: [] for c in cols}
+    for k in sorted({v for v in n.values() if 0 < v <= small}):
+        part = [c for c in cols if n[c] == k]
+        out.update(quantiles(df, part, _even(min(size, k)), small=small))
+    wide = [c for c in cols if n[c] > small]
+    if not wide:
+        return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), value(c).alias("v")) for i, c in enumerate(wide)]))
+    folded = stage(df.select(pairs.alias("p")).select("p.*").filter("v IS NOT NULL").groupBy("col", "v").agg(F.count("*").alias("n")))
+    ranks = running_totals(folded, "v", ["n"], ["col"])
+    total = F.element_at(F.array(*[F.lit(n[c]) for c in wide]), F.col("col") + 1)
+    step = (total - 1) / (size - 1)  # ranks between two quantiles
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    wanted = F.floor((last + 1.001) / step) >= F.ceil((first - 1.001) / step)
+    held: dict[int, list] = {i: [] for i in range(len(wide))}
+    for r in ranks.filter(wanted).select("col", "v", first.alias("lo"), last.alias("hi")).collect():
+        held[r["col"]].append((r["lo"], r["hi"], r["v"]))
+    for i, c in enumerate(wide):
+        rows = sorted(held[i])
+        starts = [r[0] for r in rows]
+
+        def at(k: int) -> float:
+            lo, hi, v = rows[bisect_right(starts, k) - 1]
+            if not lo <= k <= hi:
+                raise RuntimeError("a wanted rank is missing")
+            return v
+
+        for q in _even(size):
+            h = _position(q, n[c])
+            k = math.floor(h)
+            v0 = at(k)
+            out[c].append(v0 if h == k else v0 + (at(k + 1) - v0) * (h - k))
+    return out
+
+
+def _even(size: int) -> list[float]:
+    return [i / max(1, size - 1) for i in range(size)]
+
+
 def _probes(p: float) -> list[float]:
     return [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
 
@@ -70,7 +120,7 @@ def _by_rank(base: DataFrame, names: list[str], counts: list[int], qs: list[floa
 def _exact(df, exprs, qs, small):
     names = list(exprs)
     ids = range(len(names))
-    base = df.select(*[exprs[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    base = df.select(*[value(exprs[n]).alias(f"x{i}") for i, n in enumerate(names)])
     probes = lit_array([p for q in qs for p in _probes(q)])
     row = base.agg(
         *[F.count(f"x{i}").alias(f"n{i}") for i in ids], *[F.percentile_approx(f"x{i}", probes, ACCURACY).alias(f"b{i}") for i in ids]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from riskframe.functions.exprs import d, hash_hex, hash_int, hash_unit
 from riskframe.operators.neighbors import knn
 from riskframe.operators.ranking import hash_cut, ranked
+from riskframe.session import stage
 
 POS_RATIO, NEG_RATIO = 1.4, 0.6  # fixed values: hybrid and ratio resampling
 
@@ -209,7 +210,7 @@ def adasyn(df: DataFrame, label: str, k: int = 5, seed: int = 42, key: str = "id
 
 def find_tomek(df: DataFrame, label: str, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """``(key, nbr, y, y_nbr)``: both directions of every mutual nearest pair of different classes."""
-    nn = knn(df, df, 1, key, feat, **nn_args).select("key", "nbr")
+    nn = stage(knn(df, df, 1, key, feat, **nn_args).select("key", "nbr"))  # read twice below
     lab = df.select(F.col(key).alias("key"), F.col(label).alias("y"))
     other = lab.select(F.col("key").alias("nbr"), F.col("y").alias("y_nbr"))
     cross = nn.join(lab, "key").join(other, "nbr").filter("y != y_nbr")
@@ -219,6 +220,7 @@ def find_tomek(df: DataFrame, label: str, key: str = "id", feat: str = "features
 
 def tomek_links(df: DataFrame, label: str, remove: str = "majority", key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """Drop the majority member of every link, or both with ``remove='all'``."""
+    df = stage(df)  # the neighbour join, the labels and the removal all read it
     if len(_counts(df, label)) < 2:
         return df
     links = find_tomek(df, label, key, feat, **nn_args)
@@ -231,6 +233,7 @@ def tomek_links(df: DataFrame, label: str, remove: str = "majority", key: str =
 
 def edited_nn(df: DataFrame, label: str, k: int = 3, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """Drop every row that one of its k neighbours disagrees with."""
+    df = stage(df)  # the neighbour join, the labels and the removal all read it
     nn = knn(df, df, k, key, feat, **nn_args)
     lab = df.select(F.col(key).alias("key"), F.col(label).alias("y"))
     other = lab.select(F.col("key").alias("nbr"), F.col("y").alias("z"))

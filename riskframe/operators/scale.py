@@ -8,14 +8,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import d, lit_array
+from riskframe.functions.exprs import d, lit_array, value
 from riskframe.operators.fitted import Fitted
-from riskframe.operators.quantiles import SMALL, quantiles
+from riskframe.operators.quantiles import even_quantiles, quantiles
 
 KINDS = ("standard", "robust", "minmax", "quantile", "power")
 LAMBDAS = [round(-2 + 0.1 * i, 1) for i in range(41)]
 GRID = 1000  # reference quantiles
-GRID_ACCURACY = 100_000  # beyond one exact read the grid comes from a sketch of this accuracy
 
 
 def fit_scale(df: DataFrame, cols: list[str], kind: str = "standard", accuracy: int | None = None, lambdas=None) -> Fitted:
@@ -45,28 +44,27 @@ def _nonzero(x) -> float:
 
 
 def _fit_standard(df, cols):
-    row = df.agg(*[f(c).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    row = df.agg(*[f(value(c)).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return {c: {"center": float(row[f"m_{c}"]), "scale": _nonzero(row[f"s_{c}"])} for c in cols}
 
 
 def _fit_minmax(df, cols):
-    row = df.agg(*[f(c).alias(f"{a}_{c}") for c in cols for a, f in (("lo", F.min), ("hi", F.max))]).first()
+    row = df.agg(*[f(value(c)).alias(f"{a}_{c}") for c in cols for a, f in (("lo", F.min), ("hi", F.max))]).first()
     return {c: {"center": float(row[f"lo_{c}"]), "scale": _nonzero(row[f"hi_{c}"] - row[f"lo_{c}"])} for c in cols}
 
 
 def _fit_quantile(df, cols, accuracy):
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    """Exact at every size, unless the caller asks for a sketch of an ``accuracy``."""
+    grids = quantiles(df, cols, [i / (GRID - 1) for i in range(GRID)], accuracy) if accuracy else even_quantiles(df, cols, GRID)
     out = {}
-    for n in sorted({counts[c] for c in cols}):
-        part = [c for c in cols if counts[c] == n]
-        size = max(1, min(GRID, n))
-        refs = [i / max(1, size - 1) for i in range(size)]
-        for c, grid in quantiles(df, part, refs, accuracy or (GRID_ACCURACY if n > SMALL else None)).items():
-            # equal grid values collapse to one knot with its first and last reference position
-            knots: dict[float, list[float]] = {}
-            for v, r in zip(grid, refs):
+    for c, grid in grids.items():
+        # equal grid values collapse to one knot with its first and last reference position
+        knots: dict[float, list[float]] = {}
+        for i, v in enumerate(grid):
+            r = i / max(1, len(grid) - 1)
+            if v is not None:
                 knots.setdefault(v, [r, r])[1] = r
-            out[c] = {"v": list(knots), "lo": [k[0] for k in knots.values()], "hi": [k[1] for k in knots.values()]}
+        out[c] = {"v": list(knots), "lo": [k[0] for k in knots.values()], "hi": [k[1] for k in knots.values()]}
     return {c: out[c] for c in cols}
 
 
@@ -106,7 +104,7 @@ def yeo_johnson(x: Column, lam) -> Column:
 
 def power_likelihood(df: DataFrame, cols: list[str], lambdas) -> DataFrame:
     """``(lam, <col> ...)``: log-likelihood of each lambda, every column in the same pass."""
-    grid = df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.explode(lit_array(lambdas)).alias("lam"))
+    grid = df.select(*[value(c).alias(c) for c in cols], F.explode(lit_array(lambdas)).alias("lam"))
     sign = lambda c: F.signum(F.col(c)) * F.log1p(F.abs(F.col(c)))
     aggs = []
     for c in cols:
@@ -122,6 +120,6 @@ def _fit_power(df, cols, lambdas):
         ok = [(r[c], -r["lam"]) for r in rows if r[c] is not None and math.isfinite(r[c])]
         best[c] = -max(ok)[1] if ok else 1.0  # a constant column keeps its values
     row = df.agg(
-        *[f(yeo_johnson(F.col(c).cast("double"), best[c])).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]
+        *[f(yeo_johnson(value(c), best[c])).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]
     ).first()
     return {c: {"lam": best[c], "center": float(row[f"m_{c}"]), "scale": _nonzero(row[f"s_{c}"])} for c in cols}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.exprs import d
+from riskframe.functions.exprs import d, value
 from riskframe.operators.quantiles import quantiles
 
 
@@ -43,10 +43,6 @@ def schema_diff(a: DataFrame, b: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
-def column_names(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
-
-
 def pad_or_truncate(c: Column, n: int) -> Column:
     return F.slice(F.concat(c, F.array_repeat(d(0), n)), 1, n)
 
@@ -82,10 +78,10 @@ def hard_rows(df: DataFrame, p: str, label: str, t: float = 0.5) -> DataFrame:
 
 
 def outliers_z(df: DataFrame, cols: list[str], k: float = 2.5) -> DataFrame:
-    """Rows with any |z| > k (population sigma). A constant column, or one holding a null, flags nothing."""
+    """Rows with any |z| > k (population sigma). A constant column, or one holding a null or NaN, flags nothing."""
     row = df.agg(
         F.count("*").alias("n"),
-        *[f(c).alias(f"{a}_{c}") for c in cols for a, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))],
+        *[f(value(c)).alias(f"{a}_{c}") for c in cols for a, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))],
     ).first()
     flag = F.lit(False)
     for c in cols:
@@ -101,7 +97,7 @@ def outliers_iqr(df: DataFrame, cols: list[str], k: float = 1.5, accuracy: int |
     for c in cols:
         q1, q3 = qs[c]
         if q1 is not None:
-            flag = flag | F.coalesce((F.col(c) < d(q1 - k * (q3 - q1))) | (F.col(c) > d(q3 + k * (q3 - q1))), F.lit(False))
+            flag = flag | F.coalesce((value(c) < d(q1 - k * (q3 - q1))) | (value(c) > d(q3 + k * (q3 - q1))), F.lit(False))
     return df.filter(flag)
 
 

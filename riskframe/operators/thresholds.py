@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import d, safe_div
+from riskframe.functions.exprs import d, safe_div, value
 from riskframe.operators.metrics import class_totals, curve_counts
 from riskframe.operators.ranking import range_bucket
 
@@ -49,10 +49,12 @@ def max_recall_threshold(df: DataFrame, label: str, p: str, min_precision: float
 
 def grid_counts(df: DataFrame, label: str, p: str, grid: list[float]) -> list[tuple]:
     """``(threshold, tp, fp, fn, tn)`` per grid point from one pass: every score falls into one grid cell,
-    and only the cell counts (one per grid point) are accumulated."""
+    and only the cell counts (one per grid point) are accumulated. Rows without a label are left out; a row without a
+    score is predicted negative at every threshold."""
     y = F.col(label).cast("bigint")
+    df = df.filter(F.col(label).isNotNull())
     cells = (
-        range_bucket(df.select(y.alias("y"), F.col(p).cast("double").alias("p")), "p", list(grid), "cell")
+        range_bucket(df.select(y.alias("y"), F.coalesce(value(p), d(float("-inf"))).alias("p")), "p", list(grid), "cell")
         .groupBy("cell")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
         .collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d, r6
-from riskframe.operators import build, cluster, embed, project, schema, select
+from riskframe.operators import build, clean, cluster, embed, project, schema, select
 from riskframe.operators.profile import vector_summary
 from riskframe.plans.basic import FISHER_SQL, VEC_LONG_SQL, long, rounded
 from riskframe.plans.registry import query
@@ -105,15 +105,15 @@ def _(spark, sf):
 
 @query(
     "text_embedding",
-    """WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM documents JOIN labels USING (doc_id)),
+    """WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM documents),
     tf AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::bigint % 64 AS pos, count(*) AS tf FROM tok GROUP BY 1, 2),
-    n AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id)),
+    n AS (SELECT count(*) AS n FROM documents),
     idf AS (SELECT pos, ln((1 + any_value(n)) / (1 + count(*))::double) + 1 AS idf FROM tf, n GROUP BY 1),
     w AS (SELECT doc_id, pos, tf * idf AS w FROM tf JOIN idf USING (pos))
     SELECT doc_id, pos::int AS pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS v FROM w""",
 )
 def _(spark, sf):
-    df = frames.docs(spark, sf).select("doc_id", "text")
+    df = frames.table(spark, sf, "documents").select("doc_id", "text")
     counted = stage(embed.text_counts(df, "text", 64).select("doc_id", "tf"))  # texts are read and hashed once
     out = embed.apply_idf(counted, embed.fit_idf(counted))
     return long(out, "doc_id", "features").filter("v != 0")
@@ -255,10 +255,19 @@ def _(spark, sf):
 # ---- selection
 
 
-@query("nonconstant_mask", with_sql(COMPANY_SQL) + ", l AS (SELECT unnest(generate_series(0, 5))::int AS pos, unnest([n_orders, sum_price, avg_disc, max_qty, ret_share, zero_var]) AS x FROM company WHERE sum_price IS NOT NULL) SELECT pos, round(stddev_pop(x), 6) AS score, (stddev_pop(x) > 1e-8)::int AS selected FROM l GROUP BY 1")
+@query(
+    "nonconstant_mask",
+    with_sql(COMPANY_SQL)
+    + """, m AS (SELECT avg(n_orders) AS a, avg(sum_price) AS b, avg(avg_disc) AS c, avg(max_qty) AS e, avg(ret_share) AS f FROM company),
+    l AS (SELECT unnest(generate_series(0, 5))::int AS pos, unnest([coalesce(n_orders, a), coalesce(sum_price, b), coalesce(avg_disc, c), coalesce(max_qty::double, e),
+      coalesce(ret_share, f), zero_var]) AS x FROM company, m)
+    SELECT pos, round(stddev_pop(x), 6) AS score, (stddev_pop(x) > 1e-8)::int AS selected FROM l GROUP BY 1""",
+)
 def _(spark, sf):
-    df = schema.assemble(frames.company(spark, sf).na.drop(subset=NUMERIC[:5]), [*NUMERIC[:5], "zero_var"])
-    return rounded(select.nonconstant(df, 1e-8), ["score"])
+    """Over all companies, missing values filled with the mean first."""
+    df = frames.company_table(spark, sf, *NUMERIC[:5], "zero_var").withColumns({c: F.col(c).cast("double") for c in NUMERIC[:5]})
+    df = clean.apply_impute(df, clean.fit_impute(df, NUMERIC[:5], "mean"))
+    return rounded(select.nonconstant(schema.assemble(df, [*NUMERIC[:5], "zero_var"]), 1e-8), ["score"])
 
 
 @query(

@@ -138,6 +138,8 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = with_base(spark, sf)
     kinds = [("gbt", {"rounds": 3, "depth": 2}), ("rf", {"trees": 10, "depth": 3}), ("linsvc", {"iterations": 10}), ("logreg", {})]
+    hard = stage(schema.hard_rows(train, "base_p", "target"))
+    train = hard if hard.select("target").distinct().count() == 2 else train
     return rounded(ensembles.meta_bakeoff(train, test, "target", "base_p", kinds), ["threshold", "precision", "recall", "fbeta"])
 
 
@@ -320,8 +322,9 @@ def _(spark, sf):
 
 @query("threshold_transfer")
 def _(spark, sf):
-    """Threshold chosen on validation rows, applied to the test rows."""
+    """Threshold chosen on validation rows that the fit has not seen, applied to the test rows."""
     train, test = split_vec(spark, sf)
-    m = fit_model(train, "target", "gnb")
-    t = thresholds.best_f1_threshold(m.score(train), "target", "p").first()["threshold"]
+    parts = stage(sample.stratified_split(train, "target", {"valid": 0.2}, 7))
+    m = fit_model(parts.filter("part = 'train'"), "target", "gnb")
+    t = thresholds.best_f1_threshold(m.score(parts.filter("part = 'valid'")), "target", "p").first()["threshold"]
     return rounded(metrics.evaluate(m.score(test), "target", "p", t), [*RATE_COLS, "auc", "score"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "riskframe") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
-    return (
+    return ship_package(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +25,27 @@ def local_session(cores: str = "8", app: str = "riskframe") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that tasks find it from any folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return spark
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="riskframe-"), "riskframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(home):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("riskframe", os.path.relpath(full, home)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+    return spark
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +26,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; empty fields are null. Splits are read in parallel.
 
-    ``skip_rows`` banner lines before the header are dropped by content: the head of the file tells which
-    lines they are, the scan itself stays distributed.
+    ``skip_rows`` banner lines before the header are dropped by their place at the head of each file; data lines that
+    read the same stay. The scan itself stays distributed.
     """
     opts = {"header": True, "enforceSchema": True, "quote": '"', "escape": '"'}
     if skip_rows:
         head = [r["value"] for r in spark.read.text(path).limit(skip_rows + 1).collect()]
         banner, header = head[:skip_rows], head[skip_rows]
-        lines = spark.read.text(path).filter(~F.col("value").isin([*banner, header]))
+        lines = _below_header(spark, path, [*banner, header])
         if schema is None:
             schema = T.StructType([T.StructField(n.strip().strip('"'), T.StringType()) for n in header.split(",")])
         elif isinstance(schema, str):
@@ -46,6 +46,18 @@ def read_csv(
     return df.withColumnsRenamed(rename) if rename else df
 
 
+def _below_header(spark: SparkSession, path: str, head: list[str]) -> DataFrame:
+    """Lines after the first ``len(head)`` of each file. Only lines that read like one of ``head`` in a file's first
+    block are numbered; the last of the head's places, one row per file, then cuts that block."""
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()])
+    alike = lines.filter((F.col("_block") == 0) & F.col("value").isin(head))
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_row"))
+    cut = alike.withColumn("_n", nth).filter(F.col("_n") == len(head)).select(F.col("_file").alias("_cut_file"), F.col("_row").alias("_cut"))
+    kept = lines.join(F.broadcast(cut), F.col("_file") == F.col("_cut_file"), "left")
+    return kept.filter((F.col("_block") > 0) | F.col("_cut").isNull() | (F.col("_row") > F.col("_cut"))).select("value")
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
