@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -146,6 +147,31 @@ def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str =
     )
 
 
+@dataclass
+class Density:
+    """What the outlier factor of new rows needs: the fitted rows, their k-distance and local density."""
+
+    rows: DataFrame  # key, features
+    around: DataFrame  # key, kd, lrd
+    k: int
+
+
+def fit_lof(df: DataFrame, k: int = 20, key: str = "id", feat: str = "features", **nn_args) -> Density:
+    nn = stage(knn(df, df, k, key, feat, **nn_args))
+    kdist = nn.groupBy(F.col("key").alias("nbr")).agg(F.max("dist").alias("kd"))
+    reach = nn.join(kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
+    density = reach.select("key", (d(1) / (F.col("r") + d(1e-10))).alias("lrd"))
+    return Density(df.select(key, feat), stage(density.join(kdist.withColumnRenamed("nbr", "key"), "key").select("key", "kd", "lrd")), k)
+
+
+def score_lof(df: DataFrame, fitted: Density, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
+    """``(key, lof)`` of rows that were not fitted, against the fitted ones."""
+    nn = knn(df, fitted.rows, fitted.k, key, feat, exclude_self=False, **nn_args)
+    near = nn.join(fitted.around.select(F.col("key").alias("nbr"), "kd", "lrd"), "nbr")
+    own = near.groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"), F.avg("lrd").alias("nl"))
+    return own.select(F.col("key").alias(key), (F.col("nl") * (F.col("r") + d(1e-10))).alias("lof"))
+
+
 def lof(df: DataFrame, k: int = 20, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """``(key, lof)``: mean neighbour density over own density; about 1 inside clusters, larger for outliers."""
     nn = stage(knn(df, df, k, key, feat, **nn_args))

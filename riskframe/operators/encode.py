@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ from riskframe.operators.fitted import Fitted
 from riskframe.operators.quantiles import quantiles
 from riskframe.operators.ranking import running_totals
 from riskframe.operators.schema import numeric_cols, string_cols
+from riskframe.session import stage
 
 NULL_CATEGORY = "nan"  # fixed value: text of a missing category
 MISSING = "missing"  # fixed value: fill for missing strings
-MAX_ONEHOT = 10_000  # one output column per category
+MAX_ONEHOT = 10_000  # columns of one encoding; beyond, one sparse vector column
 
 
 def as_category(c: str) -> Column:
@@ -51,7 +54,7 @@ def fit_onehot(df: DataFrame, cols: list[str], drop_first: bool = True) -> Fitte
     for c in cols:
         rows = df.select(F.col(c).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct().limit(MAX_ONEHOT + 1).collect()
         if len(rows) > MAX_ONEHOT:
-            raise ValueError(f"{c!r} has more than {MAX_ONEHOT} categories; label- or target-encode it")
+            raise ValueError(f"{c!r} has more than {MAX_ONEHOT} categories: use fit_onehot_sparse for one vector column")
         cats[c] = {"values": sorted(r["v"] for r in rows)}
     return Fitted("onehot", cats, {"drop_first": drop_first})
 
@@ -67,6 +70,36 @@ def apply_onehot(df: DataFrame, params: Fitted) -> DataFrame:
     return df.withColumns(flags).drop(*params.cols)
 
 
+@dataclass
+class SparseCodes:
+    dicts: dict[str, DataFrame] = field(default_factory=dict)  # (value, code)
+    size: dict[str, int] = field(default_factory=dict)
+    encoders: PipelineModel | None = None
+
+
+def fit_onehot_sparse(df: DataFrame, cols: list[str]) -> SparseCodes:
+    """Categories of any number: a dictionary table per column (nulls are no category) and its size."""
+    out, stages = SparseCodes(), []
+    for c in cols:
+        vals = df.select(F.col(c).cast("string").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.lit(1).alias("one"))
+        out.dicts[c] = stage(running_totals(vals, "value", ["one"]).select("value", (F.col("cum_one") - 1).cast("bigint").alias("code")))
+        out.size[c] = out.dicts[c].count()
+        # an unknown code is a category of its own, the last, and the last has no place in the vector
+        encoder = OneHotEncoder(inputCol=f"__code_{c}", outputCol=f"{c}_onehot", handleInvalid="keep", dropLast=True)
+        stages.append(encoder.fit(out.dicts[c].select(F.col("code").cast("double").alias(f"__code_{c}"))))
+    out.encoders = PipelineModel(stages)
+    return out
+
+
+def apply_onehot_sparse(df: DataFrame, codes: SparseCodes) -> DataFrame:
+    """``{c}_onehot``: a sparse vector with a one at the category's rank; null and unseen categories are all zero."""
+    for c, t in codes.dicts.items():
+        coded = t.select(F.col("value").alias("__v"), F.col("code").alias("__c"))
+        df = df.join(coded, F.col(c).cast("string") == F.col("__v"), "left")
+        df = df.withColumn(f"__code_{c}", F.coalesce("__c", F.lit(codes.size[c])).cast("double")).drop("__v", "__c", c)
+    return codes.encoders.transform(df).drop(*[f"__code_{c}" for c in codes.dicts])
+
+
 @dataclass
 class TargetCodes:
     mapping: dict[str, DataFrame] = field(default_factory=dict)  # (value, enc)

@@ -306,15 +306,11 @@ def _(spark, sf):
 @query("bundle_round_trip")
 def _(spark, sf):
     """Scores of the saved and reloaded bundle next to those of the live one."""
-    from riskframe.models.base import Model
-
     bundle, train, df = company_bundle(spark, sf)
     bundle["model"] = fit_model(train, "target", "rf", {"trees": 10, "depth": 4}, key="company_id")
     path = scratch(spark)
-    parts = bundle["model"].bundle()
-    io.save_bundle({**{k: v for k, v in bundle.items() if k != "model"}, **{f"model_{k}": v for k, v in parts.items()}}, path, spark)
+    io.save_bundle(bundle, path, spark)
     loaded = io.load_bundle(spark, path)
-    loaded["model"] = Model.from_bundle({k[6:]: v for k, v in loaded.items() if k.startswith("model_")})
     live = score.score_batch(df, bundle).select("uuid", F.col("proba").alias("live"))
     back = score.score_batch(df, loaded).select("uuid", F.col("proba").alias("reloaded"))
     return rounded(live.join(back, "uuid"), ["live", "reloaded"])

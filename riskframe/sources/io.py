@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import importlib
 import json
 
 from pyspark.ml import PipelineModel
@@ -93,36 +95,63 @@ def submission(scored: DataFrame, key: str, p: str = "proba", threshold: float =
 
 
 def save_bundle(bundle: dict, path: str, spark: SparkSession) -> None:
-    """Persist a scoring bundle: fitted column state, dictionaries, a PipelineModel, and plain settings.
+    """Persist a scoring bundle: every fitted type of this package, pipelines, tables and plain settings.
 
-    Values may be ``Fitted``, ``PipelineModel``, ``DataFrame`` or JSON-able settings.
+    Dictionaries, lists and fitted objects may hold each other; tables and pipelines inside them get a folder each, and
+    one index says how to put them together.
     """
-    index = {}
-    for name, v in bundle.items():
-        if isinstance(v, Fitted):
-            v.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-            index[name] = {"type": "fitted"}
-        elif isinstance(v, PipelineModel):
-            v.write().overwrite().save(f"{path}/{name}")
-            index[name] = {"type": "model"}
-        elif isinstance(v, DataFrame):
-            v.write.mode("overwrite").parquet(f"{path}/{name}")
-            index[name] = {"type": "table"}
-        else:
-            index[name] = {"type": "setting", "value": v}
-    spark.createDataFrame([(json.dumps(index),)], "index string").coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+    index = json.dumps({name: _save(v, f"{path}/{name}", spark) for name, v in bundle.items()})
+    spark.createDataFrame([(index,)], "index string").coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def _save(v, at: str, spark: SparkSession) -> dict:
+    if isinstance(v, Fitted):
+        v.to_df(spark).coalesce(1).write.mode("overwrite").parquet(at)
+        return {"type": "fitted", "path": at}
+    if isinstance(v, PipelineModel):
+        v.write().overwrite().save(at)
+        return {"type": "model", "path": at}
+    if isinstance(v, DataFrame):
+        v.write.mode("overwrite").parquet(at)
+        return {"type": "table", "path": at}
+    if dataclasses.is_dataclass(v) and type(v).__module__.startswith("riskframe."):
+        fields = {f.name: _save(getattr(v, f.name), f"{at}-{f.name}", spark) for f in dataclasses.fields(v)}
+        return {"type": "object", "class": [type(v).__module__, type(v).__qualname__], "fields": fields}
+    if isinstance(v, dict) and any(not _plain(x) for x in v.values()):
+        return {"type": "dict", "items": [[k, _save(x, f"{at}-{i}", spark)] for i, (k, x) in enumerate(v.items())]}
+    if isinstance(v, (list, tuple)) and any(not _plain(x) for x in v):
+        return {"type": "list", "items": [_save(x, f"{at}-{i}", spark) for i, x in enumerate(v)]}
+    return {"type": "setting", "value": v}
+
+
+def _plain(v) -> bool:
+    if isinstance(v, dict):
+        return all(isinstance(k, str) and _plain(x) for k, x in v.items())
+    return all(map(_plain, v)) if isinstance(v, (list, tuple)) else v is None or isinstance(v, (str, int, float, bool))
 
 
 def load_bundle(spark: SparkSession, path: str) -> dict:
+    """The bundle, from wherever its folder is now."""
     index = json.loads(spark.read.parquet(f"{path}/index").first()["index"])
-    out = {}
-    for name, e in index.items():
-        if e["type"] == "fitted":
-            out[name] = Fitted.from_df(spark.read.parquet(f"{path}/{name}"))
-        elif e["type"] == "model":
-            out[name] = PipelineModel.load(f"{path}/{name}")
-        elif e["type"] == "table":
-            out[name] = spark.read.parquet(f"{path}/{name}")
-        else:
-            out[name] = e["value"]
-    return out
+    return {name: _load(spark, e, path) for name, e in index.items()}
+
+
+def _load(spark: SparkSession, e: dict, path: str):
+    kind = e["type"]
+    at = f"{path}/{e['path'].rsplit('/', 1)[-1]}" if "path" in e else ""
+    if kind == "fitted":
+        return Fitted.from_df(spark.read.parquet(at))
+    if kind == "model":
+        return PipelineModel.load(at)
+    if kind == "table":
+        return spark.read.parquet(at)
+    if kind == "object":
+        module, name = e["class"]
+        if not module.startswith("riskframe."):
+            raise ValueError(f"not a fitted type of this package: {module}.{name}")
+        return getattr(importlib.import_module(module), name)(**{k: _load(spark, x, path) for k, x in e["fields"].items()})
+    if kind == "dict":
+        return {k: _load(spark, x, path) for k, x in e["items"]}
+    if kind == "list":
+        return [_load(spark, x, path) for x in e["items"]]
+    return e["value"]

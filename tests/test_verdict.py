@@ -2,6 +2,7 @@
 
 import math
 import os
+import shutil
 import subprocess
 import sys
 import tempfile
@@ -11,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import hash_hex
+from riskframe.models import ensembles
 from riskframe.models.base import fit_model
-from riskframe.operators import clean, profile, quantiles, ranking, scale, schema, thresholds
+from riskframe.operators import clean, cluster, encode, profile, quantiles, ranking, scale, schema, thresholds
 from riskframe.sources import io
 
 NAN = float("nan")
@@ -87,6 +89,43 @@ def test_banner_lines_go_by_place(spark):
     assert sorted(map(tuple, out.collect())) == sorted([("1", "2"), ("3", "4"), ("x", "y")] * 2)
 
 
+def test_sparse_onehot_and_bundles(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "a")], "id long, v string")
+    codes = encode.fit_onehot_sparse(df.filter("id < 4 OR id = 5"), ["v"])
+    wide = {r.id: r.v_onehot for r in encode.apply_onehot_sparse(df, codes).collect()}
+    assert {i: (v.size, v.indices.tolist()) for i, v in wide.items()} == {1: (2, [1]), 2: (2, [0]), 3: (2, []), 4: (2, []), 5: (2, [0])}
+    rows = spark.range(40).selectExpr("id", "array(CAST(id % 5 AS DOUBLE), CAST(id % 2 AS DOUBLE)) AS features", "CAST(id % 2 AS INT) AS target")
+    target = encode.fit_target(rows.selectExpr("CAST(id % 3 AS STRING) AS c", "target"), ["c"], "target")
+    stack = ensembles.fit_stacking(rows, "target", [("gnb", {}), ("tree", {"depth": 2})], ("logreg", {}), folds=2)
+    folder = tempfile.mkdtemp(prefix="riskframe-test-")
+    saved = {"codes": codes, "target": target, "stack": stack, "labels": encode.fit_label(df, ["v"]), "n": 3, "names": ["a", "b"]}
+    io.save_bundle(saved, folder, spark)
+    moved = f"{folder}-moved"
+    shutil.copytree(folder, moved)
+    back = io.load_bundle(spark, moved)
+    assert {r.id: r.v_onehot for r in encode.apply_onehot_sparse(df, back["codes"]).collect()} == wide
+    assert sorted(back["stack"].score(rows).select("id", "p").collect()) == sorted(stack.score(rows).select("id", "p").collect())
+    assert sorted(back["target"].mapping["c"].collect()) == sorted(target.mapping["c"].collect()) and back["target"].default == target.default
+    assert sorted(back["labels"]["v"].collect()) == sorted(saved["labels"]["v"].collect()) and (back["n"], back["names"]) == (3, ["a", "b"])
+
+
+def test_outlier_factor_of_new_rows(spark):
+    rng = np.random.default_rng(2)
+    x, new = rng.normal(size=(80, 3)), np.vstack([rng.normal(size=(5, 3)), [[9.0, 9.0, 9.0]]])
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, features array<double>")
+    got = {r.id: r.lof for r in cluster.score_lof(frame(new), cluster.fit_lof(frame(x), 6)).collect()}
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(gap, np.inf)
+    near = np.argsort(gap, axis=1)[:, :6]
+    kd = np.take_along_axis(gap, near, 1).max(axis=1)
+    lrd = 1 / (np.maximum(kd[near], np.take_along_axis(gap, near, 1)).mean(axis=1) + 1e-10)
+    away = np.sqrt(((new[:, None] - x[None]) ** 2).sum(-1))
+    at = np.argsort(away, axis=1)[:, :6]
+    own = 1 / (np.maximum(kd[at], np.take_along_axis(away, at, 1)).mean(axis=1) + 1e-10)
+    assert np.allclose([got[i] for i in range(6)], lrd[at].mean(axis=1) / own, rtol=1e-9)
+    assert got[5] > 2
+
+
 def test_queries_run_from_another_folder(sf):
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = (
