@@ -111,7 +111,7 @@ def fit_model(
     col: str = "features", key: str = "id",
 ) -> Model:
     """Train one model. ``weight`` names a row-weight column; ``valid`` a boolean column marking the rows
-    that only decide when boosting stops."""
+    that only decide when boosting stops: by a tolerance, or after ``patience`` rounds without a gain."""
     params = params or {}
     if weight and kind in ("gnb", "knn", "brf", "mlp"):
         raise ValueError(f"{kind!r} does not take row weights; resample instead")
@@ -125,6 +125,8 @@ def fit_model(
         return Model(kind, state={"k": params.get("k", 5), "key": key, "label": label}, table=df.select(key, col, label), col=col)
     if kind == "brf":
         return _fit_balanced(df, label, params, col, key)
+    if kind == "gbt" and valid and "patience" in params:
+        params, df, valid = _stopped(df, label, params, weight, valid, col), df.filter(~F.col(valid)), None
     width = len(df.select(col).first()[0]) if kind == "mlp" else 0
     train = _vectors(df, label, weight, col, [valid] if valid else ())
     fitted = _estimator(kind, params, width, bool(weight), valid).fit(train)
@@ -132,6 +134,22 @@ def fit_model(
     return Model(kind, PipelineModel([fitted]), state, col=col)
 
 
+def _stopped(df: DataFrame, label: str, params: dict, weight: str | None, valid: str, col: str) -> dict:
+    """The settings with ``rounds`` cut at the best validation loss before ``patience`` rounds passed without a gain.
+
+    All rounds are fitted once on the other rows; a shorter run with the same seed grows the same first trees.
+    """
+    full = _estimator("gbt", params, 0, bool(weight), None).fit(_vectors(df.filter(~F.col(valid)), label, weight, col))
+    losses = full.evaluateEachIteration(_vectors(df.filter(F.col(valid)), label, None, col))
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= params["patience"]:
+            break
+    return {**params, "rounds": best + 1}
+
+
 def _ml_score(stage, df: DataFrame, col: str, out: str) -> DataFrame:
     keep = df.columns
     scored = stage.transform(df.withColumn("__v", array_to_vector(F.col(col))))

@@ -80,6 +80,14 @@ def test_unsupported_weights_are_refused(spark, kind):
         fit_model(df, kind=kind, weight="w")
 
 
+def test_patience_stops_boosting(spark):
+    rows = spark.range(400).selectExpr("id", "array(CAST(id % 17 AS DOUBLE), CAST(id % 5 AS DOUBLE)) AS features", "CAST((id * 7919) % 10 < 5 AS INT) AS target", "id % 4 = 0 AS v")
+    m = fit_model(rows, valid="v", params={"rounds": 12, "patience": 2, "depth": 3})
+    full = fit_model(rows.filter("NOT v"), params={"rounds": 12, "depth": 3})
+    trees = m.ml.getNumTrees
+    assert 1 <= trees <= 12 and m.ml.toDebugString.split("Tree 1")[0].split("Tree 0")[1] == full.ml.toDebugString.split("Tree 1")[0].split("Tree 0")[1] if trees > 1 else True
+
+
 def test_banner_lines_go_by_place(spark):
     folder = tempfile.mkdtemp(prefix="riskframe-test-")
     for name in ("a", "b"):
