@@ -79,9 +79,10 @@ def templates(paths: DataFrame) -> DataFrame:
 def judged_templates(labelled: DataFrame) -> DataFrame:
     """(host, template, bad, n, purity, rejected) from rows (host, template, y), y = 1 for a bad page."""
     own = labelled.groupBy("host", "template").agg(F.sum("y").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
-    every = labelled.agg(F.sum("y").cast("double").alias("all_bad"), F.count("*").cast("double").alias("all_n"))
-    hosts = own.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("n").alias("hn")).crossJoin(F.broadcast(every))  # one row
-    hosts = hosts.select(F.col("host").alias("ph"), ((F.col("hb") + PRIOR * (F.col("all_bad") + 1) / (F.col("all_n") + 2)) / (F.col("hn") + PRIOR)).alias("prior"))
+    every = labelled.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    common = ((every["bad"] or 0) + 1) / (every["n"] + 2)
+    hosts = own.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("n").alias("hn"))
+    hosts = hosts.select(F.col("host").alias("ph"), ((F.col("hb") + PRIOR * common) / (F.col("hn") + PRIOR)).alias("prior"))
     # siblings: equal but for one literal; a template belongs to one family per literal it holds
     parts = F.split("template", "/", -1)
     family = own.select("host", "template", "bad", "n", F.posexplode(parts).alias("i", "part")).filter("part <> '' AND NOT part LIKE '*%'")
