@@ -1,7 +1,7 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with the words around each hit.
 
-The lexicon is learned: words that labelled toxic texts hold and clean ones do not, taken in turn as long as they explain
-toxic texts that no ``COVER`` earlier words do. It is stored as a trie. A word of a text is looked up by walking the
+The lexicon is learned: words, and beginnings of words ("abcd*"), that labelled toxic texts hold and clean ones do not,
+taken in turn as long as they explain toxic texts that no ``COVER`` earlier terms do. It is stored as a trie. A word of a text is looked up by walking the
 trie with the states of a Levenshtein automaton (position in the word, errors so far), so all terms within one edit (two
 for long terms) are found in one walk that ends where no state is left. A term whose near misses also occur in clean
 texts accepts exact hits only.
@@ -14,6 +14,7 @@ most ``FIT_ROWS`` labelled texts; scoring is one pass without a shuffle, and eac
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,7 @@ LEAST = 3  # toxic texts that must hold a term
 LONG = 9  # terms from this length on allow two edits
 SHORTEST = 4
 WINDOW = 5
-CANDIDATES = 20_000  # pure words, the most frequent first, that the cover chooses from
+CANDIDATES = 20_000  # pure words and beginnings, the most frequent first, that the cover chooses from
 HELD = 500_000  # looked-up words a worker remembers, about 60 MB
 ROWS = 500
 
@@ -42,14 +43,26 @@ REPORT = frozenset("said says wrote writes quoted quote called word term slur in
 ADDRESS = frozenset("you your yours you're u ur du dich dein deine ihr euch tu te toi ton vous votre tú usted vosotros eres".split())
 
 
+STEMS = range(4, 8)  # lengths of beginnings
+
+
 def allowed(term: str) -> int:
-    return 2 if len(term) >= LONG else 1 if len(term) >= SHORTEST else 0
+    """Edits that a term forgives; a beginning, which forgives any ending already, takes two letters more for each."""
+    n = len(term) - 3 if term.endswith("*") else len(term)
+    return 2 if n >= LONG else 1 if n >= SHORTEST else 0
+
+
+def units(text: str) -> set[str]:
+    """The words of a text and their beginnings."""
+    words = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
     term: str | None = None
+    stem: str | None = None  # a beginning that ends here
     edits: int = 0  # the most that any term below allows
 
 
@@ -58,10 +71,13 @@ def trie(terms) -> Node:
     for t in terms:
         node, k = root, allowed(t)
         root.edits = max(root.edits, k)
-        for c in t:
+        for c in t.rstrip("*"):
             node = node.next.setdefault(c, Node())
             node.edits = max(node.edits, k)
-        node.term = t
+        if t.endswith("*"):
+            node.stem = t
+        else:
+            node.term = t
     return root
 
 
@@ -101,6 +117,10 @@ def nearest(root: Node, word: str) -> tuple[str, int] | None:
             e = states[len(word)]
             if e <= allowed(node.term) and (best is None or (e, node.term) < best):
                 best = (e, node.term)
+        if node.stem is not None:
+            e = min(states.values())
+            if e <= allowed(node.stem) and (best is None or (e, node.stem) < best):
+                best = (e, node.stem)
         for c, child in node.next.items():
             after = _step(states, word, c, child.edits)
             if after:
@@ -119,7 +139,7 @@ def leads_on(root: Node, head: str) -> bool:
     stack = [(root, 0, _closed({0: 0}, len(head), root.edits))]
     while stack:
         node, depth, states = stack.pop()
-        if depth == DEPTH or node.term is not None:
+        if depth == DEPTH or node.term is not None or node.stem is not None:
             return True
         for c, child in node.next.items():
             after = _step(states, head, c, child.edits)
@@ -133,7 +153,7 @@ class Finder:
 
     def __init__(self, terms, exact_only=frozenset()):
         self.root, self.exact_only = trie(terms), exact_only
-        self.held: dict[str, int | None] = {}
+        self.held: dict[str, int] = {}
         self.heads: dict[str, bool] = {}
         self.head = DEPTH + self.root.edits
 
@@ -151,20 +171,30 @@ class Finder:
 
     def look(self, word: str) -> int | None:
         """Edits to the nearest term, or None."""
-        if word in self.held:
-            return self.held[word]
         got = self.nearest(word)
-        edits = None if got is None or (got[1] and got[0] in self.exact_only) else got[1]
-        if len(self.held) >= HELD:
-            self.held.clear()
-        self.held[word] = edits
-        return edits
+        return None if got is None or (got[1] and got[0] in self.exact_only) else got[1]
+
+    def edits(self, words: list[str]) -> list[int]:
+        """Edits of each word to its nearest term, -1 without one; new words are looked up once and remembered."""
+        out = list(map(self.held.get, words))
+        if None in out:
+            for i in [i for i, e in enumerate(out) if e is None]:
+                w = words[i]
+                e = self.held.get(w)
+                if e is None:
+                    got = self.look(w)
+                    e = self.held[w] = -1 if got is None else got
+                out[i] = e
+            if len(self.held) > HELD:
+                self.held.clear()
+        return out
 
     def features(self, text: str | None) -> list[float]:
         """Hits per kind (plain, quoted, addressed, misspelled), on a log scale, and their density."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        at = [(i, e) for i, e in enumerate(map(self.look, words)) if e is not None]
+        edits = self.edits(words)
+        at = [(i, e) for i, e in enumerate(edits) if e >= 0] if edits and max(edits) >= 0 else []
         kinds = [0.0, 0.0, 0.0, 0.0]
         if at:
             spans = [m.start() for m in WORD.finditer(low)]
@@ -235,13 +265,31 @@ def _per_text(sample: DataFrame, of, schema: str) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            rows = [r for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) for r in of(t or "", y)]
-            cols = list(zip(*rows)) if rows else [[] for _ in schema.split(",")]
-            yield pa.RecordBatch.from_pydict({f.split()[0]: pa.array(list(c), _ARROW[f.split()[1]]) for f, c in zip(schema.split(","), cols)})
+            yield _batch([r for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) for r in of(t or "", y)], schema)
 
     return sample.mapInArrow(work, schema)
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[] for _ in schema.split(",")]
+    return pa.RecordBatch.from_pydict({f.split()[0]: pa.array(list(c), _ARROW[f.split()[1]]) for f, c in zip(schema.split(","), cols)})
+
+
+def _unit_counts(sample: DataFrame) -> DataFrame:
+    """(unit, bad, good): toxic and clean sampled texts that hold it, counted per batch before the shuffle."""
+
+    def work(batches):
+        for b in batches:
+            count: tuple[Counter, Counter] = (Counter(), Counter())
+            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+                count[y].update(units(t or ""))
+            rows = [(w, count[1][w], count[0][w]) for w in {*count[0], *count[1]}]
+            for i in range(0, len(rows), 50_000):
+                yield _batch(rows[i : i + 50_000], "unit string, bad int, good int")
+
+    return sample.mapInArrow(work, "unit string, bad int, good int").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
 
 
@@ -254,29 +302,34 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model([], frozenset(), None)
-    words = _per_text(sample, lambda t, y: [(w, y) for w in set(WORD.findall(t.lower())) if len(w) >= 3], "word string, y int")
-    counts = words.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    pure = counts.filter((F.col("bad") >= LEAST) & (F.col("bad") / n[1] >= 20 * (F.col("good") + 0.25) / n[0]))
-    # a lexicon word stands out in toxic texts; the most frequent ones suffice for the cover
-    fit_words = {r["word"] for r in pure.orderBy(F.desc("bad"), "word").limit(CANDIDATES).select("word").collect()}
-    lists = _per_text(sample.filter("y = 1"), lambda t, y: [(sorted(set(WORD.findall(t.lower())) & fit_words),)], "words array<string>")
+    pure = _unit_counts(sample).filter((F.col("bad") >= LEAST) & (F.col("bad") / n[1] >= 20 * (F.col("good") + 0.25) / n[0]))
+    # lexicon words stand out in toxic texts; the most frequent ones suffice for the cover
+    fit_units = {r["unit"] for r in pure.orderBy(F.desc("bad"), "unit").limit(CANDIDATES).select("unit").collect()}
+    lists = _per_text(sample.filter("y = 1"), lambda t, y: [(sorted(units(t) & fit_units),)], "words array<string>")
     terms = lexicon([set(r["words"]) for r in lists.orderBy("words").collect()])
     if not terms:
         return Model([], frozenset(), None)
     misses = _per_text(sample.filter("y = 0"), _near_misses(terms), "term string").distinct()
     wrong = frozenset(r["term"] for r in misses.collect())
     held: dict[str, Finder] = {}
-    rows = _per_text(sample, lambda t, y: [(held.setdefault("f", Finder(terms, wrong)).features(t), y)], "x array<double>, y int").orderBy("x", "y").toPandas()
-    return Model(terms, wrong, logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy()))
+    rows = _per_text(sample, lambda t, y: [(held.setdefault("f", Finder(terms, wrong)).features(t), y)], "x array<double>, y int").toPandas()
+    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
+    order = np.lexsort((y, *x.T))  # sums in one order, whatever the tasks' order was
+    return Model(terms, wrong, logistic(x[order], y[order]))
 
 
 def _near_misses(terms: list[str]):
+    """Terms that words of a text miss narrowly, each word looked at once per worker."""
     held: dict[str, Finder] = {}
+    seen: set[str] = set()
 
     def of(text: str, y: int):
         finder = held.setdefault("f", Finder(terms))
-        found = (finder.nearest(w) for w in set(WORD.findall(text.lower())))
-        return [(term,) for term in {g[0] for g in found if g and g[1]}]
+        new = set(WORD.findall(text.lower())) - seen
+        if len(seen) > HELD:
+            seen.clear()
+        seen.update(new)
+        return [(term,) for term in {g[0] for g in map(finder.nearest, new) if g and g[1]}]
 
     return of
 
