@@ -34,7 +34,8 @@ def _steps(col: str) -> Column:
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``: one int per bin, null where the text has no k-mer; the null text counts as empty.
 
-    Every step is a column of its own: a lambda would work out a nested expression once per element.
+    Every step is a column of its own: a lambda would work out a nested expression once per element. A column that is
+    only used inside a lambda is named once more outside it, else the optimizer would put its expression there.
     """
     w, h, a, s, e, c = (f"_{name}_{x}" for x in "whasec")
     low = F.lit(_AT).cast("long")
@@ -51,7 +52,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         return F.when((j > 0) & (top(F.get(a, j - 1)) == top(x)), run).otherwise(F.lit(1))
 
     rank = lambda x, j: F.shiftleft(top(F.xxhash64(top(x), numbered(x, j))), 24).bitwiseOR(x.bitwiseAND(low))
-    df = df.select(*keep, h, F.sort_array(F.transform(a, rank)).alias(e))
+    df = df.select(*keep, h, F.when(F.size(s) > 0, F.sort_array(F.transform(a, rank))).alias(e))
     of = lambda x: F.shiftrightunsigned(x, _BIN_SHIFT)
     df = df.select(*keep, h, F.filter(e, lambda x, j: (j < PICK) | (of(F.get(e, F.greatest(j - PICK, F.lit(0)))) != of(x))).alias(c))
 
@@ -60,7 +61,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         return F.when(F.size(picked) > 0, F.aggregate(order, F.lit(42).cast("long"), lambda acc, i: F.xxhash64(acc, F.get(h, i)), lambda acc: F.shiftright(acc, 32).cast("int")))
 
     bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.filter(c, lambda x: of(x) == b))
-    return df.select(*keep, F.transform(bins, entry).alias(name))
+    return df.select(*keep, F.when((F.size(c) >= 0) & (F.size(h) >= 0), F.transform(bins, entry)).alias(name))
 
 
 def likeness(a: str, b: str) -> Column:
