@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import global_index
+from riskframe.llm.graph import spread_join
 from riskframe.session import shuffle_partitions, stage
 
 ROUNDS = 6
@@ -42,7 +43,7 @@ def _offers(linked: DataFrame, sizes: DataFrame) -> DataFrame:
     wish = room.join(places, "grp").withColumn("best", best)
     ahead = (F.col("best.held") > F.col("held")) | ((F.col("best.held") == F.col("held")) & (F.col("best.tie") > F.col("tie")))
     wish = wish.filter(ahead).select("grp", "shard", F.col("best.shard").alias("target"))
-    return linked.join(wish, ["grp", "shard"])
+    return spread_join(linked, wish, ["grp", "shard"], F.col("rid"))
 
 
 def _round(linked: DataFrame, free: DataFrame, shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +99,7 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS, text: str =
     # a hashed order, so that the first deal does not follow the ids
     rows = stage(global_index(rows, F.xxhash64("key", "grp"), F.col("key"), name="rid").withColumn("shard", (F.col("rid") % shards).cast("int")))
     many = rows.groupBy("grp").agg(F.count("*").alias("copies")).filter("copies > 1").select("grp")
-    linked = stage(rows.select("rid", "grp", "shard").join(many, "grp").select("rid", "grp", "shard"))
+    linked = stage(spread_join(rows.select("rid", "grp", "shard"), many, "grp", F.col("rid")).select("rid", "grp", "shard"))
     free = rows.select("rid", "grp", "shard").join(linked.select("rid"), "rid", "left_anti")
     free = stage(free)
     for _ in range(rounds):
