@@ -363,9 +363,10 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("common, part", [(3, 256), (10**9, 3), (1, 2)])
-def test_near_duplicates(spark, copies, common, part, monkeypatch):
+@pytest.mark.parametrize("common, part, rounds", [(3, 256, 0), (10**9, 3, 2), (1, 2, 1)])
+def test_near_duplicates(spark, copies, common, part, rounds, monkeypatch):
     monkeypatch.setattr(pt, "COMMON", common)
+    monkeypatch.setattr(pt, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(pt, "PART", part)
     out = pt.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string").repartition(6))
     assert Counter(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect())) == _brute(copies)
