@@ -10,11 +10,6 @@ from riskframe.session import stage
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, position in the partition below
 
 
-def columns_or_null(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Only the columns an operator reads, cast to its types; all others stay behind, so names cannot clash."""
-    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in wanted.items()])
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
