@@ -250,6 +250,43 @@ def test_many_sources_share_queues(spark, monkeypatch):
     _check_packed(pack(rows, PATH).collect(), [(r.doc_id, r.text) for r in rows.collect()])
 
 
+def _took(out, windows):
+    took = [Counter() for _ in range(windows)]
+    for r in out:
+        if r.sequence_id < windows:
+            took[r.sequence_id][r.queue] += r.length
+    return took
+
+
+@pytest.mark.parametrize("weights", [[3, 1, 0, 2, 1], [1e-9, 3e-9, 0, 0, 0], [0] * 5, [0.5, 0.1, 7, 0.001, 40]])
+def test_service_follows_the_weights(weights):
+    totals = [5_000, 333, 70, 1_234, 1]
+    s = Service(totals, weights)
+    own = np.array([s.served(i, np.arange(s.total + 1))[0] for i in range(5)], float)
+    assert (np.diff(own) >= 0).all() and (own.sum(axis=0) == np.arange(s.total + 1)).all()
+    for group in ([w > 0 for w in weights], [not w for w in weights]):
+        held = [i for i in range(5) if group[i]]
+        pace = weights if any(group) and weights[held[0]] else totals
+        for t in np.linspace(0, max((totals[i] / pace[i] for i in held), default=0), 2000):
+            fluid = {i: min(totals[i], pace[i] * t) for i in held}
+            n = int(sum(fluid.values())) + (0 if pace is weights else sum(t for t, w in zip(totals, weights) if w))
+            assert all(abs(own[i, n] - fluid[i]) < 4 for i in held)
+
+
+def test_weights_of_more_sources_than_queues(spark, monkeypatch):
+    from riskframe.llm import mixture_packing as mp
+
+    monkeypatch.setattr(mp, "QUEUES", 8)
+    rows = [(i, prose(i, 300), f"s{i % 40}" if i % 41 else None) for i in range(900)] + [(1000 + i, prose(i, 300), "hot") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {**{f"s{i}": 1.0 + i % 3 for i in range(40)}, "hot": 40.0, None: 2.0}
+    out = pack(docs, PATH, weights).collect()
+    _check_packed(out, [r[:2] for r in rows])
+    assert {r.queue for r in out} == set(weights)
+    for took in _took(out, 10):
+        assert all(abs(took[q] - LENGTH * w / sum(weights.values())) < 12 for q, w in weights.items())
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
