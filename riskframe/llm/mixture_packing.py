@@ -10,7 +10,8 @@ a queue is within one token per level of the tree of its target all the time.
 By default the targets are the queues' own shares, and all run out together. With ``weights``, when a queue runs out the
 others share its place in their proportions; queues without a weight come last.
 
-Every source is a queue of its own, however many there are. Documents are tokenised once and staged with
+Every source is a queue of its own, however many there are. Documents are sorted by (queue, a hash of id and text, id)
+over all tasks, so a queue's order does not depend on how the input was split. They are tokenised once and staged with
 their place in their queue within their partition; one sum per (partition, queue) gives the places over all partitions.
 A task then cuts its documents at the sequences' borders. Nothing but the table of queues meets on the driver.
 """
@@ -209,12 +210,14 @@ def _cut(service, s, name, run, doc, raw, n, start, enc, length, out) -> None:
 def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, float] | None = None, length: int = LENGTH, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
-    Null texts count as empty and hold the end id alone. Within a queue, documents keep the order in which their partition
-    of the input was read. A source is a queue, and a null source one of its own. ``weights`` are the queues' target shares of the tokens
+    Null texts count as empty and hold the end id alone. Within a queue, documents follow a hash of id and text, then the
+    id. A source is a queue, and a null source one of its own. ``weights`` are the queues' target shares of the tokens
     (relative; None is the null source's). Repeated rows are documents of their own; an empty table gives an empty result.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), name.alias("queue"))
+    order = ["queue", F.xxhash64("doc_id", "text"), "doc_id"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     staged = stage(_tokenised(rows, tokenizer))
     sums = stage(staged.groupBy("queue", "part").agg(F.sum("n").alias("n")))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,6 +33,12 @@ def _toss(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
+def tempered(docs: DataFrame, source: str = "source") -> dict[str | None, float]:
+    """The default weight of every source, by its name as a string: one number per source meets on the driver."""
+    rows = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("rows"))
+    return {r["source"]: float(r["rows"]) ** TEMPER for r in rows.collect()}
+
+
 def quotas(sources: DataFrame, cycle: int) -> DataFrame:
     """(source, quota): whole slots of the cycle, at least one each; ``cycle`` grows to hold every source four times."""
     every = Window.partitionBy(F.lit(0))

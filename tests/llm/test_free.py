@@ -287,6 +287,12 @@ def test_weights_of_more_sources_than_queues(spark, monkeypatch):
         assert all(abs(took[q] - LENGTH * w / sum(weights.values())) < 12 for q, w in weights.items())
 
 
+def test_pack_does_not_depend_on_partitions(edge):
+    rows = edge.dropDuplicates(["doc_id", "text"])
+    a, b = (pack(rows.repartition(n, c), PATH, length=64).collect() for n, c in ((3, "text"), (7, "doc_id")))
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -464,3 +470,15 @@ def test_pipeline_keeps_edges(spark, edge, edge_rows):
     for name, f in cp.STAGES[1:4]:
         assert f(spark, edge, "").columns == edge.columns, name
     assert cp.exact_copies(spark, edge, "").count() == len({(r[1] or "").translate({c: c + 32 for c in range(65, 91)}) for r in edge_rows})
+
+
+def test_pipeline_windows_follow_the_mix(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, prose(i, 250), "en", "web" if i % 10 < 7 else "code" if i % 10 < 9 else "books", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.packing(spark, cp.mixing(spark, docs, ""), "").collect()
+    _check_packed(out, [r[:2] for r in rows])
+    weights = {s: n**0.7 for s, n in Counter(r[3] for r in rows).items()}
+    for took in _took(out, 20):
+        assert all(abs(took[s] - LENGTH * w / sum(weights.values())) < 6 for s, w in weights.items())
