@@ -1,26 +1,34 @@
 """Mixing sources to target weights by a Pfair schedule.
 
-Each source's rows, in a hashed order, are cut into blocks. Weights become whole quotas of a cycle of ``cycle`` slots
-(largest remainders, at least one each). Block j (from 0) of a source with quota q is released at slot
-floor(j * cycle / q) and due by slot ceil((j + 1) * cycle / q); in each slot the released block that is due first is
-placed. On one server such unit jobs always meet their deadlines under earliest-deadline-first, so after every slot a
-source has had its share up to less than one block. The schedule repeats each cycle, so it is worked out once, by a
-fold over the slots of one cycle in SQL, and block i of a source takes the place (i div q, slot of i mod q).
+Each source's rows, in a hashed order, are cut into blocks. With w the source's share of the weights, an exact fraction,
+block j (from 0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w); in each slot the released block that is
+due first is placed. On one server such unit jobs always meet their deadlines under earliest-deadline-first, so after every
+slot a source has had its share up to less than one block, however many slots went before, while all sources last.
+A sort by deadlines alone would not do: without the releases, a source may run ahead by many blocks.
 
 A source that runs out leaves its slots empty and the others close up, in their own proportions. Nothing is dropped or
-repeated. The table of sources is one row each; it and the cycle's slots are all that is broadcast.
+repeated. A slot depends on those before, so the blocks' sources are worked out in one pass on the driver, from one count
+per source: a heap step and about 30 bytes a block of ``block_rows`` rows. The rows themselves stay distributed.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+from fractions import Fraction
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import global_index
 from riskframe.session import stage
 
-CYCLE = 1000
 BLOCK_ROWS = 16
+CHUNK = 64  # blocks of a source whose slots travel as one row
+BROADCAST_BLOCKS = 4_000_000  # slots of 8 bytes
 TEMPER = 0.7  # default weight of a source: its rows to this power
 
 
@@ -40,7 +48,7 @@ def tempered(docs: DataFrame, source: str = "source") -> dict[str | None, float]
 
 
 def quotas(sources: DataFrame, cycle: int) -> DataFrame:
-    """(source, quota): whole slots of the cycle, at least one each; ``cycle`` grows to hold every source four times."""
+    """(source, quota) of a plan that repeats a short cycle: whole slots of the cycle, at least one each; ``cycle`` grows to hold every source four times."""
     every = Window.partitionBy(F.lit(0))
     wide = sources.withColumn("slots", F.greatest(F.lit(cycle), 4 * F.count("*").over(every)))
     share = F.col("weight") / F.sum("weight").over(every) * (F.col("slots") - F.count("*").over(every))
@@ -72,13 +80,50 @@ def schedule(quota: DataFrame) -> DataFrame:
     return slots.select("source", (F.row_number().over(nth) - 1).alias("j"), "slot")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Every row with its place in the mix: key, source, toss (a hash of key and text), block, quota, slots, slot, position (gapless from 0).
-
-    ``weights`` has (source, weight); sources that it leaves out, or gives no positive weight, follow after all others
-    in a cycle of their own. Without it a source's weight is its rows to the power ``TEMPER``. A null source is a source
-    of its own. Rows of one key are ordered by their text; repeated rows stay. An empty table gives an empty result.
+def deal(weights: list[float], blocks: list[int]) -> np.ndarray:
+    """The source of every slot, by earliest deadline first among released blocks; empty slots are left out."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*[w.denominator for w in exact])
+    whole = [int(w * unit) for w in exact]
+    total, done, order, t = sum(whole), [0] * len(whole), array("i"), 0
+    ready: list[tuple[int, int]] = []
+    later = [(0, i) for i, n in enumerate(blocks) if n]
+    while ready or later:
+        if not ready:
+            t = max(t, later[0][0])
+        while later and later[0][0] <= t:
+            i = heappop(later)[1]
+            heappush(ready, (-(-(done[i] + 1) * total // whole[i]), i))
+        i = heappop(ready)[1]
+        order.append(i)
+        done[i] += 1
+        t += 1
+        if done[i] < blocks[i]:
+            heappush(later, (done[i] * total // whole[i], i))
+    return np.frombuffer(order, np.intc) if order else np.zeros(0, np.intc)
+
+
+def _slots(order: np.ndarray, sources: int) -> pa.Table:
+    """(id, chunk, slots): the slots of ``CHUNK`` blocks of a source each, in order."""
+    slots = np.argsort(order, kind="stable")
+    count = np.bincount(order, minlength=sources)
+    chunks = -(-count // CHUNK)
+    ids = np.repeat(np.arange(sources), chunks)
+    chunk = np.arange(len(ids)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    heads = np.repeat(np.cumsum(count) - count, chunks) + chunk * CHUNK
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(slots)), pa.int32()), pa.array(slots, pa.int64()))
+    return pa.table({"id": pa.array(ids, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "slots": lists})
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """Every row with its place in the mix: key, source, toss (a hash of key and text), block, share, slot, position (gapless from 0).
+
+    ``share`` is the source's target share, and ``slot`` the place of its block among all blocks. ``weights`` has (source,
+    weight); sources that it leaves out, or gives no positive weight, follow after all others with equal weights and a
+    null share. Without it a source's weight is its rows to the power ``TEMPER``. A null source is a source of its own.
+    Rows of one key are ordered by their text; repeated rows stay. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), _named(F.col(source)).alias("source"), _toss(key, text).alias("toss"))
     narrow = global_index(rows, F.col("source"), F.col("toss"), F.col("key"))
     sizes = stage(narrow.groupBy("source").agg(F.min("idx").alias("first"), F.count("*").alias("rows")))
@@ -87,24 +132,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, b
     else:
         given = weights.select(_named(F.col("source")).alias("source"), F.col("weight").cast("double").alias("weight")).groupBy("source").agg(F.max("weight").alias("weight"))
         weighed = sizes.join(given, "source", "left").withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")))
-    named = quotas(weighed.filter("weight IS NOT NULL").select("source", "weight"), cycle).withColumn("late", F.lit(0))
-    rest = quotas(weighed.filter("weight IS NULL").select("source", F.lit(1.0).alias("weight")), cycle).withColumn("late", F.lit(1))
-    quota = stage(named.unionAll(rest))
-    cycles = schedule(quota.filter("late = 0").drop("late")).unionAll(schedule(quota.filter("late = 1").drop("late")))
-    plan = cycles.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "slot"))), lambda x: x["slot"]).alias("places"))
-    table = sizes.select("source", "first").join(quota, "source").join(plan, "source")
-    block = F.floor((F.col("idx") - F.col("first")) / block_rows)
-    placed = (
-        narrow.join(F.broadcast(table), "source")  # one row per source
-        .withColumn("block", block)
-        .withColumn("round", F.floor(F.col("block") / F.col("quota")))
-        .withColumn("slot", F.col("round") * F.col("slots") + F.get("places", (F.col("block") % F.col("quota")).cast("int")))
-        .drop("places", "first", "round", "rows")
-    )
-    out = global_index(placed, F.col("late"), F.col("slot"), F.col("idx"), name="position")
+    table = sorted((r["weight"] is None, r["source"], r["first"], r["rows"], r["weight"]) for r in weighed.collect())
+    named = sum(not late for late, *_ in table)
+    blocks = [-(-n // block_rows) for _, _, _, n, _ in table]
+    order = np.concatenate([deal([x[4] for x in table[:named]], blocks[:named]), named + deal([1.0] * (len(table) - named), blocks[named:])])
+    every = math.fsum(x[4] for x in table[:named])
+    known = spark.createDataFrame([(i, x[1], x[2], None if x[0] else x[4] / every) for i, x in enumerate(table)], "id int, source string, first long, share double")
+    places = spark.createDataFrame(_slots(order, len(table)), "id int, chunk long, slots array<long>")
+    placed = narrow.join(F.broadcast(known), "source")  # one row per source
+    placed = placed.withColumn("block", F.floor((F.col("idx") - F.col("first")) / block_rows)).withColumn("chunk", F.floor(F.col("block") / CHUNK))
+    placed = placed.join(F.broadcast(places) if len(order) <= BROADCAST_BLOCKS else places, ["id", "chunk"])
+    placed = placed.withColumn("slot", F.get("slots", (F.col("block") % CHUNK).cast("int"))).drop("slots", "first", "chunk", "id")
+    out = global_index(placed, F.col("slot"), F.col("idx"), name="position")
     return out.select(
         F.col("key").alias(key), F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias(source), "toss",
-        F.col("block").cast("long").alias("block"), "quota", "slots", F.col("slot").cast("long").alias("slot"), F.col("position").cast("long").alias("position"),
+        F.col("block").cast("long").alias("block"), "share", F.col("slot").cast("long").alias("slot"), F.col("position").cast("long").alias("position"),
     )
 
 

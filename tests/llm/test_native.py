@@ -5,11 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from riskframe.llm import content_sort as cs
 from riskframe.llm.balanced_shards import assign, balanced_shards, cut_edges
-from riskframe.llm.pfair_mixing import mix, mixed_rows, quotas, schedule
+from riskframe.llm.pfair_mixing import deal, mix, mixed_rows, quotas, schedule
 from riskframe.llm.pii_spans import luhn, mod97, pii, pii_digest
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,6 +96,37 @@ def test_mix(edge, edge_rows, spark):
     assert len(given) == len(edge_rows)
 
 
+def _lag(order, weights, blocks):
+    """The greatest distance of a source from its share, up to the slot in which the first source runs out."""
+    share, had, worst = np.array(weights) / sum(weights), np.zeros(len(weights)), 0.0
+    for t, i in enumerate(order, 1):
+        had[i] += 1
+        worst = max(worst, np.abs(had - share * t).max())
+        if had[i] == blocks[i]:
+            return t, worst
+
+
+@pytest.mark.parametrize("weights", [[0.9] + [0.1 / 249] * 249, [500.0] + [1.0] * 500, [float(i**3) for i in range(1, 21)], [n**0.7 for n in (3, 50, 700, 7000)], [1 / 3, 1e-7, 0.5]])
+def test_every_slot_follows_the_weights(weights):
+    blocks = [max(1, int(30_000 * w / sum(weights))) for w in weights]
+    order = deal(weights, blocks)
+    assert Counter(order.tolist()) == {i: n for i, n in enumerate(blocks)}
+    slots, worst = _lag(order, weights, blocks)
+    assert slots > 1000 and worst < 1
+
+
+def test_mix_follows_the_weights_of_many_sources(spark):
+    rows = [(i, f"text {i}", "big" if i < 1800 else f"s{i % 100}") for i in range(2800)]
+    weights = {"big": 900.0, **{f"s{i}": 1.0 for i in range(100)}}
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    out = sorted(mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), table, block_rows=2).collect(), key=lambda r: r.position)
+    assert [r.slot for r in out] == [i // 2 for i in range(2800)]
+    names = list(weights)
+    order = [names.index(r.source) for r in out[::2]]
+    slots, worst = _lag(order, list(weights.values()), [900] + [5] * 100)
+    assert slots > 900 and worst < 1
+
+
 def test_mixed_rows_keep_everything(edge, edge_rows):
     out = mixed_rows(edge)
     assert out.columns == edge.columns
