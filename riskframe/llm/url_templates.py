@@ -5,7 +5,8 @@ rare segments become wildcards by their shape (a run of digits is N, a run of le
 good share of the place stay literal. What a path turns into is its template. Templates of a host that differ in one
 literal only are siblings; those whose share of bad labels is statistically like that of the siblings together are merged
 for the judgement. A template is rejected when its share of bad labels, smoothed towards its host's and the host's
-towards all, is high. Rules given by hand come before the trees.
+towards all, is high. A template with too few labels of its own takes the verdict of its siblings, labelled or not, or
+that of the nearest node above it with enough of them. Rules given by hand come before the trees.
 
 Trees are built from distinct (host, path) with counts, pre-aggregated before the shuffle. Joins back to the rows spread
 a hot host over tasks. Segments beyond ``DEPTH`` count as one wildcard tail.
@@ -62,9 +63,9 @@ def templates(paths: DataFrame) -> DataFrame:
     now = paths.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template"))
     for d in range(DEPTH):
         here = now.withColumn("seg", F.get("segs", F.lit(d)))
-        places = here.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"))
-        whole = places.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
-        variable = whole.filter((F.col("kinds") >= VARIED) & (F.col("kinds") >= SPREAD * F.col("rows")))
+        places = here.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        whole = places.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.sum("paths").alias("paths"), F.count("*").alias("kinds"))
+        variable = whole.filter((F.col("kinds") >= VARIED) & (F.col("kinds") >= SPREAD * F.col("paths")))
         variable = variable.select(F.xxhash64("host", "template").alias("place"), F.col("host").alias("h"), F.col("template").alias("t"), "rows")
         keyed = places.withColumn("place", F.xxhash64("host", "template"))
         kept = spread_join(keyed, variable, "place", F.col("seg")).filter((F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("n") >= LITERAL * F.col("rows")))
@@ -104,13 +105,49 @@ def judged_templates(labelled: DataFrame) -> DataFrame:
     return out.select("host", "template", bad.alias("bad"), n.alias("n"), purity.alias("purity"), ((purity >= REJECT) & (n >= LEAST)).alias("rejected"))
 
 
+def inherited_templates(known: DataFrame, labelled: DataFrame, judged: DataFrame) -> DataFrame:
+    """(host, template, bad, n, purity, rejected) of the templates ``known`` (host, template) that ``judged`` has too few labels for.
+
+    bad and n are the labels that decide: those of the largest family of siblings with ``LEAST`` of them, else of the nearest
+    node above, the host's root at last. Own labels, if there are any, are smoothed towards these labels' purity.
+    """
+    own = stage(labelled.groupBy("host", "template").agg(F.sum("y").cast("double").alias("bad"), F.count("*").cast("double").alias("n")))
+    every = own.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    common = ((every["bad"] or 0) + 1) / ((every["n"] or 0) + 2)
+    hosts = own.groupBy("host").agg(((F.sum("bad") + PRIOR * common) / (F.sum("n") + PRIOR)).alias("prior"))
+    enough = judged.filter(F.col("n") >= LEAST).select("host", "template")
+    need = known.join(enough, ["host", "template"], "left_anti").select("host", "template")
+    need = stage(spread_join(need, hosts, "host", F.col("template")))
+
+    def at(rows: DataFrame, above: bool) -> DataFrame:
+        """Each row with the families that it belongs to, or the nodes above it."""
+        parts = F.split("template", "/", -1)
+        rows = rows.select("*", F.posexplode(parts).alias("i", "part"))
+        if above:
+            return rows.filter("i > 0").withColumn("node", F.array_join(F.slice(parts, F.lit(1), F.col("i")), "/"))
+        kin = F.array_join(F.transform(parts, lambda x, j: F.when(j == F.col("i"), "?").otherwise(x)), "/")
+        return rows.filter("part <> '' AND NOT part LIKE '*%'").withColumn("node", kin)
+
+    def sums(above: bool) -> DataFrame:
+        counts = at(own, above).groupBy("host", "node").agg(F.sum("bad").alias("nb"), F.sum("n").alias("nn")).filter(F.col("nn") >= LEAST)
+        met = spread_join(at(need, above).select("host", "template", "node", "i"), counts, ["host", "node"], F.col("template"))
+        first = F.struct("i", "nn", "nb") if above else F.struct("nn", "nb")
+        return met.groupBy("host", "template").agg(F.max(first).alias("up" if above else "kin"))
+
+    out = need.join(sums(False), ["host", "template"], "left").join(sums(True), ["host", "template"], "left").join(own, ["host", "template"], "left")
+    bad, n = F.coalesce("kin.nb", "up.nb"), F.coalesce("kin.nn", "up.nn")
+    purity = (bad + PRIOR * F.col("prior")) / (n + PRIOR)
+    purity = F.coalesce((F.col("bad") + PRIOR * purity) / (F.col("n") + PRIOR), purity)
+    return out.filter(n.isNotNull()).select("host", "template", bad.alias("bad"), n.alias("n"), purity.alias("purity"), (purity >= REJECT).alias("rejected"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Every page's page_id, host, path, rule, verdict and template.
 
     ``pages`` has page_id and url, ``labels`` page_id and y (1: bad); pages labelled twice count as bad if one says so. A
     null url, or one without "://", has an empty host and path, and the template of the empty path. A page without a
-    rule is blocked when its template is rejected, else allowed; without labels all such are allowed. Repeated rows are
-    judged alike and stay; an empty table gives an empty result.
+    rule is blocked when its template is rejected, else allowed; on hosts with fewer than ``LEAST`` labels all such are
+    allowed. Repeated rows are judged alike and stay; an empty table gives an empty result.
     """
     host, path = parse(F.col("url").cast("string"))
     rows = stage(pages.select(F.col("page_id").alias("page_id"), host.alias("host"), path.alias("path")))
@@ -120,8 +157,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     placed = spread_join(rows.withColumn("at", F.xxhash64("host", "path")), tree, "at", F.col("page_id")).filter((F.col("host") == F.col("th")) & (F.col("path") == F.col("tp")))
     placed = stage(placed.select("page_id", "host", "path", "template"))
     marks = labels.filter("page_id IS NOT NULL AND y IN (0, 1)").groupBy(F.col("page_id").alias("lp")).agg(F.max("y").alias("y"))
-    judged = judged_templates(placed.join(marks, F.col("page_id") == F.col("lp")).select("host", "template", "y"))
-    out = judged.filter("rejected").select(F.xxhash64("host", "template").alias("key"), F.col("host").alias("rh"), F.col("template").alias("rt"))
+    labelled = stage(placed.join(marks, F.col("page_id") == F.col("lp")).select("host", "template", "y"))
+    judged = stage(judged_templates(labelled))
+    known = tree.select(F.col("th").alias("host"), "template").distinct()
+    out = judged.filter("rejected").unionByName(inherited_templates(known, labelled, judged).filter("rejected")).select(F.xxhash64("host", "template").alias("key"), F.col("host").alias("rh"), F.col("template").alias("rt"))
     keyed = placed.withColumn("key", F.xxhash64("host", "template"))
     # keys of two templates that collide would only widen the match, so the names are compared too
     hit = spread_join(keyed, out.groupBy("key").agg(F.collect_set(F.struct("rh", "rt")).alias("names")), "key", F.col("page_id"), "left")

@@ -70,6 +70,26 @@ def test_urls_edges(spark):
     assert ut.judge(same, spark.createDataFrame([(1, 1)], "page_id long, y int")).count() == 3
 
 
+def _verdicts(spark, urls, marks):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = ut.judge(pages, spark.createDataFrame(marks, "page_id long, y int")).collect()
+    return {r.page_id: (r.verdict, r.template) for r in out}
+
+
+def test_small_places_are_judged(spark):
+    urls = [f"http://few.org/{a}/{i}" for a in ("aa", "bb") for i in range(5)] + ["http://few.org/aa/x/y/1", "http://few.org/cc", "http://free.org/aa/1"]
+    got = _verdicts(spark, urls, [(i, 1) for i in range(4)] + [(i, 0) for i in range(5, 9)])
+    assert got[4][0] == "block"  # an unlabelled sibling of bad pages
+    assert got[9][0] == "allow"  # and of good ones
+    assert got[10][0] == "block"  # no sibling, but a place below the bad node
+    assert got[12][0] == "allow"  # nothing known of the host
+
+
+def test_repeated_paths_vary_by_distinct_paths(spark):
+    urls = [f"http://often.org/a/{i % 40}" for i in range(1600)]
+    assert {t for _, t in _verdicts(spark, urls, [(0, 1)]).values()} == {"/a/*N"}
+
+
 # ---------------------------------------------------------------- classifiers
 
 
