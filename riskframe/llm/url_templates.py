@@ -9,18 +9,19 @@ towards all, is high. A template with too few labels of its own takes the verdic
 that of the nearest node above it with enough of them. Rules given by hand come before the trees.
 
 Trees are built from distinct (host, path) with counts, pre-aggregated before the shuffle. Joins back to the rows spread
-a hot host over tasks. Segments beyond ``DEPTH`` count as one wildcard tail.
+a hot host over tasks. There are as many rounds as the deepest path has segments; a path leaves after its last one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.graph import spread_join
 from riskframe.session import stage
 
-DEPTH = 5
 VARIED = 8  # different segments that make a place variable,
 SPREAD = 0.2  # if they are at least this share of its paths
 LITERAL = 0.05  # share of a variable place that keeps a segment literal
@@ -29,6 +30,8 @@ PRIOR = 4.0  # pseudo-labels
 REJECT = 0.5
 LEAST = 3  # labels below which a template is never rejected
 
+ROUNDS = 20  # levels whose ended paths are put into one table
+
 # fixed values: the rules of the query
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -60,8 +63,8 @@ def shape(segment: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template) of distinct paths with their counts ``n``."""
     segs = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    now = paths.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template"))
-    for d in range(DEPTH):
+    now, done = paths.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template")), []
+    for d in range(now.agg(F.max(F.size("segs"))).first()[0] or 0):
         here = now.withColumn("seg", F.get("segs", F.lit(d)))
         places = here.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         whole = places.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.sum("paths").alias("paths"), F.count("*").alias("kinds"))
@@ -72,9 +75,13 @@ def templates(paths: DataFrame) -> DataFrame:
         kept = kept.select(F.xxhash64("host", "template", "seg").alias("branch"), F.col("host").alias("kh"), F.col("template").alias("kt"), F.col("seg").alias("ks"))
         marked = spread_join(here.withColumn("place", F.xxhash64("host", "template")), variable.select("place", F.lit(1).alias("varies")).distinct(), "place", F.col("path"), "left")
         marked = spread_join(marked.withColumn("branch", F.xxhash64("host", "template", "seg")), kept.select("branch", F.lit(1).alias("stays")).distinct(), "branch", F.col("path"), "left")
-        step = F.when(F.col("seg").isNull(), "").when(F.col("varies").isNull() | F.col("stays").isNotNull(), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.concat(F.lit("/"), shape(F.col("seg"))))
+        step = F.when(F.col("varies").isNull() | F.col("stays").isNotNull(), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.concat(F.lit("/"), shape(F.col("seg"))))
         now = stage(marked.withColumn("template", F.concat("template", step)).select("host", "path", "n", "segs", "template"))
-    return now.select("host", "path", "n", F.when(F.size("segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")).alias("template"))
+        done.append(now.filter(F.size("segs") == d + 1))
+        now = now.filter(F.size("segs") > d + 1)
+        if len(done) == ROUNDS:
+            done = [stage(reduce(DataFrame.unionAll, done))]
+    return reduce(DataFrame.unionAll, done, now).select("host", "path", "n", "template")
 
 
 def judged_templates(labelled: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ def test_repeated_paths_vary_by_distinct_paths(spark):
     assert {t for _, t in _verdicts(spark, urls, [(0, 1)]).values()} == {"/a/*N"}
 
 
+def test_deep_paths_stay_apart(spark):
+    urls = [f"http://deep.org/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}" for i in range(60)]
+    got = _verdicts(spark, urls, [(i, i % 2) for i in range(30)])
+    assert {t for _, t in got.values()} == {"/a/b/c/d/e/spam/*N", "/a/b/c/d/e/news/*N"}
+    assert all((v == "block") == (i % 2 == 1) for i, (v, _) in got.items())
+
+
 # ---------------------------------------------------------------- classifiers
 
 
