@@ -202,7 +202,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier does not reject, with the columns they came with."""
-    score = scorer(learn(docs, labels))
+    """The rows that the classifier does not reject, with the columns they came with; all rows if no classifier can be fitted."""
+    model = learn(docs, labels)
+    if model is None:
+        return docs
+    score = scorer(model)
     kept = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("load"), score(F.col("text").cast("string")).alias("score")).filter(F.col("score") >= KEEP)
     return kept.select("load.*")

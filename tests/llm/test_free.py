@@ -136,6 +136,12 @@ def test_classifier_edges(spark, edge, edge_rows, empty, op):
     assert op(edge, labels.limit(0)).count() == len(edge_rows)
 
 
+@pytest.mark.parametrize("marks", [[(i, 1) for i in range(60)], [(9999, 0), (9998, 1)]])
+def test_everything_is_kept_without_a_classifier(spark, edge, edge_rows, marks):
+    out = qda.keep_good(edge, spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert out.columns == edge.columns and Counter(map(tuple, out.collect())) == Counter(edge_rows)
+
+
 def test_statistics_do_not_depend_on_the_batch():
     texts = ["", None, "One two two two.", "É!! ÀÉ ab", prose(3, 500), "a|b | c\n!!!! AAA"]
     alone = np.concatenate([qda.statistics([t]) for t in texts])
