@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.session import stage
+from riskframe.session import shared_folder, stage
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition number above, position in the partition below
 
@@ -38,3 +40,10 @@ def global_index(df: DataFrame, *order: Column, name: str = "idx") -> DataFrame:
         .withColumn(name, F.col("_start") + position_of(F.col("_mid")))
         .drop("_mid", "_pid", "_n", "_start")
     )
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write an intermediate result as Parquet to the shared folder and read it again: compressed, and pruned by column."""
+    path = shared_folder(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
