@@ -102,7 +102,7 @@ def _links(groups) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Both tokenizers, and a bounded store of aligned words: per word its tokens, groups, links and groups as text."""
+    """Both tokenizers, and a bounded store of aligned words: per word its numbers, links, and groups as text ending in ``;``."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -114,15 +114,17 @@ class Aligner:
         plain = _plain_bpe(path_a)
         if plain:
             self.encode_a = lambda texts: [plain[0].encode_ordinary(t) for t in texts]
-            self.bytes_a = plain[0].decode_single_token_bytes
+            self.bytes_a = [plain[0].decode_single_token_bytes(i) if n else b"" for i, n in enumerate(plain[1].tolist())]
         else:
             tok, byte_of = Tokenizer.from_file(path_a), _byte_of()
             tok.encode_special_tokens = True
             self.encode_a = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            self.bytes_a = lambda i: bytes(byte_of[c] for c in tok.id_to_token(i))
+            self.bytes_a = [bytes(byte_of.get(c, 0) for c in tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())]
+        self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        # an id with what follows it in the text of the groups
+        self.said = [f"{i}{end}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for end in ",|;"]
         # no token of either may reach over a space between two other characters
         self.cuts = bool(plain) and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.raw_a: dict[int, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -140,42 +142,47 @@ class Aligner:
         first, *rest = _CUT.split(text)
         return [first, *(w[1:] for w in rest)]
 
-    def tokens(self, words: list[str]) -> list[tuple[list[int], list[int], list[int], list[int], bool]]:
-        """Per word, with a space before it: (ids of A, their ends, ids of B, their ends, whether both give its bytes)."""
-        out, raw = [], self.raw_a
-        for w, a, b in zip(words, self.encode_a([" " + w for w in words]), self.b.encode(words, num_threads=1)):
-            for i in a:
-                if i not in raw:
-                    raw[i] = self.bytes_a(i)
-            x, y = [raw[i] for i in a], [self.bytes_b[i] for i in b]
-            whole = (" " + w).encode()
-            out.append((a, np.cumsum([len(z) for z in x]).tolist(), b, np.cumsum([len(z) for z in y]).tolist(), b"".join(x) == whole == b"".join(y)))
-        return out
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(whether both tokenizers give its bytes, per word; ids of A and of B of the words where they do, and how many of each)."""
+        a, b = self.encode_a([" " + w for w in words]), self.b.encode(words, num_threads=1)
+        whole = [(" " + w).encode() for w in words]
+        ok = np.ones(len(words), bool)
+        sides = []
+        for ids, size, raw in ((a, self.size_a, self.bytes_a), (b, self.size_b, self.bytes_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.int64, n.sum())
+            to = np.append(0, np.cumsum(size[flat]))[np.cumsum(n)]
+            if b"".join([raw[i] for i in flat.tolist()]) != b"".join(whole) or (to != np.cumsum([len(w) for w in whole])).any():
+                ok &= [b"".join([raw[i] for i in x]) == w for x, w in zip(ids, whole)]
+            sides.append((flat, n))
+        return ok, *[x for flat, n in sides for x in (flat[np.repeat(ok, n)], n[ok])]
 
     def learn(self, words: list[str]) -> None:
-        sums, pairs, sizes = [], [], []
-        for w, (a, ends_a, b, ends_b, ok) in zip(words, self.tokens(words)):
-            i = j = i0 = j0 = 0
-            parts, got = [], []
-            while ok and i < len(a):  # walk both to each common end
-                if ends_a[i] == ends_b[j]:
-                    i, j = i + 1, j + 1
-                    x, y = a[i0:i], b[j0:j]
-                    parts.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-                    got += [code(p, q) for p in x for q in y]
-                    i0, j0 = i, j
-                elif ends_a[i] < ends_b[j]:
-                    i += 1
-                else:
-                    j += 1
-            self.at[w] = len(self.text)
-            self.text.append(";".join(parts))
-            sums.append((ok, len(a), len(b), len(parts), len(got)))
-            pairs += got
-            sizes.append(len(got))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64).reshape(-1, 5)])
-        self.start = np.append(self.start, self.start[-1] + np.cumsum(sizes))
-        self.pairs = np.append(self.pairs, np.array(pairs, np.int64))
+        ok, a, na, b, nb = self.tokens(words)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cut_a = ends_b[np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)] == ends_a if len(a) else np.zeros(0, bool)
+        cut_b = ends_a[np.minimum(np.searchsorted(ends_a, ends_b), len(ends_a) - 1)] == ends_b if len(b) else np.zeros(0, bool)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        of_a, of_b = (np.bincount(g, minlength=int(cut_a.sum())) for g in (group_a, group_b))
+        up_a, up_b = np.cumsum(of_a), np.cumsum(of_b)
+        # links: every token of A with each of B in its group
+        n = of_b[group_a]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((up_b - of_b)[group_a], n)
+        pairs = code(np.repeat(a, n), b[at])
+        # the groups as text: a group's tokens of A, then of B
+        said = np.empty(len(a) + len(b), np.int64)
+        said[np.arange(len(a)) + (up_b - of_b)[group_a]] = 3 * a + cut_a
+        said[np.arange(len(b)) + up_a[group_b]] = 3 * b + 2 * cut_b
+        text = list(map(self.said.__getitem__, said.tolist()))
+        per = lambda x: np.diff(np.append(0, np.append(0, np.cumsum(x))[np.cumsum(na)]))  # noqa: E731  sums over the A tokens of a word
+        sums = np.zeros((len(words), 5), np.int64)
+        sums[ok] = np.stack([np.ones(len(na), np.int64), na, nb, per(cut_a), per(n)], axis=1)
+        ends = np.cumsum(sums[:, 1] + sums[:, 2]).tolist()
+        self.at.update(zip(words, range(len(self.text), len(self.text) + len(words))))
+        self.text += ["".join(text[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+        self.sums = np.concatenate([self.sums, sums])
+        self.start = np.append(self.start, self.start[-1] + np.cumsum(sums[:, 4]))
+        self.pairs = np.append(self.pairs, pairs)
 
     def align(self, texts: list[str]) -> list[tuple]:
         """Per text (without tokens if empty or not ok): n_a, n_b, n_groups, groups_sha256, pair codes, numbers."""
@@ -198,7 +205,7 @@ class Aligner:
         out = []
         for i, s in enumerate(spot):
             if good[i]:
-                said = ";".join([self.text[k] for k in s])
+                said = "".join(map(self.text.__getitem__, s))[:-1]
                 out.append((*total[i, 1:4].tolist(), hashlib.sha256(said.encode()).hexdigest(), both[cut[i] : cut[i + 1]] & 0xFFFFFFFF, times[cut[i] : cut[i + 1]]))
             else:
                 out.append((0, 0, 0, "", both[:0], times[:0]))
@@ -208,15 +215,11 @@ class Aligner:
 
     def chunk(self, text: str) -> tuple[bool, Fragment]:
         """(whether both tokenizers give the bytes, the fragment) of a chunk that begins after a cut's space."""
-        ids_a, ends_a, ids_b, ends_b, lo, fine = [], [], [], [], 0, True
-        for w, (a, ea, b, eb, ok) in zip(ws := self.words(text), self.tokens(ws)):
-            ids_a += a
-            ids_b += b
-            ends_a += [lo + e for e in ea]
-            ends_b += [lo + e for e in eb]
-            lo += len(w.encode()) + 1
-            fine &= ok
-        return fine, fragment(ids_a, ends_a, ids_b, ends_b, 0, lo) if fine else Fragment()
+        ok, a, _, b, _ = self.tokens(self.words(text))
+        if not ok.all():
+            return False, Fragment()
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        return True, fragment(a.tolist(), ends_a, b.tolist(), ends_b, 0, int(ends_a[-1]))
 
 
 @lru_cache(maxsize=2)
