@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.balanced_shards import balanced_shards
 from riskframe.llm.content_sort import content_sort
+from riskframe.llm.conversation_trie import trie
 from riskframe.llm.fragment_alignment import align
 from riskframe.llm.mixture_packing import pack
 from riskframe.llm.order_minhash import fingerprints
@@ -101,6 +102,11 @@ def op10(spark, d):
     return pii_digest(table(spark, d, "documents"))
 
 
+@query("op12_conversation_trie")
+def op12(spark, d):
+    return trie(table(spark, d, "conversations"))
+
+
 @query("op13_fragment_alignment")
 def op13(spark, d):
     return align(table(spark, d, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
