@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +50,14 @@ def stage_table(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_steps(batches: Iterator[pa.RecordBatch], size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` characters of a text column, one text at least."""
+    for b in batches:
+        lens = np.cumsum([len(t or "") + 1 for t in b.column(name).to_pylist()])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + size, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.bpe import _byte_of, _plain_bpe
-from riskframe.llm.common import stage_table
+from riskframe.llm.common import stage_table, text_steps
 from riskframe.llm.graph import spread_join
 
 CHUNK = 65_536  # characters; longer texts are aligned in chunks of about this size
@@ -248,17 +248,6 @@ def _codes(x: np.ndarray):
     return x.astype(np.uint32).view(np.int32)
 
 
-def _steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` characters of ``text``."""
-    for b in batches:
-        lens = np.cumsum([len(t or "") + 1 for t in b.column("text").to_pylist()])
-        lo = 0
-        while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + size, side="right")))
-            yield b.slice(lo, hi - lo)
-            lo = hi
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
@@ -274,7 +263,7 @@ def _aligned(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 
     def work(batches):
         schema, al = _arrow(ddl), aligner(*paths)
-        for b in _steps(batches, STEP):
+        for b in text_steps(batches, STEP):
             short, long = [], []
             for rid, d, t in zip(*(b.column(c).to_pylist() for c in ("rid", "doc_id", "text"))):
                 (long if t and len(t) > size and al.cuts else short).append((rid, d, t))

@@ -12,6 +12,7 @@ from riskframe.llm.balanced_shards import balanced_shards
 from riskframe.llm.content_sort import content_sort
 from riskframe.llm.conversation_trie import trie
 from riskframe.llm.fragment_alignment import align
+from riskframe.llm.minmax_hash import near_duplicates as minmax_duplicates
 from riskframe.llm.mixture_packing import pack
 from riskframe.llm.order_minhash import fingerprints
 from riskframe.llm.pfair_mixing import mix
@@ -102,6 +103,11 @@ def op10(spark, d):
     return pii_digest(table(spark, d, "documents"))
 
 
+@query("op11_minmax_hash")
+def op11(spark, d):
+    return minmax_duplicates(table(spark, d, "documents"))
+
+
 @query("op12_conversation_trie")
 def op12(spark, d):
     return trie(table(spark, d, "conversations"))
