@@ -1,12 +1,10 @@
-"""Connected components of an edge list, and a join that spreads hot keys."""
+"""A join that spreads hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.session import stage
-
 SALTS = 16
 
 
@@ -15,28 +13,3 @@ def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], by: Colu
     a = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node of an edge; root is the smallest node of its component.
-
-    Alternates two steps until the edges no longer change: every node hands its larger neighbours to its smallest one,
-    then its smaller ones. Each is one aggregation for the minimum and one spread join, and the number of rounds grows
-    with the logarithm of the longest path.
-    """
-    e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = spread_join(both.filter("v > u"), low, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = stage(small.filter("u <> v").distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == seen:
-            break
-        seen = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return stage(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))

@@ -19,10 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import stage_table, text_steps
-from riskframe.llm.near_links import HOT, STEP, digest, linked, lists, open_pairs, sketch
+from riskframe.llm.near_links import PERCENT, STEP, classes_of, component_rows, components_of, digest, linked, lists, sketch
 from riskframe.llm.words import mix64, shingles
-from riskframe.operators.components import components
-from riskframe.operators.joins import hot_join
 
 SHINGLE = 2
 HASHES = 125
@@ -70,42 +68,35 @@ def _leads(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "rid long, key long, h long, n int, digest binary, sketch binary, bands array<long>")
 
 
-def _opened(shared: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the buckets that more than one component holds, with component and sketch."""
-    rows = shared.join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
-    rows = stage_table(rows)
-    of = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("bucket", "m")
-    return rows.join(of, "bucket").join(classes.select("cls", "n", "sketch"), "cls").select("bucket", "m", "cls", "comp", "n", "sketch")
+def _sets(texts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    value, bounds = shingles(texts, SHINGLE)
+    return value.view(np.int64), bounds, [digest(value[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+
+
+def _against(center: np.ndarray):
+    center = center.view(np.uint64)
+
+    def check(other: np.ndarray) -> bool:
+        other = other.view(np.uint64)
+        if 100 * min(len(other), len(center)) < PERCENT * max(len(other), len(center)):
+            return False
+        at = np.minimum(np.searchsorted(center, other), len(center) - 1)
+        return int((center[at] == other).sum()) * (100 + PERCENT) >= PERCENT * (len(other) + len(center))
+
+    return check
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, n, digest) of every row, (cls, digest, of, low) of every class, and (node, root) of the linked classes."""
+    """(rid, key, n, digest) of every row, (cls, digest, of, first) of every class, and (node, root) of the linked classes."""
     docs = docs.withColumn("h", F.xxhash64("text"))
-    lead = stage_table(_leads(docs.withColumn("rid", F.monotonically_increasing_id())))
-    groups = stage_table(lead.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("cls"), F.count("*").alias("of"), F.min("key").alias("low")))
-    classes = stage_table(lead.drop("digest").join(groups.select("cls", "digest"), F.col("rid") == F.col("cls")).select("cls", "key", "h", "n", "digest", "sketch", "bands"))
+    lead = stage_table(_leads(docs))
+    groups, classes = classes_of(lead)
     buckets = classes.select("cls", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("cls").alias("a"), F.count("*").alias("m")).filter("m > 1").select("bucket", "a")
     shared = stage_table(buckets.join(heads, "bucket"))
     votes = shared.filter("a <> cls").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("of"))
-    pairs = stage_table(votes.groupBy("b").agg(F.max(F.struct("of", "a"))["a"].alias("a")).select("a", "b"))
-    if pairs.isEmpty():
-        return lead, groups, docs.sparkSession.createDataFrame([], "node long, root long")
-    links = stage_table(linked(pairs, classes, docs, SHINGLE))
-    comps = components(links, "a", "b")
-    for best in (True, False):
-        more = open_pairs(_opened(shared, classes, comps), best)
-        more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if best:
-                continue  # the best ones were checked as stars already
-            break
-        found = stage_table(linked(more, classes, docs, SHINGLE))
-        pairs = pairs.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = components(links, "a", "b")
-    return lead, groups, comps
+    stars = votes.groupBy("b").agg(F.max(F.struct("of", "a"))["a"].alias("a")).select("a", "b")
+    return lead, groups, components_of(shared.select("bucket", "cls"), stars, classes, lambda pairs: linked(pairs, classes, docs, _sets, _against))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -116,12 +107,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     and is kept where both are equal or null. An empty table gives an empty result. Other columns are ignored.
     Shingles are 64-bit hashes, classes 128-bit digests of sets.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    lead, groups, comps = classes_and_links(rows)
-    rooted = groups.join(comps.withColumnRenamed("node", "cls"), "cls", "left").filter("of > 1 OR root IS NOT NULL")
-    rooted = stage_table(rooted.select("digest", "low", F.coalesce("root", "cls").alias("root")))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    known = hot_join(rooted.select("digest", "root"), lows, "root", least=HOT).select("digest", "component")
-    out = hot_join(lead.select("key", "n", "digest"), known, "digest", "left", least=HOT)
-    found = F.coalesce("component", "key")
-    return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"), F.col("key").eqNullSafe(found).alias("kept"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return component_rows(*classes_and_links(rows)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

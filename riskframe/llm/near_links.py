@@ -8,7 +8,7 @@ in blocks of bounded size inside a task; only pairs that the bound admits, of di
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import stage_table, text_steps
-from riskframe.llm.words import shingles
+from riskframe.operators.components import components
 from riskframe.operators.joins import hot_join
 
 PERCENT = 80
@@ -115,8 +115,11 @@ def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
     return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cls, items): sorted shingles of one document of each class (cls, key, h, digest); texts are read again."""
+Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bytes | None]]]  # of texts: values, bounds, digests
+
+
+def sets_of(classes: DataFrame, docs: DataFrame, sets: Sets) -> DataFrame:
+    """(cls, items): the set of one document of each class (cls, key, h, digest); texts are read again."""
     want = classes.select("cls", F.col("key").alias("k"), F.col("h").alias("th"), F.col("digest").alias("want"))
     if want.count() * 80 <= WANTED:
         want = F.broadcast(want)
@@ -124,40 +127,99 @@ def sets_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches):
         for b in text_steps(batches, STEP):
-            value, bounds = shingles(b.column("text").to_pylist(), width)
-            same = [digest(value[lo:hi]) == w for lo, hi, w in zip(bounds[:-1], bounds[1:], b.column("want").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), lists(value.view(np.int64), bounds)], names=["cls", "items"]).filter(pa.array(same, pa.bool_()))
+            values, bounds, ids = sets(b.column("text").to_pylist())
+            same = [x == w for x, w in zip(ids, b.column("want").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), lists(values, bounds)], names=["cls", "items"]).filter(pa.array(same, pa.bool_()))
 
     return chosen.mapInArrow(work, "cls long, items array<long>")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: Sets, against: Callable[[np.ndarray], Callable[[np.ndarray], bool]]) -> DataFrame:
     """The pairs (a, b), a staged table, whose whole sets are similar enough.
 
-    The sets checked against one are dealt out in parts of about ``PART``; a unit holds that one and streams the others.
+    ``against`` takes a set and gives the check of others. The sets checked against one are dealt out in parts of about
+    ``PART``; a unit holds that one, and the others stream by in lexicographic order.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     placed = hot_join(pairs, many, "a", least=HOT).select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     centers = many.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     to = stage_table(placed.unionByName(centers))
-    sets = stage_table(sets_of(classes.join(to.select("cls").distinct(), "cls", "left_semi"), docs, width))
-    rows = hot_join(to, sets, "cls", least=HOT).select("a", "part", "cls", "items", (F.col("cls") != F.col("a")).alias("other"))
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    found = stage_table(sets_of(classes.join(to.select("cls").distinct(), "cls", "left_semi"), docs, sets))
+    rows = hot_join(to, found, "cls", least=HOT).select("a", "part", "cls", "items", (F.col("cls") != F.col("a")).alias("other"))
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "other", "items")
 
     def work(batches):
-        now, center = None, None
+        now, check = None, None
         for batch in batches:
             out = ([], [])
             items = batch.column("items")
-            values, offs = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
+            values, offs = items.values.to_numpy(), items.offsets.to_numpy()
             for i, (a, part, c, other) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("a", "part", "cls", "other")))):
                 mine = values[offs[i] : offs[i + 1]]
                 if not other:
-                    now, center = (a, part), mine.copy()
-                elif now == (a, part) and 100 * min(len(mine), len(center)) >= PERCENT * max(len(mine), len(center)):
-                    at = np.minimum(np.searchsorted(center, mine), len(center) - 1)
-                    if int((center[at] == mine).sum()) * (100 + PERCENT) >= PERCENT * (len(mine) + len(center)):
-                        out[0].append(a), out[1].append(c)
+                    now, check = (a, part), against(mine.copy())
+                elif now == (a, part) and check(mine):
+                    out[0].append(a), out[1].append(c)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     return dealt.mapInArrow(work, "a long, b long")
+
+
+def classes_of(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, digest, of, first) of the classes of rows (rid, key, n, digest), and one row of each with its other columns.
+
+    ``first`` is the row of the smallest id, as (no id, key, rid).
+    """
+    first = F.min(F.struct(F.isnull("key").alias("none"), "key", "rid")).alias("first")
+    groups = stage_table(lead.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("cls"), F.count("*").alias("of"), first))
+    return groups, stage_table(lead.join(groups.select("cls"), F.col("rid") == F.col("cls")).drop("rid"))
+
+
+def _opened(shared: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the buckets that more than one component holds, with component and sketch; of buckets that hold the same
+    classes, one."""
+    rows = shared.join(comps.select(F.col("node").alias("cls"), "root"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
+    rows = stage_table(rows)
+    who = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    of = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *who).filter("lo <> hi")
+    of = of.groupBy("m", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    return rows.join(of, "bucket").join(classes.select("cls", "n", "sketch"), "cls").select("bucket", "m", "cls", "comp", "n", "sketch")
+
+
+def components_of(shared: DataFrame, pairs: DataFrame, classes: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the linked classes. ``shared``: (bucket, cls); ``pairs``: the first pairs (a, b) to check.
+
+    Links found are contracted; in buckets of several components, each set's best partner of another one is checked next,
+    then, contracted again, every pair of different components that the bound admits. No link between two components is
+    left out, and links within one need no check.
+    """
+    pairs = stage_table(pairs)
+    if pairs.isEmpty():
+        return shared.sparkSession.createDataFrame([], "node long, root long")
+    links = stage_table(check(pairs))
+    comps = components(links, "a", "b")
+    for best in (True, False):
+        more = open_pairs(_opened(shared, classes, comps), best)
+        more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue  # with best: those that were checked already may hide others
+        found = stage_table(check(more))
+        pairs = pairs.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = components(links, "a", "b")
+    return comps
+
+
+def joined_classes(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(digest, first) of every class of several rows or with a link; ``first`` is the first row of its component."""
+    rooted = groups.join(comps.withColumnRenamed("node", "cls"), "cls", "left").filter("of > 1 OR root IS NOT NULL")
+    rooted = stage_table(rooted.select("digest", "first", F.coalesce("root", "cls").alias("root")))
+    lows = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return hot_join(rooted.select("digest", "root"), lows, "root", least=HOT).select("digest", "first")
+
+
+def component_rows(lead: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    out = hot_join(lead.select("key", "n", "digest"), joined_classes(groups, comps), "digest", "left", least=HOT)
+    return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.key", "key").alias("component_id"))

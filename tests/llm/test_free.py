@@ -16,8 +16,9 @@ from riskframe.llm import quality_qda as qda
 from riskframe.llm import toxicity_automata as tox
 from riskframe.llm import url_templates as ut
 from riskframe.llm.bpe import PieceEncoder
-from riskframe.llm.graph import components
+from riskframe.llm import near_links as nl
 from riskframe.llm.mixture_packing import LENGTH, Service, pack
+from riskframe.operators.components import components
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -439,11 +440,11 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("common, part, rounds", [(3, 256, 0), (10**9, 3, 2), (1, 2, 1)])
-def test_near_duplicates(spark, copies, common, part, rounds, monkeypatch):
+@pytest.mark.parametrize("common, part, block", [(3, 256, 512), (10**9, 3, 4), (1, 2, 2)])
+def test_near_duplicates(spark, copies, common, part, block, monkeypatch):
     monkeypatch.setattr(pt, "COMMON", common)
-    monkeypatch.setattr(pt, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(pt, "PART", part)
+    monkeypatch.setattr(nl, "BLOCK", block)
+    monkeypatch.setattr(nl, "PART", part)
     out = pt.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string").repartition(6))
     assert Counter(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect())) == _brute(copies)
 
@@ -454,7 +455,20 @@ def test_near_duplicate_edges(spark, edge, edge_rows, empty):
     assert pt.near_duplicates(empty).count() == 0
     left = pt.keep_one_of_each(edge)
     assert left.columns == edge.columns
-    assert Counter(r[0] for r in left.collect()) == Counter({k: v for k, v in Counter(d for (d, n, c), m in want.items() for _ in range(m) if d == c or c is None or d is None).items()})
+    # one row of each component, a repeated row too, and all rows without shingles
+    assert Counter(r[0] for r in left.collect()) == Counter(d for (d, n, c), m in want.items() for _ in range(m if not n else 1) if d == c or not n)
+
+
+def test_one_row_of_each_by_row_not_by_id(spark):
+    """Ids 1, 2, 2 and two without: the text that shares nothing stays, and one of each group of copies."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a, 7), (2, a + " more", 7), (2, "a text of its own that shares nothing", 7), (None, b, 7), (None, b + " more", 7), (9, "", 7), (9, None, 7), (5, "same row", 7), (5, "same row", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    left = pt.keep_one_of_each(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert Counter(r.doc_id for r in got) == Counter([1, 2, None, 9, 9, 5])
+    assert {r.text for r in got if r.doc_id == 2} == {"a text of its own that shares nothing"}
 
 
 def test_trie_overlaps_against_sets():
