@@ -8,6 +8,7 @@ in blocks of bounded size inside a task; only pairs that the bound admits, of di
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,11 +40,18 @@ def sketch(values: np.ndarray, least: int = 64, most: int = 8192) -> bytes | Non
     """Counts of a set's shingles in a power of two of bins, about as many as shingles; None where one is over a byte."""
     bins = min(most, max(least, 1 << max(0, int(len(values) - 1).bit_length())))
     counts = np.bincount((values & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+    if counts.max(initial=0) > 255:
+        return None
+    pack = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)  # the counts are small: two bits a bin
+    return pack.compress(counts.astype(np.uint8).tobytes()) + pack.flush()
+
+
+def unpacked(s: bytes | None) -> bytes | None:
+    return None if s is None else zlib.decompress(s, -15)
 
 
 def most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Sums of the smaller counts of every sketch of ``x`` with every one of ``y``; the finer is folded to the other's bins.
+    """Sums of the smaller counts of every unpacked sketch of ``x`` with every one of ``y``; the finer is folded to the other's bins.
 
     min(a, b) is the number of t from 1 with a >= t and b >= t, so the sums are a few matrix products.
     """
@@ -63,41 +71,47 @@ def most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def _admitted(rows: list[tuple], best: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of classes of different components that the bound admits, of one unit; each set's ``best`` one only."""
+def _admitted(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+    """Pairs of classes of different components that the bound admits, of one unit, and whether one set's best."""
     parts = [[r for r in rows if r[0] == s] for s in (0, 1)]
     left, right = parts if parts[1] else (parts[0], parts[0])
     if not left or len({r[2] for r in rows}) < 2:
         return
-    known = [[r[4] is not None for r in p] for p in (left, right)]
+    drawn = [[unpacked(r[4]) for r in p] for p in (left, right)]
+    known = [[x is not None for x in p] for p in drawn]
     cls, comp, n = ([np.array([r[k] for r in p], np.int64) for p in (left, right)] for k in (1, 2, 3))
     most = np.minimum.outer(n[0], n[1]).astype(np.float32)
-    ix = np.ix_(*known)
     if any(known[0]) and any(known[1]):
-        most[ix] = np.minimum(most[ix], most_shared([r[4] for r in left if r[4] is not None], [r[4] for r in right if r[4] is not None]))
+        ix = np.ix_(*known)
+        most[ix] = np.minimum(most[ix], most_shared(*[[x for x in p if x is not None] for p in drawn]))
     total = np.add.outer(n[0], n[1])
     fits = (most * (100 + PERCENT) >= total * PERCENT) & (comp[0][:, None] != comp[1][None, :])
+    if not fits.any():
+        return
     share = np.where(fits, most / total, -1.0)
-    if not best:
-        i, j = np.nonzero(fits)
-    else:
-        i, j = np.arange(len(left)), share.argmax(axis=1)
-        i2, j2 = share.argmax(axis=0), np.arange(len(right))
-        i, j = np.append(i, i2), np.append(j, j2)
-        on = share[i, j] >= 0
-        i, j = i[on], j[on]
-    for a, b in set(zip(np.minimum(cls[0][i], cls[1][j]).tolist(), np.maximum(cls[0][i], cls[1][j]).tolist())):
-        yield a, b
+    best = np.zeros_like(fits)
+    best[np.arange(len(left)), share.argmax(axis=1)] = True
+    best[share.argmax(axis=0), np.arange(len(right))] = True
+    i, j = np.nonzero(fits)
+    found: dict[tuple[int, int], bool] = {}
+    for a, b, top in zip(np.minimum(cls[0][i], cls[1][j]).tolist(), np.maximum(cls[0][i], cls[1][j]).tolist(), best[i, j].tolist()):
+        found[(a, b)] = found.get((a, b), False) or top
+    for (a, b), top in found.items():
+        yield a, b, top
 
 
-def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
-    """Distinct pairs (a, b) from ``rows`` (bucket, m, cls, comp, n, sketch); m: how many rows the bucket has.
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, best) from ``rows`` (bucket, m, cls, comp, n, sketch); m: how many rows the bucket has.
 
     A bucket of more than ``BLOCK`` sets is cut into blocks, and every two blocks are a unit of their own.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = rows.withColumn("x", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), (F.col("x") > F.col("y")).cast("int").alias("side"), "cls", "comp", "n", "sketch")
+    names = ["a", "b", "best"]
+
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -105,47 +119,47 @@ def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
             out = []
             for bucket, lo, hi, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if (bucket, lo, hi) != now:
-                    out += _admitted(rows, best)
+                    out += _admitted(rows)
                     now, rows = (bucket, lo, hi), []
                 rows.append(tuple(r))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = list(_admitted(rows, best))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield told(out)
+        yield told(list(_admitted(rows)))
 
-    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
+    found = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long, best boolean")
+    return found.groupBy("a", "b").agg(F.max("best").alias("best"))
 
 
 Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bytes | None]]]  # of texts: values, bounds, digests
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, sets: Sets) -> DataFrame:
-    """(cls, items): the set of one document of each class (cls, key, h, digest); texts are read again."""
-    want = classes.select("cls", F.col("key").alias("k"), F.col("h").alias("th"), F.col("digest").alias("want"))
-    if want.count() * 80 <= WANTED:
-        want = F.broadcast(want)
-    chosen = docs.join(want, (F.col("h") == F.col("th")) & F.col("key").eqNullSafe(F.col("k"))).select("cls", "want", "text")
-
-    def work(batches):
-        for b in text_steps(batches, STEP):
-            values, bounds, ids = sets(b.column("text").to_pylist())
-            same = [x == w for x, w in zip(ids, b.column("want").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("cls"), lists(values, bounds)], names=["cls", "items"]).filter(pa.array(same, pa.bool_()))
-
-    return chosen.mapInArrow(work, "cls long, items array<long>")
-
-
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: Sets, against: Callable[[np.ndarray], Callable[[np.ndarray], bool]]) -> DataFrame:
     """The pairs (a, b), a staged table, whose whole sets are similar enough.
 
-    ``against`` takes a set and gives the check of others. The sets checked against one are dealt out in parts of about
-    ``PART``; a unit holds that one, and the others stream by in lexicographic order.
+    The text of one document of each class (cls, key, h, digest) is read again, and its set goes to the units that need
+    it. ``against`` takes a set and gives the check of others. The sets checked against one are dealt out in parts of
+    about ``PART``; a unit holds that one, and the others stream by in lexicographic order.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     placed = hot_join(pairs, many, "a", least=HOT).select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     centers = many.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    to = stage_table(placed.unionByName(centers))
-    found = stage_table(sets_of(classes.join(to.select("cls").distinct(), "cls", "left_semi"), docs, sets))
-    rows = hot_join(to, found, "cls", least=HOT).select("a", "part", "cls", "items", (F.col("cls") != F.col("a")).alias("other"))
+    # a class that very many units need is read once for each of 16 shares of them
+    share = F.pmod(F.xxhash64("a", "part"), F.lit(16))
+    to = placed.unionByName(centers).groupBy("cls", share.alias("share")).agg(F.collect_list(F.struct("a", "part")).alias("to"))
+    want = stage_table(to.join(classes.select("cls", F.col("key").alias("k"), F.col("h").alias("th"), F.col("digest").alias("want")), "cls").drop("share"))
+    size = want.agg(F.count("*").alias("n"), F.sum(F.size("to")).alias("units")).first()
+    if size["n"] * 80 + (size["units"] or 0) * 16 <= WANTED:
+        want = F.broadcast(want)
+    chosen = docs.join(want, (F.col("h") == F.col("th")) & F.col("key").eqNullSafe(F.col("k"))).select("cls", "want", "to", "text")
+    to_schema = "to array<struct<a:long,part:int>>"
+
+    def fetch(batches):
+        for b in text_steps(batches, STEP):
+            values, bounds, ids = sets(b.column("text").to_pylist())
+            same = [x == w for x, w in zip(ids, b.column("want").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("to"), lists(values, bounds)], names=["cls", "to", "items"]).filter(pa.array(same, pa.bool_()))
+
+    rows = chosen.mapInArrow(fetch, f"cls long, {to_schema}, items array<long>").select(F.explode("to").alias("t"), "cls", "items")
+    rows = rows.select("t.a", "t.part", "cls", "items", (F.col("cls") != F.col("t.a")).alias("other"))
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "other", "items")
 
     def work(batches):
@@ -168,11 +182,15 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: Sets, ag
 def classes_of(lead: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls, digest, of, first) of the classes of rows (rid, key, n, digest), and one row of each with its other columns.
 
-    ``first`` is the row of the smallest id, as (no id, key, rid).
+    ``first`` is the row of the smallest id, as (no id, key, rid). The other rows of a class are left out by a list of
+    their numbers, so nothing wide is moved or written.
     """
     first = F.min(F.struct(F.isnull("key").alias("none"), "key", "rid")).alias("first")
-    groups = stage_table(lead.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("cls"), F.count("*").alias("of"), first))
-    return groups, stage_table(lead.join(groups.select("cls"), F.col("rid") == F.col("cls")).drop("rid"))
+    some = lead.filter("n > 0")
+    groups = stage_table(some.groupBy("digest").agg(F.min("rid").alias("cls"), F.count("*").alias("of"), first))
+    extra = stage_table(hot_join(some.select("rid", "digest"), groups.filter("of > 1").select("digest", "cls"), "digest", least=HOT).filter("rid <> cls").select("rid"))
+    extra = F.broadcast(extra) if extra.count() * 16 <= WANTED else extra
+    return groups, some.join(extra, "rid", "left_anti").withColumnRenamed("rid", "cls")
 
 
 def _opened(shared: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -198,19 +216,27 @@ def components_of(shared: DataFrame, pairs: DataFrame, classes: DataFrame, check
         return shared.sparkSession.createDataFrame([], "node long, root long")
     links = stage_table(check(pairs))
     comps = components(links, "a", "b")
+    more = open_pairs(_opened(shared, classes, comps))
+    more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     for best in (True, False):
-        more = open_pairs(_opened(shared, classes, comps), best)
-        more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue  # with best: those that were checked already may hide others
-        found = stage_table(check(more))
-        pairs = pairs.unionByName(more)
+        # the best ones first, then what is still between two components
+        next_ = more.filter("best") if best else stage_table(_apart(more.filter("NOT best"), comps))
+        if next_.isEmpty():
+            continue
+        found = stage_table(check(next_))
         if not found.isEmpty():
             links = links.unionByName(found)
             comps = components(links, "a", "b")
     return comps
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs of classes of different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def joined_classes(groups: DataFrame, comps: DataFrame) -> DataFrame:
     """(digest, first) of every class of several rows or with a link; ``first`` is the first row of its component."""
     rooted = groups.join(comps.withColumnRenamed("node", "cls"), "cls", "left").filter("of > 1 OR root IS NOT NULL")

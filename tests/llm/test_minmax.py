@@ -101,6 +101,6 @@ def test_bound_is_never_below_the_overlap():
     texts = [r[1] for r in _copies() if r[1]]
     value, bounds = shingles(texts, 2)
     sets = [value[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:])]
-    got = nl.most_shared([nl.sketch(s) for s in sets], [nl.sketch(s, 16, 64) for s in sets])
+    got = nl.most_shared([nl.unpacked(nl.sketch(s)) for s in sets], [nl.unpacked(nl.sketch(s, 16, 64)) for s in sets])
     want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
     assert (got >= want).all() and (np.diag(got) == np.diag(want)).all()
