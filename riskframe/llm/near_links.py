@@ -25,6 +25,7 @@ STEP = 1_000_000  # characters per step, bounds the arrays in a worker
 BLOCK = 512  # sets of one bucket that meet the others in one unit
 PART = 256  # sets checked against one by one unit
 WANTED = 64 << 20  # bytes of the broadcast list of rows whose sets are needed
+SEEN = 500_000  # pairs that a task remembers, so that it tells few of them twice
 HOT = 200  # rows of a key below which it is never hot
 
 
@@ -37,8 +38,8 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def sketch(values: np.ndarray, least: int = 64, most: int = 8192) -> bytes | None:
-    """Counts of a set's shingles in a power of two of bins, about as many as shingles; None where one is over a byte."""
-    bins = min(most, max(least, 1 << max(0, int(len(values) - 1).bit_length())))
+    """Counts of a set's shingles in a power of two of bins, twice as many as shingles or more; None where one is over a byte."""
+    bins = min(most, max(least, 2 << max(0, int(len(values) - 1).bit_length())))
     counts = np.bincount((values & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     if counts.max(initial=0) > 255:
         return None
@@ -71,8 +72,8 @@ def most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def _admitted(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
-    """Pairs of classes of different components that the bound admits, of one unit, and whether one set's best."""
+def _admitted(rows: list[tuple], best: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of classes of different components that the bound admits, of one unit; each set's ``best`` one only."""
     parts = [[r for r in rows if r[0] == s] for s in (0, 1)]
     left, right = parts if parts[1] else (parts[0], parts[0])
     if not left or len({r[2] for r in rows}) < 2:
@@ -88,45 +89,49 @@ def _admitted(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
     fits = (most * (100 + PERCENT) >= total * PERCENT) & (comp[0][:, None] != comp[1][None, :])
     if not fits.any():
         return
-    share = np.where(fits, most / total, -1.0)
-    best = np.zeros_like(fits)
-    best[np.arange(len(left)), share.argmax(axis=1)] = True
-    best[share.argmax(axis=0), np.arange(len(right))] = True
     i, j = np.nonzero(fits)
-    found: dict[tuple[int, int], bool] = {}
-    for a, b, top in zip(np.minimum(cls[0][i], cls[1][j]).tolist(), np.maximum(cls[0][i], cls[1][j]).tolist(), best[i, j].tolist()):
-        found[(a, b)] = found.get((a, b), False) or top
-    for (a, b), top in found.items():
-        yield a, b, top
+    if best:
+        share = np.where(fits, most / total, -1.0)
+        top = np.zeros_like(fits)
+        top[np.arange(len(left)), share.argmax(axis=1)] = True
+        top[share.argmax(axis=0), np.arange(len(right))] = True
+        i, j = np.nonzero(fits & top)
+    yield from set(zip(np.minimum(cls[0][i], cls[1][j]).tolist(), np.maximum(cls[0][i], cls[1][j]).tolist()))
 
 
-def open_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, best) from ``rows`` (bucket, m, cls, comp, n, sketch); m: how many rows the bucket has.
+def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs (a, b) from ``rows`` (bucket, m, cls, comp, n, sketch); m: how many rows the bucket has.
 
     A bucket of more than ``BLOCK`` sets is cut into blocks, and every two blocks are a unit of their own.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = rows.withColumn("x", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), (F.col("x") > F.col("y")).cast("int").alias("side"), "cls", "comp", "n", "sketch")
-    names = ["a", "b", "best"]
-
-    def told(out):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, seen = None, [], set()
+
+        def fresh():
+            found = [p for p in _admitted(rows, best) if p not in seen]
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(found)
+            return found
+
+        def told(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for b in batches:
             out = []
             for bucket, lo, hi, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if (bucket, lo, hi) != now:
-                    out += _admitted(rows)
+                    out += fresh()
                     now, rows = (bucket, lo, hi), []
                 rows.append(tuple(r))
             yield told(out)
-        yield told(list(_admitted(rows)))
+        yield told(fresh())
 
-    found = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long, best boolean")
-    return found.groupBy("a", "b").agg(F.max("best").alias("best"))
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
 
 
 Sets = Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bytes | None]]]  # of texts: values, bounds, digests
@@ -216,27 +221,19 @@ def components_of(shared: DataFrame, pairs: DataFrame, classes: DataFrame, check
         return shared.sparkSession.createDataFrame([], "node long, root long")
     links = stage_table(check(pairs))
     comps = components(links, "a", "b")
-    more = open_pairs(_opened(shared, classes, comps))
-    more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     for best in (True, False):
-        # the best ones first, then what is still between two components
-        next_ = more.filter("best") if best else stage_table(_apart(more.filter("NOT best"), comps))
-        if next_.isEmpty():
-            continue
-        found = stage_table(check(next_))
+        more = open_pairs(_opened(shared, classes, comps), best)
+        more = stage_table(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue  # the best ones may have been checked already, and hide others
+        found = stage_table(check(more))
+        pairs = pairs.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
             comps = components(links, "a", "b")
     return comps
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs of classes of different components."""
-    for side in ("a", "b"):
-        pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    return pairs.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def joined_classes(groups: DataFrame, comps: DataFrame) -> DataFrame:
     """(digest, first) of every class of several rows or with a link; ``first`` is the first row of its component."""
     rooted = groups.join(comps.withColumnRenamed("node", "cls"), "cls", "left").filter("of > 1 OR root IS NOT NULL")
