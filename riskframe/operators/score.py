@@ -36,8 +36,11 @@ DEFAULT_THRESHOLD = 0.7  # fixed value: used when the bundle carries none
 
 
 def score_batch(df: DataFrame, bundle: dict, key: str = "company_id", threshold: float | None = None) -> DataFrame:
-    """``uuid, proba, prediction``. One pass over the input, no shuffle."""
+    """``uuid, proba, prediction``. A bundle with a fitted ``pipeline`` (whose last stage adds ``proba``) takes the raw
+    table; else the input is prepared here, in one pass and without a shuffle."""
     t = threshold if threshold is not None else bundle.get("threshold", DEFAULT_THRESHOLD)
+    if "pipeline" in bundle:
+        return submission_of(bundle["pipeline"].transform(df), key, t)
     return submission_of(bundle["model"].score(prepare(df, bundle, key), "proba"), key, t)
 
 

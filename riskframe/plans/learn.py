@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d, hash_unit, r6
-from riskframe.models import ensembles, search
+from riskframe.models import ensembles, search, stages
 from riskframe.models.base import boosted_weight, fit_model
 from riskframe.operators import clean, encode, explain, metrics, sample, scale, schema, score, select, thresholds
 from riskframe.plans.basic import VEC_LONG_SQL, rounded, scratch
 from riskframe.plans.registry import query
 from riskframe.plans.scores import RATE_COLS, eval_sql
-from riskframe.session import stage
+from riskframe.session import shared_folder, stage
 from riskframe.sources import frames, io
-from riskframe.sources.frames import NUMERIC, STRINGS, VEC_SQL, with_sql
+from riskframe.sources.frames import COMPANY_SQL, NUMERIC, STRINGS, VEC_SQL, with_sql
 
 
 def split_vec(spark, sf):
@@ -280,6 +283,40 @@ def _(spark, sf):
     return rounded(score.score_batch(df, bundle), ["proba"])
 
 
+COMPANY_GNB_SQL = (
+    with_sql(COMPANY_SQL)
+    + ", raw AS (SELECT company_id AS id, target, unnest(generate_series(1, 7)) AS pos, unnest(["
+    + ", ".join(f"{c}::double" for c in NUMERIC)
+    + """]) AS x FROM company),
+    f AS (SELECT id, target, pos, coalesce(x, avg(x) OVER (PARTITION BY pos)) AS x FROM raw),
+    l AS (SELECT id, target, pos, (x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos) AS x FROM f)"""
+    + GNB_SQL.replace("FROM vec)", "FROM company)")
+    + "SELECT id AS uuid, round(p, 6) AS proba, (p >= 0.1)::int AS prediction FROM scored"
+)
+
+
+@query("pipeline_scoring", COMPANY_GNB_SQL)
+def _(spark, sf):
+    """Raw table to submission by one fitted pipeline, saved in a bundle and loaded again."""
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
+    steps = [stages.FillMissing(inputCols=NUMERIC), stages.Scale(inputCols=NUMERIC), stages.Assemble(inputCols=NUMERIC), stages.Classify(kind="gnb")]
+    path = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    io.save_bundle({"pipeline": Pipeline(stages=steps).fit(df), "threshold": 0.1}, path, spark)
+    return rounded(score.score_batch(df, io.load_bundle(spark, path)), ["proba"])
+
+
+@query("feature_pipeline")
+def _(spark, sf):
+    """Codes, fills, scaling, row statistics, clusters, isolation, outlier factor, selection and projection in one pipeline."""
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC, *STRINGS, "target")
+    steps = [
+        stages.TargetEncode(inputCols=STRINGS), stages.FillMissing(inputCols=NUMERIC, strategy="median"), stages.Scale(inputCols=NUMERIC, kind="robust"),
+        stages.Assemble(), stages.RowStatistics(), stages.ClusterDistances(k=4), stages.Isolation(trees=20), stages.OutlierFactor(k=5),
+        stages.Select(method="anova", k=12), stages.Projection(kind="svd", k=6), stages.Classify(kind="logreg"),
+    ]
+    return rounded(score.score_batch(df, {"pipeline": Pipeline(stages=steps).fit(df)}), ["proba"])
+
+
 @query("cascade_scoring")
 def _(spark, sf):
     bundle, train, df = company_bundle(spark, sf)
