@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from riskframe.functions.exprs import array_sum, d, hash_unit, lit_array
+from riskframe.operators.joins import hot_join
 from riskframe.operators.neighbors import knn
 from riskframe.operators.profile import vector_summary
 from riskframe.session import stage
@@ -284,9 +285,9 @@ def _score_gnb(model: Model, df: DataFrame, out: str) -> DataFrame:
 
 def _score_knn(model: Model, df: DataFrame, out: str) -> DataFrame:
     key, label = model.state["key"], model.state["label"]
-    nn = knn(df, model.table, model.state["k"], key, model.col, exclude_self=model.state.get("exclude_self", False))
+    nn = stage(knn(df, model.table, model.state["k"], key, model.col, exclude_self=model.state.get("exclude_self", False)))  # read twice below
     labels = model.table.select(F.col(key).alias("nbr"), F.col(label).cast("double").alias("__y"))
-    p = nn.join(labels, "nbr").groupBy(F.col("key").alias(key)).agg(F.avg("__y").alias(out))
+    p = hot_join(nn, labels, "nbr").groupBy(F.col("key").alias(key)).agg(F.avg("__y").alias(out))
     return df.drop(out).join(p, key, "left")
 
 

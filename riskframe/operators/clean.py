@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from riskframe.functions.exprs import d, missing
 from riskframe.functions.exprs import value as number
 from riskframe.operators.fitted import Fitted
-from riskframe.operators.neighbors import BROADCAST_BYTES, _key_order, block_topk, knn
+from riskframe.operators.neighbors import BLOCK_ROWS, BROADCAST_BYTES, DIGITS, _key_order
 from riskframe.operators.quantiles import quantiles
 from riskframe.operators.schema import pad_or_truncate
 from riskframe.session import stage
@@ -46,95 +46,116 @@ def impute_vectors(c: Column, n: int) -> Column:
     return F.when(bad, F.array_repeat(d(0), n)).otherwise(pad_or_truncate(c, n))
 
 
+def masked_nearest(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int):
+    """(row, column, donor, distance): for every missing cell of ``x`` its k nearest rows of ``y`` that hold the column.
+
+    Squared distance and number of shared coordinates of all pairs are four matrix products over zero-filled values and
+    masks; they only pre-select, and what is within rounding reach of the k-th distance is measured again.
+    """
+    width = x.shape[1]
+    has_x, has_y = ~np.isnan(x), ~np.isnan(y)
+    x0, y0 = np.where(has_x, x, 0.0), np.where(has_y, y, 0.0)
+    mx, my = has_x.astype(np.float64), has_y.astype(np.float64)
+    y2 = (y0 * y0).sum(axis=1).max(initial=0.0)
+    found: list[tuple] = []
+    step = max(1, 1_000_000 // max(1, len(y)))
+    for s in range(0, len(x), step):
+        part = slice(s, s + step)
+        shared = mx[part] @ my.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.maximum((x0[part] ** 2) @ my.T + mx[part] @ (y0**2).T - 2.0 * (x0[part] @ y0.T), 0.0) * width / shared
+        g[shared == 0] = np.inf
+        reach = 1e-11 * width * ((x0[part] ** 2).sum(axis=1) + y2 + 1.0)
+        for c in range(width):
+            rows, donors = np.nonzero(~has_x[part, c])[0], np.nonzero(has_y[:, c])[0]
+            if not len(rows) or not len(donors):
+                continue
+            sub = g[np.ix_(rows, donors)]
+            near = np.isfinite(sub)
+            if len(donors) > k:
+                kth = np.partition(sub, k - 1, axis=1)[:, k - 1]
+                with np.errstate(invalid="ignore"):
+                    near &= sub <= (kth + reach[rows] + 4e-9 * np.sqrt(kth) + 1e-17)[:, None]
+            i, j = np.nonzero(near)
+            li, rj = rows[i] + s, donors[j]
+            dist = np.empty(len(li))
+            for a in range(0, len(li), 65536):
+                p, q = li[a : a + 65536], rj[a : a + 65536]
+                both = has_x[p] & has_y[q]
+                e = np.where(both, x0[p] - y0[q], 0.0)
+                dist[a : a + 65536] = np.sqrt((e * e).sum(axis=1) * width / both.sum(axis=1))
+            dist = np.round(dist, DIGITS)
+            o = np.lexsort((order[rj], dist, li))
+            li, rj, dist = li[o], rj[o], dist[o]
+            keep = np.arange(len(li)) - np.searchsorted(li, li, side="left") < k
+            found.append((li[keep], np.full(keep.sum(), c), rj[keep], dist[keep]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0)
+    return tuple(np.concatenate(z) for z in zip(*found))
+
+
 def knn_impute(
-    df: DataFrame, donors: DataFrame, cols: list[str], k: int = 5, key: str = "id", broadcast_bytes: int = BROADCAST_BYTES, **nn_args
+    df: DataFrame, donors: DataFrame, cols: list[str], k: int = 5, key: str = "id", broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Fill each missing cell with the mean of its k nearest donors that hold the value.
+    """Fill each missing cell (null or NaN) with the mean of its k nearest donors that hold the value.
 
-    Distance skips coordinates missing on either side: ``sqrt(D / m * sum of squares over the m shared)``.
-    Rows are grouped by which columns are missing; inside one pair of such patterns the distance is plain
-    Euclidean on the shared columns, so the exact neighbour join applies. A cell without any comparable
-    donor gets the donors' column mean.
+    Distance skips coordinates missing on either side: ``sqrt(D / m * sum of squares over the m shared)``; ties go by key.
+    A cell without any comparable donor gets the donors' column mean, without any value there it becomes null. Donors up to
+    ``broadcast_bytes`` go to every task; beyond, rows with a gap and donors meet in block pairs of at most about
+    ``block_rows`` rows a side, and only the k best of each cell leave a pair. Both run the same kernel.
     """
-    mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
-    rows = stage(df.select(key, *cols).withColumn("__m", mask))
-    give = rows if donors is df else stage(donors.select(key, *cols).withColumn("__m", mask))
-    size = give.count() * len(cols) * 8
-    if size <= broadcast_bytes:
+    rows = stage(df.select(key, *[number(c).alias(c) for c in cols]))
+    give = rows if donors is df else stage(donors.select(key, *[number(c).alias(c) for c in cols]))
+    held = give.agg(F.count("*").alias("__n"), *[F.avg(c).alias(c) for c in cols]).first()
+    if held["__n"] * len(cols) * 8 <= broadcast_bytes:
         filled = _knn_impute_small(rows, give, cols, k, key)
         return df.drop(*cols).join(filled, key).select(df.columns)
-    want = sorted(r[0] for r in rows.select("__m").distinct().collect() if "1" in r[0])
-    have = sorted(r[0] for r in give.select("__m").distinct().collect() if "0" in r[0])
-    width = len(cols)
-    near = None
-    for a in want:
-        for b in have:
-            shared = [c for c, x, y in zip(cols, a, b) if x == "0" and y == "0"]
-            fill = [c for c, x, y in zip(cols, a, b) if x == "1" and y == "0"]
-            if not shared or not fill:
-                continue
-            f = F.array(*[F.col(c).cast("double") * F.sqrt(d(width / len(shared))) for c in shared]).alias("features")
-            part = knn(
-                rows.filter(F.col("__m") == a).select(key, f), give.filter(F.col("__m") == b).select(key, f), k, key, "features", broadcast_bytes=broadcast_bytes, **nn_args
-            ).withColumn("cols", F.array(*[F.lit(c) for c in fill]))
-            near = part if near is None else near.unionByName(part)
-    means = give.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    fallback = {c: F.coalesce(F.col(c).cast("double"), d(means[c])) if means[c] is not None else F.col(c) for c in cols}
-    if near is None:
-        return df.withColumns(fallback)
-    best = Window.partitionBy("key", "col").orderBy("dist", "nbr")
-    cells = near.withColumn("col", F.explode("cols")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
-    values = give.select(F.col(key).alias("nbr"), F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))]).alias("v"))
-    filled = cells.join(values, "nbr").groupBy("key").pivot("col", cols).agg(F.avg(F.element_at("v", F.col("col"))))
-    filled = filled.select(F.col("key").alias(key), *[F.col(c).alias(f"__{c}") for c in cols])
-    out = df.join(filled, key, "left")
-    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in cols})
-    return out.withColumns(fallback).drop(*[f"__{c}" for c in cols])
+    gap = F.greatest(*[F.col(c).isNull() for c in cols]) if len(cols) > 1 else F.col(cols[0]).isNull()
+    open_ = rows.filter(gap)
+    n_left, n_right = (max(1, -(-n // block_rows)) for n in (open_.count(), held["__n"]))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = open_.withColumn("__l", block(n_left)).withColumn("__r", every(n_right))
+    right = give.withColumn("__r", block(n_right)).withColumn("__l", every(n_left))
+    kind = rows.schema[key].dataType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("c", T.IntegerType()), T.StructField("nbr", give.schema[key].dataType), T.StructField("dist", T.DoubleType()), T.StructField("v", T.DoubleType())])
+
+    def match(a, b):
+        y = b[cols].to_numpy(dtype=np.float64)
+        li, c, rj, dist = masked_nearest(a[cols].to_numpy(dtype=np.float64), y, _key_order(b[key].to_numpy()), k)
+        return pd.DataFrame({"key": a[key].to_numpy()[li], "c": c.astype(np.int32), "nbr": b[key].to_numpy()[rj], "dist": dist, "v": y[rj, c]})
+
+    near = left.groupBy("__l", "__r").cogroup(right.groupBy("__l", "__r")).applyInPandas(match, schema)
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("key", "c").orderBy("dist", "nbr"))).filter(F.col("r") <= k)
+    means = best.groupBy("key").agg(*[F.avg(F.when(F.col("c") == i, F.col("v"))).alias(f"__{c}") for i, c in enumerate(cols)])
+    out = df.join(means.withColumnRenamed("key", key), key, "left")
+    last = {c: F.lit(held[c]).cast("double") for c in cols}
+    return out.withColumns({c: F.coalesce(number(c), F.col(f"__{c}"), last[c]) for c in cols}).select(df.columns)
 
 
 def _knn_impute_small(rows: DataFrame, give: DataFrame, cols: list[str], k: int, key: str) -> DataFrame:
-    """Donors of checked size go to every executor; recipients stream through, grouped by missing pattern."""
+    """Donors of checked size go to every executor; recipients stream through."""
     pdf = give.select(key, *cols).toPandas()
     pack = rows.sparkSession.sparkContext.broadcast((_key_order(pdf[key].to_numpy()), pdf[cols].to_numpy(dtype=np.float64)))
     fields = [f for f in rows.schema.fields if f.name == key]
     schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in cols]])
 
-    def patterns(x):
-        masks, at = np.unique(np.isnan(x), axis=0, return_inverse=True)
-        return [(m, np.nonzero(at.ravel() == i)[0]) for i, m in enumerate(masks)]
-
     def run(batches):
         order, donors = pack.value
-        groups = patterns(donors)
         held = (~np.isnan(donors)).sum(axis=0)
-        sums = np.nansum(donors, axis=0)
-        means = np.divide(sums, held, out=np.full(len(cols), np.nan), where=held > 0)
+        means = np.divide(np.nansum(donors, axis=0), held, out=np.full(len(cols), np.nan), where=held > 0)
         for b in batches:
             x = b[cols].to_numpy(dtype=np.float64)
-            out = x.copy()
-            for miss, idx in patterns(x):
-                if not miss.any():
-                    continue
-                found: dict[int, list] = {c: [] for c in np.nonzero(miss)[0]}
-                for gone, members in groups:
-                    shared, fill = ~miss & ~gone, miss & ~gone
-                    if not shared.any() or not fill.any():
-                        continue
-                    f = np.sqrt(len(cols) / shared.sum())
-                    li, rj, dist = block_topk(x[idx][:, shared] * f, donors[members][:, shared] * f, order[members], k)
-                    for c in np.nonzero(fill)[0]:
-                        found[c].append((li, members[rj], dist))
-                for c, parts in found.items():
-                    out[idx, c] = means[c]
-                    if parts:
-                        li, who, dist = (np.concatenate(z) for z in zip(*parts))
-                        o = np.lexsort((order[who], dist, li))
-                        li, who = li[o], who[o]
-                        near = np.arange(len(li)) - np.searchsorted(li, li, side="left") < k
-                        li, who = li[near], who[near]
-                        n = np.bincount(li, minlength=len(idx))
-                        total = np.bincount(li, weights=donors[who, c], minlength=len(idx))
-                        out[idx, c] = np.divide(total, n, out=np.full(len(idx), means[c]), where=n > 0)
-            yield pd.DataFrame({key: b[key], **{c: out[:, i] for i, c in enumerate(cols)}})
+            out = np.where(np.isnan(x), means, x)
+            open_ = np.nonzero(np.isnan(x).any(axis=1))[0]
+            li, c, rj, _ = masked_nearest(x[open_], donors, order, k)
+            n, total = np.zeros((len(open_), len(cols))), np.zeros((len(open_), len(cols)))
+            np.add.at(n, (li, c), 1)
+            np.add.at(total, (li, c), donors[rj, c])
+            at = np.nonzero(n)
+            out[open_[at[0]], at[1]] = total[at] / n[at]
+            got = {name: pd.Series(out[:, i]).astype(object).where(~np.isnan(out[:, i]), None) for i, name in enumerate(cols)}
+            yield pd.DataFrame({key: b[key], **got})
 
     return rows.mapInPandas(run, schema)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.exprs import d
+from riskframe.operators.components import components
+from riskframe.operators.joins import hot_join
 from riskframe.operators.neighbors import _matrix, assign, block_pairs, knn, make_cells, measure, radius_visits
 from riskframe.operators.profile import vector_summary
 from riskframe.operators.quantiles import quantiles
@@ -51,18 +53,9 @@ def lloyd_step(df: DataFrame, centers: list[list[float]], col: str = "features")
 
 
 def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Smallest node per component: neighbour minimum, then pointer jumping, until nothing changes."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage(both)
-    lab = stage(nodes.select(F.col("v"), F.col("v").alias("c")))
-    while True:
-        seen = both.join(lab.select(F.col("v").alias("b"), F.col("c").alias("nc")), "b").groupBy(F.col("a").alias("v")).agg(F.min("nc").alias("nc"))
-        new = lab.join(seen, "v", "left").select("v", "c", F.least("c", F.coalesce("nc", "c")).alias("n"))
-        jump = new.select(F.col("v").alias("n"), F.col("n").alias("j"))
-        new = stage(new.join(jump, "n", "left").select("v", "c", F.least("n", F.coalesce("j", "n")).alias("n")))
-        if new.filter("n != c").limit(1).count() == 0:
-            return new.select("v", F.col("n").alias("c"))
-        lab = new.select("v", F.col("n").alias("c"))
+    """Smallest node per component of every node."""
+    roots = components(edges, "a", "b").select(F.col("node").alias("v"), "root")
+    return stage(nodes.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("c")))
 
 
 def _block_components(adj: np.ndarray):
@@ -159,15 +152,15 @@ class Density:
 def fit_lof(df: DataFrame, k: int = 20, key: str = "id", feat: str = "features", **nn_args) -> Density:
     nn = stage(knn(df, df, k, key, feat, **nn_args))
     kdist = nn.groupBy(F.col("key").alias("nbr")).agg(F.max("dist").alias("kd"))
-    reach = nn.join(kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
+    reach = hot_join(nn, kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
     density = reach.select("key", (d(1) / (F.col("r") + d(1e-10))).alias("lrd"))
     return Density(df.select(key, feat), stage(density.join(kdist.withColumnRenamed("nbr", "key"), "key").select("key", "kd", "lrd")), k)
 
 
 def score_lof(df: DataFrame, fitted: Density, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """``(key, lof)`` of rows that were not fitted, against the fitted ones."""
-    nn = knn(df, fitted.rows, fitted.k, key, feat, exclude_self=False, **nn_args)
-    near = nn.join(fitted.around.select(F.col("key").alias("nbr"), "kd", "lrd"), "nbr")
+    nn = stage(knn(df, fitted.rows, fitted.k, key, feat, exclude_self=False, **nn_args))
+    near = hot_join(nn, fitted.around.select(F.col("key").alias("nbr"), "kd", "lrd"), "nbr")
     own = near.groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"), F.avg("lrd").alias("nl"))
     return own.select(F.col("key").alias(key), (F.col("nl") * (F.col("r") + d(1e-10))).alias("lof"))
 
@@ -176,9 +169,9 @@ def lof(df: DataFrame, k: int = 20, key: str = "id", feat: str = "features", **n
     """``(key, lof)``: mean neighbour density over own density; about 1 inside clusters, larger for outliers."""
     nn = stage(knn(df, df, k, key, feat, **nn_args))
     kdist = nn.groupBy(F.col("key").alias("nbr")).agg(F.max("dist").alias("kd"))
-    reach = nn.join(kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
+    reach = hot_join(nn, kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
     lrd = stage(reach.select("key", (d(1) / (F.col("r") + d(1e-10))).alias("lrd")))
-    around = nn.join(lrd.select(F.col("key").alias("nbr"), F.col("lrd").alias("nl")), "nbr").groupBy("key").agg(F.avg("nl").alias("nl"))
+    around = hot_join(nn, lrd.select(F.col("key").alias("nbr"), F.col("lrd").alias("nl")), "nbr").groupBy("key").agg(F.avg("nl").alias("nl"))
     return around.join(lrd, "key").select(F.col("key").alias(key), (F.col("nl") / F.col("lrd")).alias("lof"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d
+from riskframe.functions.exprs import value as number
 from riskframe.operators import clean, scale
 from riskframe.operators.fitted import Fitted
 from riskframe.operators.quantiles import quantiles
@@ -142,10 +143,13 @@ def fit_bins(df: DataFrame, cols: list[str], n: int = 5, strategy: str = "quanti
                     kept.append(v)
             edges[c] = kept
     elif strategy == "uniform":
-        row = df.agg(*[f(c).cast("double").alias(f"{a}_{c}") for c in cols for a, f in (("lo", F.min), ("hi", F.max))]).first()
+        row = df.agg(*[f(number(c)).alias(f"{a}_{c}") for c in cols for a, f in (("lo", F.min), ("hi", F.max))]).first()
         edges = {}
         for c in cols:
             lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
+            if lo is None:  # no value at all: one bin
+                edges[c] = []
+                continue
             step = (hi - lo) / n
             edges[c] = [lo, hi] if step == 0 else [lo + i * step for i in range(n)] + [hi]
     else:
@@ -154,8 +158,8 @@ def fit_bins(df: DataFrame, cols: list[str], n: int = 5, strategy: str = "quanti
 
 
 def bin_code(c: str | Column, edges: list[float]) -> Column:
-    """Bins are closed on the left; values outside the fitted range fall into the end bins."""
-    col = F.col(c) if isinstance(c, str) else c
+    """Bins are closed on the left; values outside the fitted range fall into the end bins. Null and NaN have none."""
+    col = number(c)
     code = F.lit(0)
     for e in edges[1:-1]:
         code = code + (col >= d(e)).cast("int")

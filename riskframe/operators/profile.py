@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import d, missing
+from riskframe.functions.exprs import d, missing, value
 from riskframe.operators.quantiles import quantiles as exact_quantiles
 
 
@@ -58,10 +58,10 @@ def class_moments(df: DataFrame, label: str = "target", col: str = "features") -
 
 
 def describe_cols(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max; one row per column."""
+    """count, mean, sample std, min, quartiles, max; one row per column. NaN counts as missing."""
     row = df.agg(
         *[
-            f(c).alias(f"{a}_{c}")
+            f(value(c)).alias(f"{a}_{c}")
             for c in cols
             for a, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
         ]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.exprs import d, hash_hex, hash_int, hash_unit
+from riskframe.operators.joins import hot_join
 from riskframe.operators.neighbors import knn
 from riskframe.operators.ranking import hash_cut, ranked
 from riskframe.session import stage
@@ -180,9 +181,9 @@ def adasyn_counts(df: DataFrame, label: str, k: int = 5, key: str = "id", feat:
     """``(key, ratio, g)``: how many points each minority row contributes, by the majority share around it."""
     n, lo, hi = _two(df, label)
     rows = df.filter(F.col(label) == F.lit(lo)).select(key, feat)
-    around = knn(rows, df.select(key, feat), k, key, feat, **nn_args)
+    around = stage(knn(rows, df.select(key, feat), k, key, feat, **nn_args))  # read twice below
     labels = df.select(F.col(key).alias("nbr"), F.col(label).alias("__y"))
-    ratio = around.join(labels, "nbr").groupBy("key").agg(F.avg((F.col("__y") != F.lit(lo)).cast("double")).alias("ratio"))
+    ratio = hot_join(around, labels, "nbr").groupBy("key").agg(F.avg((F.col("__y") != F.lit(lo)).cast("double")).alias("ratio"))
     total = ratio.agg(F.sum("ratio")).first()[0]
     if not total:
         raise ValueError("no minority row has a majority neighbour")
@@ -213,7 +214,7 @@ def find_tomek(df: DataFrame, label: str, key: str = "id", feat: str = "features
     nn = stage(knn(df, df, 1, key, feat, **nn_args).select("key", "nbr"))  # read twice below
     lab = df.select(F.col(key).alias("key"), F.col(label).alias("y"))
     other = lab.select(F.col("key").alias("nbr"), F.col("y").alias("y_nbr"))
-    cross = nn.join(lab, "key").join(other, "nbr").filter("y != y_nbr")
+    cross = hot_join(nn, other, "nbr").join(lab, "key").filter("y != y_nbr")
     back = cross.select(F.col("nbr").alias("key"), F.col("key").alias("nbr"))
     return cross.join(back, ["key", "nbr"]).select("key", "nbr", "y", "y_nbr")
 
@@ -234,10 +235,10 @@ def tomek_links(df: DataFrame, label: str, remove: str = "majority", key: str =
 def edited_nn(df: DataFrame, label: str, k: int = 3, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """Drop every row that one of its k neighbours disagrees with."""
     df = stage(df)  # the neighbour join, the labels and the removal all read it
-    nn = knn(df, df, k, key, feat, **nn_args)
+    nn = stage(knn(df, df, k, key, feat, **nn_args))  # read twice below
     lab = df.select(F.col(key).alias("key"), F.col(label).alias("y"))
     other = lab.select(F.col("key").alias("nbr"), F.col("y").alias("z"))
-    bad = nn.join(lab, "key").join(other, "nbr").filter("y != z").select(F.col("key").alias(key)).distinct()
+    bad = hot_join(nn, other, "nbr").join(lab, "key").filter("y != z").select(F.col("key").alias(key)).distinct()
     return df.join(bad, key, "left_anti")
 
 

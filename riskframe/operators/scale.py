@@ -72,15 +72,16 @@ def _apply_quantile(df, params):
     """Binary search for the knot below, then linear interpolation to [0, 1]; ties take the middle."""
     for c, p in params.cols.items():
         if len(p["v"]) < 2:
-            df = df.withColumn(c, F.when(F.col(c).isNull(), F.lit(None)).otherwise(d(0)))
+            df = df.withColumn(c, F.when(value(c).isNull(), F.lit(None)).otherwise(d(0)))
             continue
         df = Bucketizer(
             splits=[float("-inf"), *p["v"], float("inf")], inputCol=c, outputCol="__j", handleInvalid="keep"
-        ).transform(df.withColumn(c, F.col(c).cast("double")))
+        ).transform(df.withColumn(c, value(c)))
         j, last = F.col("__j").cast("int"), len(p["v"])
-        at = lambda a, i: F.element_at(lit_array(p[a]), i)
+        at = lambda a, i: F.get(lit_array(p[a]), F.coalesce(i, F.lit(1)) - 1)
         lo, hi = F.greatest(j, F.lit(1)), F.least(j + 1, F.lit(last))
         v0, v1 = at("v", lo), at("v", hi)
+        # get() and a clamp: branches of a null row are worked out too
         between = at("hi", lo) + (at("lo", hi) - at("hi", lo)) * (F.col(c) - v0) / (v1 - v0)
         df = df.withColumn(
             c,

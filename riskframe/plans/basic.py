@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d, r6
 from riskframe.operators import clean, encode, profile, scale, schema
-from riskframe.plans.registry import query
+from riskframe.plans.registry import ORACLES, query
 from riskframe.session import ensure_checkpoint_dir
 from riskframe.sources import frames, io
 from riskframe.sources.frames import COMPANY_SQL, NUMERIC, SCORED_SQL, STRINGS, VEC_SQL, with_sql
@@ -352,8 +352,7 @@ COMPANY_KNN_SQL = (
 )
 
 
-@query(
-    "knn_impute",
+KNN_IMPUTE_SQL = (
     with_sql(COMPANY_SQL)
     + f""", w AS (SELECT company_id, [{NUMS}] AS x FROM company),
     pairs AS (
@@ -370,13 +369,24 @@ COMPANY_KNN_SQL = (
     filled AS (SELECT company_id, """
     + ", ".join(f"avg(bv) FILTER (WHERE pos = {i + 1}) AS k_{c}" for i, c in enumerate(NUMERIC))
     + " FROM best GROUP BY 1) "
-    + COMPANY_KNN_SQL,
+    + COMPANY_KNN_SQL
 )
+
+
+@query("knn_impute", KNN_IMPUTE_SQL)
 def _(spark, sf):
     df = frames.company_table(spark, sf, "company_id", *NUMERIC)
     return rounded(clean.knn_impute(df, df, NUMERIC, 5, "company_id"), NUMERIC)
 
 
+@query("knn_impute_blocks", KNN_IMPUTE_SQL)
+def _(spark, sf):
+    """The path of donors too many to broadcast, with NaN in the place of every null."""
+    df = frames.company_table(spark, sf, "company_id", *NUMERIC)
+    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), d(float("nan"))) for c in NUMERIC})
+    return rounded(clean.knn_impute(df, df, NUMERIC, 5, "company_id", broadcast_bytes=0, block_rows=700), NUMERIC)
+
+
 RAGGED_SQL = """ragged AS (
   SELECT page_id AS id, CASE WHEN len(list_filter(b, lambda x: x <> '')) = 0 THEN NULL ELSE
     list_transform(list_filter(b, lambda x: x <> ''), lambda x: len(x)::double) END AS f
@@ -626,3 +636,61 @@ def _(spark, sf):
     for c, p in fit.cols.items():
         lam = F.when(F.col("feature") == c, d(p["lam"])).otherwise(lam)
     return rounded(out.withColumn("lam", lam), ["value"])
+
+
+# ---- NaN is missing: the same frame with NaN in a seventh of its cells, against SQL with null there
+
+
+def _holed_sql(cols, *ctes):
+    """The company frame as ``holed``, and further tables read from it."""
+    holed = "holed AS (SELECT company_id, " + ", ".join(f"CASE WHEN company_id % 7 <> {i % 7} THEN {c} END AS {c}" for i, c in enumerate(cols)) + " FROM company)"
+    return with_sql(COMPANY_SQL, holed, *[_on_holed(x) for x in ctes])
+
+
+def _on_holed(sql):
+    return sql.replace("FROM company", "FROM holed")
+
+
+def _holed(spark, sf, cols):
+    df = frames.company_table(spark, sf, "company_id", *cols)
+    nan = d(float("nan"))
+    return df.withColumns({c: F.when(F.col("company_id") % 7 == i % 7, nan).otherwise(F.col(c).cast("double")) for i, c in enumerate(cols)})
+
+
+@query(
+    "describe_with_nan",
+    _holed_sql(BIN_COLS)
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::double AS min,
+        round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c})::double AS max FROM holed"""
+        for c in BIN_COLS
+    ),
+)
+def _(spark, sf):
+    out = profile.describe_cols(_holed(spark, sf, BIN_COLS), BIN_COLS)
+    return out.withColumns({**{c: F.round(c, 4) for c in ("mean", "std")}, **{c: r6(c) for c in ("q25", "q50", "q75")}})
+
+
+@query(
+    "quantile_bins_with_nan",
+    _holed_sql(BIN_COLS, _edges_sql(5)) + "SELECT company_id, " + ", ".join(f"{_code_sql(c)} AS {c}" for c in BIN_COLS) + " FROM holed, " + ", ".join(f"e_{c}" for c in BIN_COLS),
+)
+def _(spark, sf):
+    df = _holed(spark, sf, BIN_COLS)
+    return encode.apply_bins(df, encode.fit_bins(df, BIN_COLS, 5))
+
+
+@query("uniform_bins_with_nan", _holed_sql(BIN_COLS) + _on_holed(ORACLES["uniform_bins"][ORACLES["uniform_bins"].index("SELECT company_id, (CASE") :]))
+def _(spark, sf):
+    df = _holed(spark, sf, BIN_COLS)
+    return encode.apply_bins(df, encode.fit_bins(df, BIN_COLS, 5, "uniform"))
+
+
+@query(
+    "quantile_scale_with_nan",
+    _holed_sql(SCALED, *[_grid_sql(c) for c in SCALED]) + _on_holed(ORACLES["quantile_uniform_scale"][ORACLES["quantile_uniform_scale"].index(f"SELECT company_id, '{SCALED[0]}'") :]),
+)
+def _(spark, sf):
+    df = _holed(spark, sf, SCALED)
+    out = scale.apply_scale(df, scale.fit_scale(df, SCALED, "quantile"))
+    return out.unpivot("company_id", SCALED, "feature", "value").withColumn("value", r6(F.col("value") + d(frames.TIE)))
