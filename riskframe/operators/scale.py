@@ -114,12 +114,76 @@ def power_likelihood(df: DataFrame, cols: list[str], lambdas) -> DataFrame:
     return grid.groupBy("lam").agg(*aggs)
 
 
+def _yeo_johnson_slope(x: Column, lam: Column) -> Column:
+    """Derivative of the power transform by lambda."""
+
+    def by_power(base, t):
+        # ((1 + base)^t - 1) / t by t; a series where t is almost 0
+        log = F.log1p(base)
+        p = F.pow(base + d(1), t)
+        return F.when(F.abs(t) < d(1e-4), log * log / d(2) + t * log * log * log / d(3)).otherwise((p * log - (p - d(1)) / t) / t)
+
+    return F.when(x >= d(0), by_power(x, lam)).otherwise(by_power(-x, d(2) - lam))
+
+
+def likelihood_slopes(df: DataFrame, at: dict[str, float]) -> dict[str, float | None]:
+    """Slope of each column's log-likelihood at its lambda, all columns in one pass; None where it cannot be told."""
+    aggs = []
+    for c, lam in at.items():
+        y, slope = yeo_johnson(value(c), d(lam)), _yeo_johnson_slope(value(c), d(lam))
+        bend = F.sum(F.signum(value(c)) * F.log1p(F.abs(value(c))))
+        aggs.append((bend - F.count(value(c)) * F.covar_pop(y, slope) / F.nullif(F.var_pop(y), d(0))).alias(c))
+    row = df.agg(*aggs).first()
+    return {c: row[c] if row[c] is not None and math.isfinite(row[c]) else None for c in at}
+
+
+def likelihood_lambdas(df: DataFrame, cols: list[str], tol: float = 1e-8) -> dict[str, float]:
+    """Maximum-likelihood lambda per column: the root of the likelihood's slope, which falls with lambda.
+
+    Brackets widen until the slope changes its sign, then shrink by false position with bisection, every column's next
+    point in the same aggregate. A column without spread keeps its values (lambda 1).
+    """
+    ends = {c: [-2.0, 2.0] for c in cols}
+    lo = likelihood_slopes(df, {c: -2.0 for c in cols})
+    hi = likelihood_slopes(df, {c: 2.0 for c in cols})
+    out = {c: 1.0 for c in cols if lo[c] is None or hi[c] is None}
+    for side, slopes, wrong in ((0, lo, lambda v: v < 0), (1, hi, lambda v: v > 0)):
+        while todo := {c: ends[c][side] * 2 for c in cols if c not in out and wrong(slopes[c])}:
+            for c, v in likelihood_slopes(df, todo).items():
+                if v is None:
+                    out[c] = ends[c][side]  # beyond what doubles can tell
+                else:
+                    ends[c][side], slopes[c] = todo[c], v
+    step = 0
+    while todo := [c for c in cols if c not in out and ends[c][1] - ends[c][0] > tol]:
+        at = {}
+        for c in todo:
+            a, b = ends[c]
+            chord = a + (b - a) * lo[c] / (lo[c] - hi[c])
+            # a hair beyond the chord, towards the end that is farther, so that both ends move
+            chord += math.copysign(min(tol / 2, (b - a) / 4), (a + b) / 2 - chord)
+            at[c] = chord if step % 3 < 2 and a < chord < b else (a + b) / 2
+        for c, v in likelihood_slopes(df, at).items():
+            if v is None or v == 0:
+                out[c] = at[c]
+            elif v > 0:
+                ends[c][0], lo[c] = at[c], v
+            else:
+                ends[c][1], hi[c] = at[c], v
+        step += 1
+    return {c: out[c] if c in out else sum(ends[c]) / 2 for c in cols}
+
+
 def _fit_power(df, cols, lambdas):
-    rows = power_likelihood(df, cols, lambdas).collect()  # one row per grid point
-    best = {}
-    for c in cols:
-        ok = [(r[c], -r["lam"]) for r in rows if r[c] is not None and math.isfinite(r[c])]
-        best[c] = -max(ok)[1] if ok else 1.0  # a constant column keeps its values
+    """By a grid of lambdas, or with ``lambdas="likelihood"`` at the maximum of the likelihood."""
+    if lambdas == "likelihood":
+        best = likelihood_lambdas(df, cols)
+    else:
+        rows = power_likelihood(df, cols, lambdas).collect()  # one row per grid point
+        best = {}
+        for c in cols:
+            ok = [(r[c], -r["lam"]) for r in rows if r[c] is not None and math.isfinite(r[c])]
+            best[c] = -max(ok)[1] if ok else 1.0  # a constant column keeps its values
     row = df.agg(
         *[f(yeo_johnson(value(c), best[c])).alias(f"{a}_{c}") for c in cols for a, f in (("m", F.avg), ("s", F.stddev_pop))]
     ).first()

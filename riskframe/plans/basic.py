@@ -694,3 +694,36 @@ def _(spark, sf):
     df = _holed(spark, sf, SCALED)
     out = scale.apply_scale(df, scale.fit_scale(df, SCALED, "quantile"))
     return out.unpivot("company_id", SCALED, "feature", "value").withColumn("value", r6(F.col("value") + d(frames.TIE)))
+
+
+# ---- power transform at the maximum of the likelihood
+
+ML_COLS = ["sum_price", "avg_disc"]
+
+
+def _slope_sql(c, lam):
+    """Slope of the likelihood of ``c`` at ``lam``, in the transform's own terms."""
+    up, down = f"pow({c} + 1, {lam})", f"pow(1 - {c}, 2 - {lam})"
+    y = f"CASE WHEN {c} >= 0 THEN ({up} - 1) / {lam} ELSE -({down} - 1) / (2 - {lam}) END"
+    dy = f"CASE WHEN {c} >= 0 THEN ({up} * ln({c} + 1) - ({up} - 1) / {lam}) / {lam} ELSE ({down} * ln(1 - {c}) - ({down} - 1) / (2 - {lam})) / (2 - {lam}) END"
+    return f"sum(sign({c}) * ln(1 + abs({c}))) - count({c}) * covar_pop({y}, {dy}) / var_pop({y})"
+
+
+def _bisected_sql(c):
+    """Lambda of ``c`` by 45 halvings of [-40, 40.1], whose midpoints never meet 0 or 2."""
+    return f"""b_{c} AS (
+      SELECT 0 AS i, -40::double AS lo, 40.1::double AS hi
+      UNION ALL
+      SELECT i + 1, CASE WHEN s > 0 THEN m ELSE lo END, CASE WHEN s > 0 THEN hi ELSE m END
+      FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, (SELECT {_slope_sql(c, "((lo + hi) / 2)")} FROM company) AS s FROM b_{c} WHERE i < 45))"""
+
+
+@query(
+    "power_likelihood_lambda",
+    with_sql(COMPANY_SQL, *[_bisected_sql(c) for c in ML_COLS]).replace("WITH", "WITH RECURSIVE", 1)
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round((lo + hi) / 2, 5) AS lam FROM b_{c} WHERE i = 45" for c in ML_COLS),
+)
+def _(spark, sf):
+    df = frames.company_table(spark, sf, "company_id", *ML_COLS)
+    fitted = scale.fit_scale(df, ML_COLS, "power", lambdas="likelihood")
+    return spark.createDataFrame([(c, round(p["lam"], 5)) for c, p in fitted.cols.items()], "feature string, lam double")

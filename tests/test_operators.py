@@ -303,3 +303,27 @@ def test_null_profile_and_describe(spark):
     assert {r["column"]: r["nulls"] for r in profile.null_profile(df).collect()} == {"a": 0, "b": 1}
     r = profile.describe_cols(df, ["a"]).first()
     assert (r["count"], r["mean"], r["q50"], r["std"]) == (2, 2.0, 2.0, pytest.approx(math.sqrt(2)))
+
+
+def test_power_lambda_by_likelihood(spark):
+    """The root of the slope against a fine search in numpy, a far optimum, NaN, and a constant column."""
+    import numpy as np
+
+    from riskframe.operators import scale
+
+    x = np.random.default_rng(3)
+    cols = {"skew": np.exp(x.normal(size=300)), "mixed": x.normal(size=300) ** 3, "far": -np.exp(1.2 * x.normal(size=300)) - 1, "flat": np.full(300, 2.5)}
+    rows = [tuple(float(v[i]) for v in cols.values()) for i in range(300)] + [(float("nan"), None, float("nan"), 2.5)]
+    got = scale.likelihood_lambdas(spark.createDataFrame(rows, "skew double, mixed double, far double, flat double"), list(cols))
+    assert got["flat"] == 1.0
+
+    def slope(v, lam, h=1e-4):
+        def ll(t):
+            with np.errstate(all="ignore"):
+                y = np.where(v >= 0, np.log1p(np.abs(v)) if abs(t) < 1e-9 else ((np.abs(v) + 1) ** t - 1) / t, -np.log1p(np.abs(v)) if abs(2 - t) < 1e-9 else -((np.abs(v) + 1) ** (2 - t) - 1) / (2 - t))
+            return -len(v) / 2 * np.log(y.var()) + (t - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+
+        return (ll(lam + h) - ll(lam - h)) / (2 * h)
+
+    for c in ("skew", "mixed", "far"):
+        assert slope(cols[c], got[c] - 1e-3) > 0 > slope(cols[c], got[c] + 1e-3)
