@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from riskframe.functions.exprs import array_sum, d, hash_unit, lit_array
+from riskframe.models.network import fit_network, score_network
+from riskframe.models.pool import run_all
 from riskframe.operators.joins import hot_join
 from riskframe.operators.neighbors import knn
 from riskframe.operators.profile import vector_summary
@@ -60,6 +62,17 @@ class Model:
             return list(self.state["importances"])
         return [float(x) for x in self.ml.featureImportances.toArray()]
 
+    def margin_terms(self, x: Column) -> tuple[float, Column] | None:
+        """(constant, one term per feature) of the log odds, where they are a sum over features; else None."""
+        if self.kind in ("logreg", "linsvc"):
+            return float(self.ml.intercept), F.zip_with(x, lit_array(self.ml.coefficients.toArray()), lambda v, w: v * w)
+        if self.kind != "gnb":
+            return None
+        (m0, m1), (v0, v1), prior = self.state["mean"], self.state["var"], self.state["prior"]
+        const = math.log(prior[1] / prior[0]) + 0.5 * float((np.log(v0) - np.log(v1)).sum())
+        part = lambda m, v: F.zip_with(F.zip_with(x, lit_array(m), lambda a, b: (a - b) * (a - b)), lit_array(v), lambda a, b: a / b)
+        return const, F.zip_with(part(m0, v0), part(m1, v1), lambda a, b: d(0.5) * (a - b))
+
     def bundle(self) -> dict:
         if self.table is not None:
             return {"kind": self.kind, "state": self.state, "rows": self.table}
@@ -112,9 +125,10 @@ def fit_model(
     col: str = "features", key: str = "id",
 ) -> Model:
     """Train one model. ``weight`` names a row-weight column; ``valid`` a boolean column marking the rows
-    that only decide when boosting stops: by a tolerance, or after ``patience`` rounds without a gain."""
+    that only decide when boosting stops: by a tolerance, or after ``patience`` rounds without a gain. The network takes row
+    weights, and ``pos_weight`` as a setting, by gradients of its own."""
     params = params or {}
-    if weight and kind in ("gnb", "knn", "brf", "mlp"):
+    if weight and kind in ("gnb", "knn", "brf"):
         raise ValueError(f"{kind!r} does not take row weights; resample instead")
     if valid and kind != "gbt":
         raise ValueError(f"{kind!r} does not stop early; only 'gbt' takes validation rows")
@@ -124,6 +138,8 @@ def fit_model(
         return _fit_gnb(df, label, params, col)
     if kind == "knn":
         return Model(kind, state={"k": params.get("k", 5), "key": key, "label": label}, table=df.select(key, col, label), col=col)
+    if kind == "mlp" and (weight or "pos_weight" in params):  # Spark's own network takes no weights
+        return Model("net", state=fit_network(df, label, params, weight, col), col=col)
     if kind == "brf":
         return _fit_balanced(df, label, params, col, key)
     if kind == "gbt" and valid and "patience" in params:
@@ -294,39 +310,65 @@ def _score_knn(model: Model, df: DataFrame, out: str) -> DataFrame:
 # ---- balanced forest
 
 
-def _fit_balanced(df, label, params, col, key):
-    """Several small forests, each on all minority rows and an equally large hash-drawn part of the majority."""
-    counts = {int(r[0]): r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+def poisson_count(rate: float, u: Column) -> Column:
+    """How often a row is drawn: the Poisson count of ``rate`` at the uniform number ``u``."""
+    step = below = math.exp(-rate)
+    out, k = F.lit(0), 0
+    while below < 1 - 2**-32:  # as fine as the hash
+        out = out + (u >= d(below)).cast("int")
+        k += 1
+        step *= rate / k
+        below += step
+    return out
+
+
+def balanced_draws(df: DataFrame, label: str, tree: int, seed: int, key: str, out: str = "__w") -> DataFrame:
+    """Bootstrap of one tree: every class is drawn with replacement to the size of the smallest one, as counts by key hash.
+
+    Counts are a projection, so no row is moved; a class's size is kept up to its Poisson spread.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+    return _drawn(df, label, counts, tree, seed, key, out)
+
+
+def _drawn(df, label, counts, tree, seed, key, out):
     if len(counts) != 2:
         raise ValueError("a balanced forest needs exactly two classes")
-    low = min(counts.values())
-    draws, trees = params.get("draws", 5), params.get("trees", 50)
-    parts, imp = [], None
-    for i in range(draws):
-        keep = F.lit(False)
-        for c, n in counts.items():
-            keep = keep | ((F.col(label) == c) & (hash_unit(params.get("seed", 42), "balanced", i, F.col(key)) < d(low / n if n > low else 1.1)))
-        m = _estimator("rf", {"depth": 8, **params, "trees": max(1, trees // draws), "seed": params.get("seed", 42) + i}, 0, False, None).fit(
-            _vectors(df.filter(keep), label, None, col)
-        )
-        parts.append(m)
-        v = m.featureImportances.toArray()
-        imp = v if imp is None else imp + v
-    return Model("brf", PipelineModel(parts), {"importances": (imp / draws).tolist()}, col=col)
+    low, u = min(counts.values()), hash_unit(seed, "balanced", tree, F.col(key))
+    n = F.lit(0)
+    for c, size in counts.items():
+        n = F.when(F.col(label) == F.lit(c), poisson_count(low / size, u)).otherwise(n)
+    return df.withColumn(out, n)
+
+
+def _fit_balanced(df, label, params, col, key):
+    """One tree per balanced bootstrap, the counts as row weights; trees are fitted side by side."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+    trees, seed = params.get("trees", 50), params.get("seed", 42)
+    one = {"depth": 8, **params, "trees": 1}
+
+    def tree(i):
+        rows = _drawn(df, label, counts, i, seed, key, "__n").filter("__n > 0")
+        return lambda: _estimator("rf", {**one, "seed": seed + i}, 0, True, None).setBootstrap(False).fit(_vectors(rows, label, "__n", col))
+
+    parts = run_all(df.sparkSession, [tree(i) for i in range(trees)])
+    imp = sum(m.featureImportances.toArray() for m in parts)
+    return Model("brf", PipelineModel(parts), {"importances": (imp / (imp.sum() or 1.0)).tolist()}, col=col)
 
 
 def _score_balanced(model: Model, df: DataFrame, out: str) -> DataFrame:
-    names = []
-    for i, stage in enumerate(model.stages.stages):
-        names.append(f"__p{i}")
-        df = _ml_score(stage, df, model.col, names[-1])
-    total = F.col(names[0])
-    for n in names[1:]:
-        total = total + F.col(n)
-    return df.withColumn(out, total / d(len(names))).drop(*names)
+    scored = df.withColumn("__v", array_to_vector(F.col(model.col)))
+    names = [f"__p{i}" for i in range(len(model.stages.stages))]
+    for name, m in zip(names, model.stages.stages):  # one column a tree, and no other
+        scored = m.copy({m.probabilityCol: name, m.rawPredictionCol: "", m.predictionCol: ""}).transform(scored)
+    return scored.withColumn(out, array_sum(F.array(*[vector_to_array(n)[1] for n in names])) / d(len(names))).drop("__v", *names)
+
+
+def _score_net(model: Model, df: DataFrame, out: str) -> DataFrame:
+    return score_network(model.state, df, model.col, out)
 
 
-_SCORERS = {"adaboost": _score_adaboost, "gnb": _score_gnb, "knn": _score_knn, "brf": _score_balanced}
+_SCORERS = {"adaboost": _score_adaboost, "gnb": _score_gnb, "knn": _score_knn, "brf": _score_balanced, "net": _score_net}
 
 
 def regression_importance(df: DataFrame, label: str, trees: int = 100, depth: int = 8, seed: int = 42, col: str = "features") -> list[float]:

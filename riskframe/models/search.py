@@ -4,24 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import d, hash_hex
+from riskframe.functions.exprs import array_sum, d, hash_hex
 from riskframe.models.base import Model, fit_model, regression_importance
+from riskframe.models.pool import run_all
 from riskframe.operators import metrics
+from riskframe.operators.profile import vector_summary
 from riskframe.operators.ranking import ranked
 from riskframe.operators.sample import class_weights, fold_ids
 from riskframe.operators.schema import slice_features
 from riskframe.operators.select import anova_f, selected_positions, top_k
 from riskframe.session import stage
 
-PARALLEL = 8  # Spark jobs of independent fits run side by side
+SWAPPED = 16  # features scored side by side in one projection
 
 
 class CompositeEvaluator(Evaluator):
@@ -46,12 +49,6 @@ def score_vector(df: DataFrame) -> str:
     return "probability" if "probability" in df.columns else "rawPrediction"
 
 
-def run_all(spark, tasks: list):
-    """Run driver-side callables concurrently; each only submits Spark jobs."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        return list(pool.map(lambda f: f(), [inheritable_thread_target(spark)(t) for t in tasks]))
-
-
 def holdout(train: DataFrame, test: DataFrame, label: str, kind: str, params: dict | None = None, t: float = 0.5, **fit) -> DataFrame:
     """Fit on train, all metrics on test."""
     scored = fit_model(train, label, kind, params, **fit).score(test)
@@ -149,27 +146,52 @@ def importance_frame(spark, imp: list[float]) -> DataFrame:
 def permutation_importance(df: DataFrame, model: Model, label: str, repeats: int = 10, seed: int = 42, t: float = 0.5, key: str = "id") -> DataFrame:
     """``(pos, mean, std)``: loss of accuracy when one feature is taken from another, hash-chosen row.
 
-    One permutation of rows per repeat is a single equi-join of two hash rankings; every feature then
-    borrows its value from the partner row, so no further shuffle is needed per feature.
+    One permutation of rows per repeat is a single equi-join of two hash rankings, after which a row holds its own and
+    its partner's features. Models whose margin is a sum over features swap one term at a time inside the row; the others
+    score ``SWAPPED`` features side by side in one projection. A row is never copied per feature.
     """
     base = stage(df.select(key, "features", label))
-    hit = lambda s: F.avg(((F.col("p") >= d(t)).cast("int") == F.col(label)).cast("double"))
-    whole = model.score(base).agg(hit(0)).first()[0]
+    hit = lambda p: ((p >= d(t)).cast("int") == F.col(label)).cast("double")
+    whole = model.score(base).agg(F.avg(hit(F.col("p"))).alias("a"), F.max(F.size("features")).alias("width")).first()
     rows = None
     for r in range(repeats):
         a = ranked(base, hash_hex(seed, "left", r, F.col(key)), (), "__rank")
-        b = ranked(base.select(F.col("features").alias("other"), F.col(key).alias("__k")), hash_hex(seed, "right", r, F.col("__k")), (), "__rank").drop("__k")
-        swapped = a.join(b, "__rank").select(
-            key,
-            label,
-            F.posexplode("other").alias("pos", "value"),
-            F.col("features").alias("f"),
-        ).withColumn("features", F.concat(F.slice("f", F.lit(1), F.col("pos")), F.array("value"), F.slice("f", F.col("pos") + 2, F.size("f"))))
-        part = model.score(swapped.drop("f", "value")).groupBy("pos").agg((d(whole) - hit(0)).alias("drop"))
-        rows = part if rows is None else rows.unionByName(part)
+        b = ranked(base.select(F.col("features").alias("__other"), F.col(key).alias("__k")), hash_hex(seed, "right", r, F.col("__k")), (), "__rank").drop("__k")
+        pairs = a.join(b, "__rank").select(key, label, "features", "__other")
+        if whole["width"] is not None:
+            part = _swapped_terms(pairs, model, hit) if model.margin_terms(F.col("features")) else _swapped_scores(stage(pairs), model, hit, whole["width"])
+            part = part.select("pos", (d(whole["a"]) - F.col("kept")).alias("drop"))
+            rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return df.sparkSession.createDataFrame([], "pos int, mean double, std double")
     return rows.groupBy("pos").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std"))
 
 
+def _swapped_terms(pairs: DataFrame, model: Model, hit) -> DataFrame:
+    """``(pos, kept)``: accuracy with each feature swapped, from the terms of the margin; one summary, no explode."""
+    const, own = model.margin_terms(F.col("features"))
+    _, other = model.margin_terms(F.col("__other"))
+    terms = pairs.withColumns({"__own": own, "__new": other}).withColumn("__m", array_sum(F.col("__own")) + d(const))
+    hits = F.zip_with("__own", "__new", lambda x, y: hit(d(1) / (d(1) + F.exp(x - y - F.col("__m")))))
+    per = vector_summary(terms.select(hits.alias("features")))
+    return per.select(F.posexplode("mean").alias("pos", "kept"))
+
+
+def _swapped_scores(pairs: DataFrame, model: Model, hit, width: int) -> DataFrame:
+    """The same for any model, ``SWAPPED`` features a pass."""
+    out = None
+    for lo in range(0, width, SWAPPED):
+        at = range(lo, min(width, lo + SWAPPED))
+        scored = pairs
+        for j in at:
+            mixed = F.concat(F.slice("features", 1, j), F.array(F.get("__other", F.lit(j))), F.slice("features", j + 2, width))
+            scored = replace(model, col=f"__f{j}").score(scored.withColumn(f"__f{j}", mixed), f"__p{j}").drop(f"__f{j}")
+        one = scored.agg(*[F.avg(hit(F.col(f"__p{j}"))).alias(str(j)) for j in at])
+        part = one.unpivot([], [str(j) for j in at], "pos", "kept").select(F.col("pos").cast("int").alias("pos"), "kept")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- wrappers
 
 
@@ -206,16 +228,22 @@ def rfecv(df, label, kind="logreg", params=None, folds=3, step=5, min_features=5
 
 
 def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5, cap=None, seed=42, key="id") -> dict:
-    """Add the feature with the best cross-validated AUC; stop without a gain once ``min_features`` are in,
+    """Add the feature with the best cross-validated AUC (all candidates of a round in one job where the model is additive:
+    ``gnb``); stop without a gain once ``min_features`` are in,
     or at ``cap`` features if one is given.
 
     Returns the order, the score history and a rank per feature (unchosen ones follow in position order).
     """
     f = stage(fold_ids(df.select(key, "features", label), label, folds, seed, key))
     width = len(f.select("features").first()[0])
+    if kind == "gnb":
+        moments = fold_moments(f, label, folds)
+        trial = lambda subsets: additive_scores(f, subsets, label, moments, folds, (params or {}).get("smoothing", 1e-9))
+    else:
+        trial = lambda subsets: subset_scores(f, subsets, label, kind, params, folds, key)
     chosen, left, history = [], list(range(width)), []
     while left and (cap is None or len(chosen) < cap):
-        scores = subset_scores(f, [[*chosen, c] for c in left], label, kind, params, folds, key)
+        scores = [round(s, 12) for s in trial([[*chosen, c] for c in left])]  # sums differ in the last digits: a tie stays one
         top, best = max(zip(scores, left))
         if history and top <= max(history) and len(chosen) >= min_features:
             break
@@ -226,6 +254,54 @@ def forward_addition(df, label, kind="gnb", params=None, folds=3, min_features=5
     return {"order": chosen, "history": history, "rank": [rank[c] for c in range(width)]}
 
 
+def fold_moments(f: DataFrame, label: str, folds: int) -> list[dict[int, tuple]]:
+    """Per left-out fold and class: (rows, means, variances) of the other folds, merged from one summary by fold and class."""
+    got = {(r["fold"], int(r[label])): (r["n"], np.array(r["mean"]), np.array(r["var"])) for r in vector_summary(f, ["fold", label]).collect()}
+
+    def merged(parts):
+        n = sum(p[0] for p in parts)
+        mean = sum(p[0] * p[1] for p in parts) / n
+        return n, mean, sum(p[0] * (p[2] + (p[1] - mean) ** 2) for p in parts) / n
+
+    out = [{c: [v for (i, k), v in got.items() if i != left and k == c] for c in (0, 1)} for left in range(folds)]
+    if not all(o[0] and o[1] for o in out):
+        raise ValueError("labels 0 and 1 are both needed in every training part")
+    return [{c: merged(o[c]) for c in (0, 1)} | {2: merged(o[0] + o[1])} for o in out]
+
+
+def additive_scores(f: DataFrame, subsets: list[list[int]], label: str, moments: list[dict[int, tuple]], folds: int, smoothing: float = 1e-9) -> list[float]:
+    """Mean cross-validated AUC of naive Bayes on several feature subsets, in one job.
+
+    The log odds of a subset are the sum of its features' terms, so no subset is fitted: each batch adds up the terms of
+    its rows, folds equal scores, and the AUC of every (subset, fold) comes from one grouped curve.
+    """
+    # by fold and subset, the addition to all variances: as much as a fit on that subset adds
+    eps = [[smoothing * (float(m[2][2][s].max()) or 1.0) for s in subsets] for m in moments]
+
+    def terms(x, m, e, cols):
+        one = lambda c: (x[:, cols] - m[c][1][cols]) ** 2 / (m[c][2][cols] + e) + np.log(m[c][2][cols] + e)
+        return 0.5 * (one(0) - one(1)).sum(axis=1)
+
+    def work(batches):
+        for b in batches:
+            x = np.stack(b.column("features").to_numpy(zero_copy_only=False)).astype(float) if b.num_rows else np.zeros((0, 1))
+            y, fold = (b.column(c).to_numpy() for c in ("y", "fold"))
+            for i in np.unique(fold):
+                here, m = fold == i, moments[i]
+                for j, cols in enumerate(subsets):
+                    odds = np.log(m[1][0] / m[0][0]) + terms(x[here], m, eps[i][j], cols)
+                    with np.errstate(over="ignore"):
+                        p, at = np.unique(1 / (1 + np.exp(-odds)), return_inverse=True)
+                    pos, of = (np.bincount(at, weights=w, minlength=len(p)).astype(np.int64) for w in (y[here], np.ones(here.sum())))
+                    same = [pa.array(np.full(len(p), v, np.int32)) for v in (j, i)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array(pos), pa.array(of - pos)], names=["subset", "fold", "score", "pos", "neg"])
+
+    rows = f.select("features", F.col(label).cast("long").alias("y"), "fold").mapInArrow(work, "subset int, fold int, score double, pos long, neg long")
+    auc = metrics.counted_auc(rows.groupBy("subset", "fold", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["subset", "fold"])
+    got = {r["subset"]: r["auc"] for r in auc.groupBy("subset").agg((F.sum("auc") / d(folds)).alias("auc")).collect()}
+    return [got[j] for j in range(len(subsets))]
+
+
 def search_k(df, label, ks=(30, 50, 80, 100), kind="logreg", params=None, folds=5, seed=42, key="id") -> DataFrame:
     """Cross-validated AUC of the k best features by F statistic, for each k: ``(k, auc, best)``."""
     f = stage(fold_ids(df.select(key, "features", label), label, folds, seed, key))

@@ -57,8 +57,13 @@ def rates(conf: DataFrame, beta: float = 1.2) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, p: str, by=()) -> DataFrame:
     """Exact AUC (Mann-Whitney, ties count one half) per ``by``."""
+    return counted_auc(score_counts(df, label, p, by), by)
+
+
+def counted_auc(counts: DataFrame, by=()) -> DataFrame:
+    """Exact AUC from ``(by, score, pos, neg)``, one row per distinct score."""
     # both counts are carried through, so that totals and running sums share one shuffle of the counts
-    cum = running_totals(score_counts(df, label, p, by), "score", ["pos", "neg"], by)
+    cum = running_totals(counts, "score", ["pos", "neg"], by)
     wins = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / d(2)))
     return cum.groupBy(*by).agg(safe_div(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 

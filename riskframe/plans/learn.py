@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import d, hash_unit, r6
-from riskframe.models import ensembles, search, stages
-from riskframe.models.base import boosted_weight, fit_model
+from riskframe.models import ensembles, network, search, stages
+from riskframe.models.base import balanced_draws, boosted_weight, fit_model
 from riskframe.operators import clean, encode, explain, metrics, sample, scale, schema, score, select, thresholds
 from riskframe.plans.basic import VEC_LONG_SQL, rounded, scratch
 from riskframe.plans.registry import query
@@ -41,13 +42,56 @@ def test_scores(kind, params=None, weight=None):
 query("gradient_boosting")(test_scores("gbt", {"rounds": 10, "depth": 3, "lr": 0.1, "subsample": 0.8}, "double_positive"))
 query("adaboost")(test_scores("adaboost", {"rounds": 8, "lr": 0.5}))
 query("random_forest")(test_scores("rf", {"trees": 30, "depth": 5}, "balanced"))
-query("balanced_forest")(test_scores("brf", {"trees": 30, "draws": 3, "depth": 5}))
+query("balanced_forest")(test_scores("brf", {"trees": 30, "depth": 5}))
 query("decision_tree")(test_scores("tree", {"depth": 5}))
 query("logistic_regression")(test_scores("logreg", {"reg": 0.01}))
 query("linear_svm")(test_scores("linsvc", {"reg": 0.01}))
 query("feed_forward_net")(test_scores("mlp", {"hidden": [16, 8], "iterations": 30}))
 
 
+query("weighted_network")(test_scores("mlp", {"hidden": [16, 8], "iterations": 60, "pos_weight": 10.0}))
+
+NET = [64, 3, 1]
+NET_THETA = [((7 * i) % 11 - 5) / 20 for i in range(64 * 3 + 3 + 3 + 1)]
+NET_SQL = """, th AS (SELECT i, ((7 * i) % 11 - 5) / 20.0::double AS v FROM range(199) t(i)),
+z AS (SELECT id, l.target AS y, k, sum(x * th.v) AS s FROM l, range(3) t(k) JOIN th ON th.i = l.pos * 3 + k GROUP BY 1, 2, 3),
+h AS (SELECT id, y, k, 1 - 2 / (exp(2 * (s + b.v)) + 1) AS h, o.v AS w2 FROM z JOIN th b ON b.i = 192 + k JOIN th o ON o.i = 195 + k),
+e AS (SELECT id, (1 / (1 + exp(-sum(h * w2) - (SELECT v FROM th WHERE i = 198))) - any_value(y)) * any_value(CASE WHEN y = 1 THEN 100 ELSE 1 END) AS e FROM h GROUP BY 1),
+n AS (SELECT sum(CASE WHEN target = 1 THEN 100 ELSE 1 END)::double AS n FROM vec),
+g AS (SELECT l.pos * 3 + k AS i, sum(e * w2 * (1 - h * h) * x) AS g FROM l JOIN h USING (id) JOIN e USING (id) GROUP BY 1
+  UNION ALL SELECT 192 + k, sum(e * w2 * (1 - h * h)) FROM h JOIN e USING (id) GROUP BY 1
+  UNION ALL SELECT 195 + k, sum(e * h) FROM h JOIN e USING (id) GROUP BY 1
+  UNION ALL SELECT 198, sum(e) FROM e)
+SELECT i::int AS i, round(g / n, 6) AS grad FROM g, n"""
+
+
+@query("network_weighted_gradient", with_sql(VEC_LONG_SQL + NET_SQL))
+def _(spark, sf):
+    """One weighted gradient of a given network, positives a hundredfold."""
+    g, _ = network.gradient(network.weighted_rows(frames.vec(spark, sf), "target", pos_weight=100.0), np.array(NET_THETA), NET)
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "i int, grad double"), ["grad"])
+
+
+@query(
+    "balanced_forest_draws",
+    with_sql(VEC_SQL)
+    + """, c AS (SELECT target, count(*)::double AS n FROM vec GROUP BY 1),
+    rate AS (SELECT target, (SELECT min(n) FROM c) / n AS r FROM c),
+    cdf AS (SELECT target, k, sum(exp(-r) * r ** j / factorial(j::int)) AS below FROM rate, range(14) a(k), range(14) b(j) WHERE j <= k GROUP BY 1, 2),
+    u AS (SELECT id, target, tree, ('0x' || substr(md5('42|balanced|' || tree || '|' || id), 1, 8))::bigint / 4294967296::double AS u FROM vec, range(4) t(tree)),
+    d AS (SELECT u.tree, u.target, id, count_if(u >= below) AS n FROM u JOIN cdf USING (target) GROUP BY 1, 2, 3)
+    SELECT tree::int AS tree, target, count(*) FILTER (WHERE n > 0) AS rows, sum(n)::bigint AS draws FROM d GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Rows and draws of each class in the bootstraps of the first trees."""
+    v, out = frames.vec(spark, sf).select("id", "target"), None
+    for tree in range(4):
+        n = balanced_draws(v, "target", tree, 42, "id", "n").groupBy(F.lit(tree).alias("tree"), "target")
+        n = n.agg(F.count_if(F.col("n") > 0).alias("rows"), F.sum("n").cast("long").alias("draws"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("boosting_early_stop")
 def _(spark, sf):
     train, test = split_vec(spark, sf)
@@ -205,7 +249,7 @@ def importance(fn):
 
 
 query("forest_importance")(importance(lambda v: search.tree_importance(v, "target", "rf", {"trees": 20, "depth": 5})))
-query("balanced_forest_importance")(importance(lambda v: search.tree_importance(v, "target", "brf", {"trees": 20, "draws": 2, "depth": 5})))
+query("balanced_forest_importance")(importance(lambda v: search.tree_importance(v, "target", "brf", {"trees": 20, "depth": 5})))
 query("boosting_importance")(importance(lambda v: search.tree_importance(v, "target", "gbt", {"rounds": 5, "depth": 3})))
 query("network_weight_importance")(importance(lambda v: search.mlp_importance(v, "target", [8], 20)))
 
@@ -226,7 +270,20 @@ def _(spark, sf):
     return rounded(explain.importance_table(m.importances(), [f"f{i}" for i in range(64)], spark), ["importance"])
 
 
-@query("permutation_importance")
+PERMUTED_SQL = """, st AS (SELECT target, pos, count(*)::double AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY 1, 2),
+eps AS (SELECT 1e-9::double * max(v) AS eps FROM (SELECT var_pop(x) AS v FROM l GROUP BY pos)),
+w AS (SELECT a.pos, a.n AS n0, b.n AS n1, a.m AS m0, b.m AS m1, a.v + eps AS v0, b.v + eps AS v1 FROM st a JOIN st b ON a.pos = b.pos AND a.target = 0 AND b.target = 1, eps),
+own AS (SELECT id, l.target, pos, 0.5 * (ln(v0 / v1) + (x - m0) ** 2 / v0 - (x - m1) ** 2 / v1) AS term, n1 / n0 AS odds FROM l JOIN w USING (pos)),
+margin AS (SELECT id, any_value(target) AS target, ln(any_value(odds)) + sum(term) AS m FROM own GROUP BY 1),
+turn AS (SELECT id, r, row_number() OVER (PARTITION BY r ORDER BY md5('42|left|' || r || '|' || id)) AS a, row_number() OVER (PARTITION BY r ORDER BY md5('42|right|' || r || '|' || id)) AS b FROM vec, range(3) k(r)),
+pairs AS (SELECT x.r, x.id, y.id AS partner FROM turn x JOIN turn y ON x.r = y.r AND x.a = y.b),
+kept AS (SELECT r, o.pos, avg(((margin.m - o.term + q.term >= 0)::int = o.target)::int) AS kept
+  FROM pairs JOIN own o USING (id) JOIN own q ON q.id = partner AND q.pos = o.pos JOIN margin ON margin.id = o.id GROUP BY 1, 2),
+base AS (SELECT avg(((m >= 0)::int = target)::int) AS a FROM margin)
+SELECT pos::int AS pos, round(avg(a - kept), 6) AS mean, round(stddev_pop(a - kept), 6) AS std FROM kept, base GROUP BY 1"""
+
+
+@query("permutation_importance", with_sql(VEC_LONG_SQL + PERMUTED_SQL))
 def _(spark, sf):
     v = frames.vec(spark, sf)
     out = search.permutation_importance(v, fit_model(v, "target", "gnb"), "target", repeats=3)
@@ -249,7 +306,40 @@ def _(spark, sf):
     return spark.createDataFrame([(k, float(v), int(k == len(out["selected"]))) for k, v in sorted(out["history"].items())], "n int, auc double, best int").withColumn("auc", r6("auc"))
 
 
-@query("forward_addition")
+COMPANY_LONG_SQL = (
+    with_sql(COMPANY_SQL)
+    + ", raw AS (SELECT company_id AS id, target, unnest(generate_series(1, 7)) AS pos, unnest(["
+    + ", ".join(f"{c}::double" for c in NUMERIC)
+    + """]) AS x FROM company),
+    f AS (SELECT id, target, pos, coalesce(x, avg(x) OVER (PARTITION BY pos)) AS x FROM raw)"""
+)
+
+
+def forward_sql(width: int, folds: int, least: int) -> str:
+    """Naive Bayes on every subset of the company numbers, then the greedy rounds one after another."""
+    sql = COMPANY_LONG_SQL + f""",
+    fd AS (SELECT company_id AS id, ((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || company_id)) - 1) % {folds}) AS fold FROM company),
+    lf AS (SELECT f.*, fold FROM f JOIN fd USING (id)),
+    st AS (SELECT k.f AS fold, target, pos, count(*)::double AS n, avg(x) AS m, var_pop(x) AS v FROM lf, range({folds}) k(f) WHERE lf.fold <> k.f GROUP BY 1, 2, 3),
+    ov AS (SELECT k.f AS fold, pos, var_pop(x) AS v FROM lf, range({folds}) k(f) WHERE lf.fold <> k.f GROUP BY 1, 2),
+    eps AS (SELECT s, fold, 1e-9::double * max(v) AS eps FROM ov, range(1, {2**width}) t(s) WHERE (s >> (pos - 1)) & 1 = 1 GROUP BY 1, 2),
+    ll AS (SELECT s, id, lf.fold, lf.target AS y, st.target AS c, ln(any_value(n)) - 0.5 * sum(ln(v + eps) + (x - m) ** 2 / (v + eps) ORDER BY lf.pos) AS ll
+      FROM lf JOIN st ON st.fold = lf.fold AND st.pos = lf.pos JOIN eps ON eps.fold = lf.fold AND (s >> (lf.pos - 1)) & 1 = 1 GROUP BY 1, 2, 3, 4, 5),
+    sc AS (SELECT s, id, fold, y, 1 / (1 + exp(max(ll) FILTER (WHERE c = 0) - max(ll) FILTER (WHERE c = 1))) AS p FROM ll GROUP BY 1, 2, 3, 4),
+    rk AS (SELECT s, fold, y, rank() OVER (PARTITION BY s, fold ORDER BY p) + (count(*) OVER (PARTITION BY s, fold, p) - 1) / 2.0::double AS r FROM sc),
+    auc AS (SELECT s, round(avg(a), 12) AS auc FROM (SELECT s, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * sum(1 - y)) AS a FROM rk GROUP BY s, fold) GROUP BY 1),
+    r0 AS (SELECT 0::bigint AS s, -1.0::double AS best, []::bigint[] AS picked, false AS over)"""
+    for i in range(width):
+        sql += f""",
+    t{i} AS (SELECT r{i}.*, c, auc FROM r{i}, range({width}) k(c) JOIN auc ON auc.s = r{i}.s | (1::bigint << c) WHERE (r{i}.s >> c) & 1 = 0 ORDER BY auc DESC, c DESC LIMIT 1),
+    r{i + 1} AS (SELECT CASE WHEN stop THEN s ELSE s | (1::bigint << c) END AS s, CASE WHEN stop THEN best ELSE greatest(best, auc) END AS best,
+      CASE WHEN stop THEN picked ELSE list_append(picked, c) END AS picked, stop AS over FROM (SELECT *, over OR (auc <= best AND len(picked) >= {least}) AS stop FROM t{i}))"""
+    return sql + f"""
+    SELECT c::int AS pos, (row_number() OVER (ORDER BY coalesce(list_position(picked, c), {width} + 1), c))::int AS rank, ((s >> c) & 1)::int AS selected
+    FROM r{width}, range({width}) k(c)"""
+
+
+@query("forward_addition", forward_sql(len(NUMERIC), 2, 2))
 def _(spark, sf):
     df = frames.company_table(spark, sf, "company_id", *NUMERIC, "target")
     df = schema.assemble(clean.apply_impute(df, clean.fit_impute(df, NUMERIC)), NUMERIC).select("company_id", "features", "target")
@@ -284,11 +374,8 @@ def _(spark, sf):
 
 
 COMPANY_GNB_SQL = (
-    with_sql(COMPANY_SQL)
-    + ", raw AS (SELECT company_id AS id, target, unnest(generate_series(1, 7)) AS pos, unnest(["
-    + ", ".join(f"{c}::double" for c in NUMERIC)
-    + """]) AS x FROM company),
-    f AS (SELECT id, target, pos, coalesce(x, avg(x) OVER (PARTITION BY pos)) AS x FROM raw),
+    COMPANY_LONG_SQL
+    + """,
     l AS (SELECT id, target, pos, (x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos) AS x FROM f)"""
     + GNB_SQL.replace("FROM vec)", "FROM company)")
     + "SELECT id AS uuid, round(p, 6) AS proba, (p >= 0.1)::int AS prediction FROM scored"

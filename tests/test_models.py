@@ -1,11 +1,13 @@
 """Invariants of trained models: better than chance on planted signal, exact bookkeeping, stable reload."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.models import ensembles, search
-from riskframe.models.base import KINDS, Model, fit_model
+from riskframe.models import ensembles, network, search
+from riskframe.models.base import KINDS, Model, balanced_draws, fit_model
 from riskframe.operators import clean, metrics, scale, schema, score
 from riskframe.operators.sample import fold_ids
 from riskframe.sources import io
@@ -21,7 +23,7 @@ def planted(spark):
     return spark.createDataFrame(rows, "id long, features array<double>, target int").cache()
 
 
-SMALL = {"gbt": {"rounds": 5, "depth": 2}, "adaboost": {"rounds": 6}, "rf": {"trees": 10, "depth": 3}, "brf": {"trees": 6, "draws": 2, "depth": 3}, "mlp": {"hidden": [4], "iterations": 40}}
+SMALL = {"gbt": {"rounds": 5, "depth": 2}, "adaboost": {"rounds": 6}, "rf": {"trees": 10, "depth": 3}, "brf": {"trees": 6, "depth": 3}, "mlp": {"hidden": [4], "iterations": 40}}
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -53,6 +55,64 @@ def test_permutation_importance(planted):
     assert got[4] == 0 and min(got[0], got[1], got[2]) > got[3] - 0.02 and max(got.values()) > 0.05
 
 
+@pytest.mark.parametrize("kind", ["gnb", "logreg", "tree"])
+def test_permutation_importance_equals_swapping_by_hand(planted, kind):
+    """One repeat, each feature swapped in pandas with the partner of the two hash rankings."""
+    m = fit_model(planted, "target", kind, SMALL.get(kind))
+    got = {r["pos"]: r["mean"] for r in search.permutation_importance(planted, m, "target", 1, seed=5).collect()}
+    rows = planted.toPandas()
+    md5 = lambda side, i: hashlib.md5(f"5|{side}|0|{i}".encode()).hexdigest()
+    partner = dict(zip(sorted(rows.id, key=lambda i: md5("left", i)), sorted(rows.id, key=lambda i: md5("right", i))))
+    value = dict(zip(rows.id, rows.features))
+    accuracy = lambda df: df.select(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("target")).cast("double"))).first()[0]
+    whole = accuracy(m.score(planted))
+    for j in range(5):
+        swapped = [(int(i), [float(value[partner[i]][k] if k == j else x) for k, x in enumerate(f)], int(y)) for i, f, y in rows.itertuples(index=False)]
+        assert got[j] == pytest.approx(whole - accuracy(m.score(planted.sparkSession.createDataFrame(swapped, planted.schema))), abs=1e-12)
+
+
+def test_additive_scores_equal_fits_of_every_subset(planted):
+    f = fold_ids(planted, "target", 3).cache()
+    subsets = [[0], [2, 1], [4], [0, 1, 2, 3, 4]]
+    fast = search.additive_scores(f, subsets, "target", search.fold_moments(f, "target", 3), 3)
+    assert fast == pytest.approx(search.subset_scores(f, subsets, "target", "gnb", None, 3, "id"), abs=1e-9)
+
+
+def test_network_gradient_is_the_slope_of_the_loss(planted):
+    rows = network.weighted_rows(planted, "target", pos_weight=3.0)
+    layers, step = [5, 3, 2, 1], 1e-5
+    theta = np.random.default_rng(2).normal(0, 0.5, 5 * 3 + 3 + 3 * 2 + 2 + 2 + 1)
+    g, _ = network.gradient(rows, theta, layers)
+    local = rows.toPandas()
+    x, y, w = np.stack(local.features), local.y.to_numpy(), local.w.to_numpy()
+    loss = lambda t: network.gradient_sum(x, y, w, t, layers)[-2] / w.sum()
+    slope = [(loss(theta + step * e) - loss(theta - step * e)) / (2 * step) for e in np.eye(len(theta))]
+    assert g == pytest.approx(slope, abs=1e-6)
+    with pytest.raises(ValueError):
+        network.gradient(rows.limit(0), theta, layers)
+
+
+def test_weight_on_positives_moves_the_scores(planted):
+    plain, heavy = (fit_model(planted, "target", "mlp", {"hidden": [4], "iterations": 40, "pos_weight": w}) for w in (1.0, 100.0))
+    mean = lambda m: m.score(planted).agg(F.avg("p")).first()[0]
+    assert mean(heavy) > mean(plain) + 0.1 and metrics.roc_auc(heavy.score(planted), "target", "p").first()["auc"] > 0.9
+    assert plain.state["losses"][-1] < plain.state["losses"][0] and len(plain.importances()) == 5
+    by_row = fit_model(planted.withColumn("w", F.when(F.col("target") == 1, 100.0).otherwise(1.0)), "target", "mlp", {"hidden": [4], "iterations": 40}, weight="w")
+    assert mean(by_row) == pytest.approx(mean(heavy), abs=1e-9)
+    back = Model.from_bundle(heavy.bundle())
+    assert mean(back) == mean(heavy)
+
+
+def test_every_tree_draws_balanced_classes(spark):
+    df = spark.range(6000).selectExpr("id", "CAST(id % 10 = 0 AS INT) AS target")
+    seen = set()
+    for tree in range(3):
+        got = {r["target"]: r for r in balanced_draws(df, "target", tree, 1, "id").groupBy("target").agg(F.sum("__w").alias("n"), F.max("__w").alias("most"), F.sum(F.col("id") * F.col("__w")).alias("of")).collect()}
+        assert abs(got[0]["n"] - 600) < 125 and abs(got[1]["n"] - 600) < 125 and got[1]["most"] > 1
+        seen.add(got[0]["of"])
+    assert len(seen) == 3
+
+
 def test_out_of_fold_covers_each_row_once(planted):
     f = fold_ids(planted, "target", 3)
     out = ensembles.out_of_fold(f, "target", [("gnb", {}), ("tree", {"depth": 2})], 3, "id")
@@ -102,7 +162,7 @@ def test_bundle_reload_gives_the_same_scores(spark, tmp_path):
     train = schema.assemble(scale.apply_scale(filled, scaled), ["a", "b"])
     bundle = {"cols": ["a", "b"], "impute": impute, "scale": scaled, "threshold": 0.4}
     for kind in ("logreg", "adaboost", "gnb", "brf"):
-        m = fit_model(train, "target", kind, {"rounds": 3, "trees": 4, "draws": 2, "depth": 2}, key="company_id")
+        m = fit_model(train, "target", kind, {"rounds": 3, "trees": 4, "depth": 2}, key="company_id")
         io.save_bundle({**bundle, **{f"m_{k}": v for k, v in m.bundle().items()}}, str(tmp_path / kind), spark)
         back = io.load_bundle(spark, str(tmp_path / kind))
         again = {**back, "model": Model.from_bundle({k[2:]: v for k, v in back.items() if k.startswith("m_")})}

@@ -73,7 +73,7 @@ def test_adaboost_importances_are_as_wide_as_the_rows(spark):
     assert len(fit_model(df, kind="adaboost", params={"rounds": 2}).importances()) == 5
 
 
-@pytest.mark.parametrize("kind", ["gnb", "knn", "brf", "mlp"])
+@pytest.mark.parametrize("kind", ["gnb", "knn", "brf"])
 def test_unsupported_weights_are_refused(spark, kind):
     df = spark.createDataFrame([(1, [0.0], 0, 1.0)], "id long, features array<double>, target int, w double")
     with pytest.raises(ValueError):
