@@ -1,6 +1,7 @@
 """Content sort, shards, mixing and personal data against plain Python."""
 
 import hashlib
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -180,6 +181,27 @@ def test_pii_whole_tables(spark, sf):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(v) for v in want[r.doc_id].values()]
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Offsets over many blocks, overlaps by halving, contexts across neighbouring matches; linear in the matches."""
+    many = "10;" * 200_000
+    mixed = "call 555-123-4567 call (555) 123-4567 a@b.com +1 202 555 0143 1.2.3.4 " * 1500 + 'token = "0123456789abcdef0123456789abcdef01234567" ' * 40
+    rows = spark.createDataFrame([(1, many), (2, mixed), (3, "token " + "a" * 40), (4, "sha 0123456789abcdef0123456789abcdef01234567")], "doc_id long, text string")
+    begin = time.time()
+    out = {r.doc_id: r for r in pii_digest(rows).collect()}
+    assert time.time() - begin < 60
+    for i, t in ((1, many), (2, mixed)):
+        want = _plain(t)
+        joined = ",".join(f"{k}:{s}:{e}" for k, v in want.items() for s, e in v)
+        assert [out[i].n_email, out[i].n_ip, out[i].n_card, out[i].n_phone] == [len(v) for v in want.values()]
+        assert out[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and out[i].spans.startswith(joined)
+    base = sorted(p for v in _plain(mixed).values() for p in v)
+    added = [tuple(map(int, x.split(":")[1:])) for x in out[2].spans.split(",") if x.split(":")[0] in ("localphone", "secret")]
+    assert len(added) == out[2].n_added and out[2].spans.count("secret:") == 40 and out[2].spans.count("localphone:") >= 1500
+    taken = {c for s, e in base for c in range(s, e)}
+    assert not any(c in taken for s, e in added for c in range(s, e))
+    assert out[3].n_added == 0 and out[4].n_added == 0  # one letter only; no context word
+
+
 def test_pii_edges(edge, edge_rows):
     assert pii_digest(edge).count() == len(edge_rows)
 
