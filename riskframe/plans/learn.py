@@ -49,7 +49,7 @@ query("linear_svm")(test_scores("linsvc", {"reg": 0.01}))
 query("feed_forward_net")(test_scores("mlp", {"hidden": [16, 8], "iterations": 30}))
 
 
-query("weighted_network")(test_scores("mlp", {"hidden": [16, 8], "iterations": 60, "pos_weight": 10.0}))
+query("weighted_network")(test_scores("mlp", {"hidden": [16, 8], "iterations": 20, "pos_weight": 10.0}))
 
 NET = [64, 3, 1]
 NET_THETA = [((7 * i) % 11 - 5) / 20 for i in range(64 * 3 + 3 + 3 + 1)]
