@@ -9,7 +9,8 @@ towards all, is high. A template with too few labels of its own takes the verdic
 that of the nearest node above it with enough of them. Rules given by hand come before the trees.
 
 Trees are built from distinct (host, path) with counts, pre-aggregated before the shuffle. Joins back to the rows spread
-a hot host over tasks. There are as many rounds as the deepest path has segments; a path leaves after its last one.
+a hot host over tasks. A round serves only places where many paths branch: shared segments are taken in one step, and a
+path whose place holds too few paths to vary leaves with its rest.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ PRIOR = 4.0  # pseudo-labels
 REJECT = 0.5
 LEAST = 3  # labels below which a template is never rejected
 
-ROUNDS = 20  # levels whose ended paths are put into one table
+ROUNDS = 20  # parts of ended paths that are put into one table
 
 # fixed values: the rules of the query
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -60,26 +61,49 @@ def shape(segment: Column) -> Column:
     return F.concat(F.lit("*"), F.regexp_replace(F.regexp_replace(segment, r"[0-9]+", "N"), r"[^\W\d_N]+|(?<![*])N(?=[a-z])", "W"))
 
 
+def _shared_beginning(low: Column, high: Column) -> Column:
+    """Number of leading elements that two arrays share."""
+    at = F.array_position(F.zip_with(low, high, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(at == 0, F.size(low)).otherwise(at - 1).cast("int")
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """(host, path, template) of distinct paths with their counts ``n``."""
-    segs = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    now, done = paths.select("host", "path", "n", segs.alias("segs"), F.lit("").alias("template")), []
-    for d in range(now.agg(F.max(F.size("segs"))).first()[0] or 0):
-        here = now.withColumn("seg", F.get("segs", F.lit(d)))
-        places = here.filter("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+    """(host, path, template) of distinct paths with their counts ``n``.
+
+    Paths at one place with fewer than ``VARIED`` of them can never vary further down: they keep their rest and leave. The
+    others go on by the segments that all paths of their place share, and one more. So a path takes part in as many rounds as it
+    has places where ``VARIED`` paths or more branch, not as many as it has segments.
+    """
+    place = F.xxhash64("host", "template")
+    join = lambda segs: F.concat(F.lit("/"), F.array_join(segs, "/"))
+    now = stage(paths.select("host", "path", "n", F.split(F.regexp_replace("path", "^/", ""), "/", -1).alias("segs"), F.lit("").alias("template")))
+    done = []
+    while not now.isEmpty():
+        # the least and the greatest rest of a place share what all its rests share
+        spots = now.groupBy("host", "template").agg(F.count("*").alias("paths"), F.min("segs").alias("low"), F.max("segs").alias("high"))
+        spots = spots.select(place.alias("place"), "paths", _shared_beginning(F.col("low"), F.col("high")).alias("same"))
+        spots = spots.groupBy("place").agg(F.max("paths").alias("paths"), F.min("same").alias("same"))
+        now = spread_join(now.withColumn("place", place), spots, "place", F.col("path")).drop("place")
+        some = F.when(F.col("paths") < VARIED, F.size("segs")).otherwise(F.col("same"))
+        now = now.withColumn("template", F.when(some > 0, F.concat("template", join(F.slice("segs", F.lit(1), some)))).otherwise(F.col("template")))
+        now = now.withColumn("segs", F.slice("segs", some + 1, F.greatest(F.size("segs") - some, F.lit(0)))).drop("paths", "same")
+        now = stage(now)
+        done.append(now.filter(F.size("segs") == 0))
+        here = now.filter(F.size("segs") > 0).withColumn("seg", F.get("segs", F.lit(0)))
+        places = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         whole = places.groupBy("host", "template").agg(F.sum("n").alias("rows"), F.sum("paths").alias("paths"), F.count("*").alias("kinds"))
         variable = whole.filter((F.col("kinds") >= VARIED) & (F.col("kinds") >= SPREAD * F.col("paths")))
-        variable = variable.select(F.xxhash64("host", "template").alias("place"), F.col("host").alias("h"), F.col("template").alias("t"), "rows")
-        keyed = places.withColumn("place", F.xxhash64("host", "template"))
-        kept = spread_join(keyed, variable, "place", F.col("seg")).filter((F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("n") >= LITERAL * F.col("rows")))
-        kept = kept.select(F.xxhash64("host", "template", "seg").alias("branch"), F.col("host").alias("kh"), F.col("template").alias("kt"), F.col("seg").alias("ks"))
-        marked = spread_join(here.withColumn("place", F.xxhash64("host", "template")), variable.select("place", F.lit(1).alias("varies")).distinct(), "place", F.col("path"), "left")
+        variable = variable.select(place.alias("place"), F.col("host").alias("h"), F.col("template").alias("t"), "rows")
+        kept = spread_join(places.withColumn("place", place), variable, "place", F.col("seg")).filter((F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("n") >= LITERAL * F.col("rows")))
+        kept = kept.select(F.xxhash64("host", "template", "seg").alias("branch"))
+        marked = spread_join(here.withColumn("place", place), variable.select("place", F.lit(1).alias("varies")).distinct(), "place", F.col("path"), "left")
         marked = spread_join(marked.withColumn("branch", F.xxhash64("host", "template", "seg")), kept.select("branch", F.lit(1).alias("stays")).distinct(), "branch", F.col("path"), "left")
         step = F.when(F.col("varies").isNull() | F.col("stays").isNotNull(), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.concat(F.lit("/"), shape(F.col("seg"))))
-        now = stage(marked.withColumn("template", F.concat("template", step)).select("host", "path", "n", "segs", "template"))
-        done.append(now.filter(F.size("segs") == d + 1))
-        now = now.filter(F.size("segs") > d + 1)
-        if len(done) == ROUNDS:
+        rest = F.slice("segs", F.lit(2), F.greatest(F.size("segs") - 1, F.lit(0)))
+        now = stage(marked.select("host", "path", "n", rest.alias("segs"), F.concat("template", step).alias("template")))
+        done.append(now.filter(F.size("segs") == 0))
+        now = now.filter(F.size("segs") > 0)
+        if len(done) >= ROUNDS:
             done = [stage(reduce(DataFrame.unionAll, done))]
     return reduce(DataFrame.unionAll, done, now).select("host", "path", "n", "template")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,50 @@ def _verdicts(spark, urls, marks):
     return {r.page_id: (r.verdict, r.template) for r in out}
 
 
+def _templates(paths):
+    """Level by level over whole trees, every path to its last segment."""
+    at = {p: ("", p.removeprefix("/").split("/")) for p in paths}
+    for d in range(max(len(segs) for _, segs in at.values())):
+        places = defaultdict(list)
+        for p, (t, segs) in at.items():
+            if d < len(segs):
+                places[t].append((segs[d], paths[p], p))
+        for t, held in places.items():
+            rows, by = sum(n for _, n, _ in held), Counter()
+            for seg, n, _ in held:
+                by[seg] += n
+            varies = len(by) >= ut.VARIED and len(by) >= ut.SPREAD * len(held)
+            for seg, _, p in held:
+                turned = varies and by[seg] < ut.LITERAL * rows
+                kind = "*" + re.sub(r"[^\W\d_N]+|(?<![*])N(?=[a-z])", "W", re.sub(r"[0-9]+", "N", seg), flags=re.ASCII)
+                at[p] = (t + "/" + (kind if turned else seg), at[p][1])
+    return {p: t for p, (t, _) in at.items()}
+
+
+def _tree_paths():
+    paths = {f"/a/{i % 9}/x{i % 31}/{'new' if i % 2 else 'old'}/{i}.html": 1 + i % 3 for i in range(150)}
+    paths |= {f"/same/{'s/' * 40}{i % 12}/t/u/{i}": 1 for i in range(40)} | {f"/few/{i}/{'y/' * 5}z": 2 for i in range(7)}
+    paths |= {"/": 3, "": 1, "//": 1, "/a": 5, "/a/": 1, "/same": 1, "/same/" + "s/" * 40: 2, "/same/" + "s/" * 41: 1} | {"/hot/page": 1000}
+    return paths | {f"/hot/{'pqrstuvwxyz'[i % 11]}{i}/1": 1 for i in range(30)} | {"/c" * i: 1 for i in range(1, 12)}
+
+
+def test_templates_like_brute_force(spark):
+    paths = _tree_paths()
+    rows = [(h, p, n) for h in ("one.org", "two.org") for p, n in paths.items()]
+    got = ut.templates(spark.createDataFrame(rows, "host string, path string, n long")).collect()
+    want = _templates(paths)
+    assert len(got) == len(rows) and {(r.host, r.path): r.template for r in got} == {(h, p): want[p] for h, p, _ in rows}
+
+
+def test_a_very_deep_path_takes_few_rounds(spark):
+    deep = "/q" * 2000
+    paths = {f"/w/{i}": 1 for i in range(60)} | {deep: 1, deep + "/r": 1} | {f"/v{'/v' * 500}/{i}": 1 for i in range(20)}
+    begin = time.monotonic()
+    got = {r.path: r.template for r in ut.templates(spark.createDataFrame([("h", p, n) for p, n in paths.items()], "host string, path string, n long")).collect()}
+    assert time.monotonic() - begin < 60
+    assert got[deep] == deep and got["/w/7"] == "/w/*N" and got[f"/v{'/v' * 500}/3"] == f"/v{'/v' * 500}/3"
+
+
 def test_small_places_are_judged(spark):
     urls = [f"http://few.org/{a}/{i}" for a in ("aa", "bb") for i in range(5)] + ["http://few.org/aa/x/y/1", "http://few.org/cc", "http://free.org/aa/1"]
     got = _verdicts(spark, urls, [(i, 1) for i in range(4)] + [(i, 0) for i in range(5, 9)])
