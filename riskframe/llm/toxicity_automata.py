@@ -1,10 +1,11 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with the words around each hit.
 
 The lexicon is learned: words, and beginnings of words ("abcd*"), that labelled toxic texts hold and clean ones do not,
-taken in turn as long as they explain toxic texts that no ``COVER`` earlier terms do. It is stored as a trie. A word of a text is looked up by walking the
+taken in turn as long as they explain toxic texts that no ``COVER`` earlier terms do (a word and its beginnings count
+once). It is stored as a trie. A word of a text is looked up by walking the
 trie with the states of a Levenshtein automaton (position in the word, errors so far), so all terms within one edit (two
-for long terms) are found in one walk that ends where no state is left. A term whose near misses also occur in clean
-texts accepts exact hits only.
+for long terms) are found in one walk that ends where no state is left. A word that clean texts hold near a term is spared by
+name; a term near which many clean texts have a word accepts exact hits only, and its misses go to the next term in reach.
 
 A hit counts by its context of ``WINDOW`` words: within quotation marks or next to a word of reporting it speaks of the
 term, next to a word of address it uses it. The counts feed a logistic curve fitted to the labels. The fit reads at
@@ -33,7 +34,8 @@ LEAST = 3  # toxic texts that must hold a term
 LONG = 9  # terms from this length on allow two edits
 SHORTEST = 4
 WINDOW = 5
-CANDIDATES = 20_000  # pure words and beginnings, the most frequent first, that the cover chooses from
+PURE = 20  # times as frequent in toxic texts as in clean ones
+LOOSE = 0.0005  # share of clean texts with a word near a term that the term may have and still forgive
 HELD = 500_000  # looked-up words a worker remembers, about 60 MB
 ROWS = 500
 
@@ -64,20 +66,22 @@ class Node:
     term: str | None = None
     stem: str | None = None  # a beginning that ends here
     edits: int = 0  # the most that any term below allows
+    term_edits: int = 0
+    stem_edits: int = 0
 
 
-def trie(terms) -> Node:
+def trie(terms, exact_only=frozenset()) -> Node:
     root = Node()
     for t in terms:
-        node, k = root, allowed(t)
+        node, k = root, 0 if t in exact_only else allowed(t)
         root.edits = max(root.edits, k)
         for c in t.rstrip("*"):
             node = node.next.setdefault(c, Node())
             node.edits = max(node.edits, k)
         if t.endswith("*"):
-            node.stem = t
+            node.stem, node.stem_edits = t, k
         else:
-            node.term = t
+            node.term, node.term_edits = t, k
     return root
 
 
@@ -107,24 +111,26 @@ def _step(states: dict[int, int], word: str, c: str, k: int) -> dict[int, int]:
     return _closed(out, len(word), k)
 
 
-def nearest(root: Node, word: str) -> tuple[str, int] | None:
-    """The term with the fewest edits to the word among those that allow so many; ties go to the first in order."""
-    best: tuple[int, str] | None = None
+def in_reach(root: Node, word: str) -> list[tuple[int, str]]:
+    """(edits, term) of every term that forgives the edits to the word."""
+    out = []
     stack = [(root, _closed({0: 0}, len(word), root.edits))]
     while stack:
         node, states = stack.pop()
-        if node.term is not None and len(word) in states:
-            e = states[len(word)]
-            if e <= allowed(node.term) and (best is None or (e, node.term) < best):
-                best = (e, node.term)
-        if node.stem is not None:
-            e = min(states.values())
-            if e <= allowed(node.stem) and (best is None or (e, node.stem) < best):
-                best = (e, node.stem)
+        if node.term is not None and states.get(len(word), node.term_edits + 1) <= node.term_edits:
+            out.append((states[len(word)], node.term))
+        if node.stem is not None and min(states.values()) <= node.stem_edits:
+            out.append((min(states.values()), node.stem))
         for c, child in node.next.items():
             after = _step(states, word, c, child.edits)
             if after:
                 stack.append((child, after))
+    return out
+
+
+def nearest(root: Node, word: str) -> tuple[str, int] | None:
+    """The term with the fewest edits to the word among those that forgive so many; ties go to the first in order."""
+    best = min(in_reach(root, word), default=None)
     return (best[1], best[0]) if best else None
 
 
@@ -151,13 +157,13 @@ def leads_on(root: Node, head: str) -> bool:
 class Finder:
     """Looks words up in the lexicon; remembers the answers, and which beginnings of words lead nowhere."""
 
-    def __init__(self, terms, exact_only=frozenset()):
-        self.root, self.exact_only = trie(terms), exact_only
+    def __init__(self, terms, exact_only=frozenset(), spared=frozenset()):
+        self.root, self.spared = trie(terms, exact_only), spared
         self.held: dict[str, int] = {}
         self.heads: dict[str, bool] = {}
         self.head = DEPTH + self.root.edits
 
-    def nearest(self, word: str) -> tuple[str, int] | None:
+    def in_reach(self, word: str) -> list[tuple[int, str]]:
         if len(word) > self.head:
             head = word[: self.head]
             alive = self.heads.get(head)
@@ -166,13 +172,13 @@ class Finder:
                     self.heads.clear()
                 alive = self.heads[head] = leads_on(self.root, head)
             if not alive:
-                return None
-        return nearest(self.root, word)
+                return []
+        return in_reach(self.root, word)
 
     def look(self, word: str) -> int | None:
-        """Edits to the nearest term, or None."""
-        got = self.nearest(word)
-        return None if got is None or (got[1] and got[0] in self.exact_only) else got[1]
+        """Edits to the nearest term, or None; a spared word has none but exact hits."""
+        best = min(self.in_reach(word), default=None)
+        return None if best is None or (best[0] and word in self.spared) else best[0]
 
     def edits(self, words: list[str]) -> list[int]:
         """Edits of each word to its nearest term, -1 without one; new words are looked up once and remembered."""
@@ -216,24 +222,42 @@ class Finder:
         return 2 if any(w in ADDRESS for w in near) else 0
 
 
+def kin(a: str, b: str) -> bool:
+    """Whether one of two units is the other or a beginning of it."""
+    if len(b) < len(a):
+        a, b = b, a
+    return a == b or (a.endswith("*") and b.startswith(a[:-1])) or (b.endswith("*") and a == b[:-1])
+
+
 def lexicon(toxic: list[set[str]]) -> list[str]:
-    """Terms by greedy cover: the most frequent word first, counted over texts not yet covered ``COVER`` times."""
+    """Terms by greedy cover: the most frequent word first, counted over texts not yet covered by ``COVER`` words.
+
+    A word and its beginnings cover a text once. A beginning brings the words that it stands for, since whole words
+    forgive more edits.
+    """
     holds: dict[str, list[int]] = {}
     for i, t in enumerate(toxic):
         for w in t:
             holds.setdefault(w, []).append(i)
-    left, gain, out = [COVER] * len(toxic), {w: len(h) for w, h in holds.items()}, []
+    gain, out = {w: len(h) for w, h in holds.items()}, set()
+    told: list[set[str]] = [set() for _ in toxic]  # units that gain nothing more from a text
+    left = [COVER] * len(toxic)
     while gain:
         w = max(gain, key=lambda x: (gain[x], x))
         if gain.pop(w) < LEAST:
             break
-        out.append(w)
+        out.add(w)
+        if w.endswith("*"):
+            out.update(v for i in holds[w] for v in toxic[i] if not v.endswith("*") and v.startswith(w[:-1]))
         for i in holds[w]:
+            if w in told[i] or not left[i]:
+                continue
             left[i] -= 1
-            if left[i] == 0:
-                for v in toxic[i]:
-                    if v in gain:
-                        gain[v] -= 1
+            now = {v for v in toxic[i] if v not in told[i] and (not left[i] or kin(v, w))}
+            told[i] |= now
+            for v in now:
+                if v in gain:
+                    gain[v] -= 1
     return sorted(out)
 
 
@@ -255,6 +279,10 @@ class Model:
     terms: list[str]
     exact_only: frozenset
     weights: np.ndarray | None
+    spared: frozenset = frozenset()
+
+    def finder(self) -> Finder:
+        return Finder(self.terms, self.exact_only, self.spared)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.hstack([x, np.ones((len(x), 1))]) @ self.weights, -40, 40)))
@@ -296,40 +324,53 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon, near misses and curve from the distinct texts of a bounded sample, in passes over it.
 
-    What meets on the driver: pure words, the lists of them in toxic texts, and five numbers per sampled text.
+    What meets on the driver: pure words, the lists of them in toxic texts, words near them, and five numbers per sampled text.
     """
     sample = stage(labelled_sample(docs, labels, "toxic", 5, 0, FIT_ROWS).groupBy("text").agg(F.max("y").alias("y")).repartition("text"))
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model([], frozenset(), None)
-    pure = _unit_counts(sample).filter((F.col("bad") >= LEAST) & (F.col("bad") / n[1] >= 20 * (F.col("good") + 0.25) / n[0]))
-    # lexicon words stand out in toxic texts; the most frequent ones suffice for the cover
-    fit_units = {r["unit"] for r in pure.orderBy(F.desc("bad"), "unit").limit(CANDIDATES).select("unit").collect()}
+    pure = _unit_counts(sample).filter((F.col("bad") >= LEAST) & (F.col("bad") / n[1] >= PURE * (F.col("good") + 0.25) / n[0]))
+    fit_units = {r["unit"] for r in pure.select("unit").collect()}
     lists = _per_text(sample.filter("y = 1"), lambda t, y: [(sorted(units(t) & fit_units),)], "words array<string>")
     terms = lexicon([set(r["words"]) for r in lists.orderBy("words").collect()])
     if not terms:
         return Model([], frozenset(), None)
-    misses = _per_text(sample.filter("y = 0"), _near_misses(terms), "term string").distinct()
-    wrong = frozenset(r["term"] for r in misses.collect())
+    near = _per_text(sample, _near_words(terms), "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    wrong, spared = forgiving([tuple(r) for r in near.filter("good > 0").collect()], terms, n)
     held: dict[str, Finder] = {}
-    rows = _per_text(sample, lambda t, y: [(held.setdefault("f", Finder(terms, wrong)).features(t), y)], "x array<double>, y int").toPandas()
+    rows = _per_text(sample, lambda t, y: [((held.get("f") or held.setdefault("f", Finder(terms, wrong, spared))).features(t), y)], "x array<double>, y int").toPandas()
     x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
     order = np.lexsort((y, *x.T))  # sums in one order, whatever the tasks' order was
-    return Model(terms, wrong, logistic(x[order], y[order]))
+    return Model(terms, wrong, logistic(x[order], y[order]), spared)
 
 
-def _near_misses(terms: list[str]):
-    """Terms that words of a text miss narrowly, each word looked at once per worker."""
+def forgiving(near: list[tuple[str, int, int]], terms: list[str], n: dict[int, int]) -> tuple[frozenset, frozenset]:
+    """(terms for exact hits only, words to spare) from (word, toxic texts, clean texts) of words near a term.
+
+    A word is spared unless it is as pure as a term's word must be. A term is for exact hits only when more than ``LOOSE`` of
+    the clean texts hold a word near it, and its misses together are not pure.
+    """
+    finder, misses = Finder(terms), Counter()
+    spared, toxic = set(), Counter()
+    for word, bad, good in near:
+        if bad / n[1] < PURE * good / n[0]:
+            spared.add(word)
+        for _, term in finder.in_reach(word):
+            misses[term] += good
+            toxic[term] += bad
+    wrong = frozenset(t for t, good in misses.items() if good > LOOSE * n[0] and toxic[t] / n[1] < PURE * good / n[0])
+    return wrong, frozenset(spared)
+
+
+def _near_words(terms: list[str]):
+    """Words of a text in reach of a term but none themselves; each is looked up once per worker."""
     held: dict[str, Finder] = {}
-    seen: set[str] = set()
 
     def of(text: str, y: int):
-        finder = held.setdefault("f", Finder(terms))
-        new = set(WORD.findall(text.lower())) - seen
-        if len(seen) > HELD:
-            seen.clear()
-        seen.update(new)
-        return [(term,) for term in {g[0] for g in map(finder.nearest, new) if g and g[1]}]
+        finder = held.get("f") or held.setdefault("f", Finder(terms))
+        words = sorted(set(WORD.findall(text.lower())))
+        return [(w, y) for w, e in zip(words, finder.edits(words)) if e > 0]
 
     return of
 
@@ -341,7 +382,7 @@ def scorer(model: Model):
     def score(text: pd.Series) -> pd.Series:
         if model.weights is None:
             return pd.Series(np.zeros(len(text)))
-        finder = held.setdefault("finder", Finder(model.terms, model.exact_only))
+        finder = held.get("finder") or held.setdefault("finder", model.finder())
         return pd.Series(model.score(np.array([finder.features(t) for t in text]).reshape(len(text), 5)))
 
     return score

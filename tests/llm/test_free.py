@@ -217,7 +217,29 @@ def test_automaton_against_edit_distance():
     for w in words:
         near = sorted((_distance(t, w), t) for t in terms if _distance(t, w) <= tox.allowed(t))
         want = (near[0][1], near[0][0]) if near else None
-        assert tox.nearest(finder.root, w) == want and finder.nearest(w) == want, w
+        assert tox.nearest(finder.root, w) == want and sorted(finder.in_reach(w)) == near, w
+
+
+def test_misses_go_to_the_next_term():
+    f = tox.Finder(["moron", "morons"], exact_only={"moron"})
+    assert f.look("morond") == 1 and f.look("moran") is None and f.look("moron") == 0
+    assert tox.Finder(["idiot"], spared={"idiom"}).look("idiom") is None and tox.Finder(["idiot"], spared={"idiom"}).look("idiott") == 1
+
+
+def test_forgiving_goes_by_rates():
+    n = {0: 10_000, 1: 1_000}
+    wrong, spared = tox.forgiving([("idiom", 0, 1), ("looser", 30, 1), ("scam", 2, 400), ("scun", 9, 1)], ["idiot", "loser", "scum"], n)
+    assert spared == {"idiom", "scam"}  # a single clean text spares the word, not the term
+    assert wrong == {"scum"}
+
+
+def test_lexicon_counts_a_word_and_its_beginnings_once():
+    toxic = [{"pathetic", "pathet*", "pathe*", "path*"} | ({"moron", "idiot"} if i < 6 else set()) for i in range(40)]
+    assert {"pathetic", "moron", "idiot"} <= set(tox.lexicon(toxic))  # three words, not three beginnings of one
+    assert tox.lexicon([{f"aa{k}bc" for k in range(6)}] * 5) == ["aa3bc", "aa4bc", "aa5bc"]
+    # a beginning that stands for two words brings both
+    assert {"idiots", "idiotic"} <= set(tox.lexicon([{"idiot*", "idiots"}] * 4 + [{"idiot*", "idiotic"}] * 4))
+    assert tox.kin("path*", "pathet*") and tox.kin("pathetic", "path*") and not tox.kin("idiots", "idiotic") and not tox.kin("idiot", "idiots")
 
 
 def test_beginnings():
