@@ -70,10 +70,10 @@ class Node:
     stem_edits: int = 0
 
 
-def trie(terms, exact_only=frozenset()) -> Node:
+def trie(terms) -> Node:
     root = Node()
     for t in terms:
-        node, k = root, 0 if t in exact_only else allowed(t)
+        node, k = root, allowed(t)
         root.edits = max(root.edits, k)
         for c in t.rstrip("*"):
             node = node.next.setdefault(c, Node())
@@ -158,12 +158,20 @@ class Finder:
     """Looks words up in the lexicon; remembers the answers, and which beginnings of words lead nowhere."""
 
     def __init__(self, terms, exact_only=frozenset(), spared=frozenset()):
-        self.root, self.spared = trie(terms, exact_only), spared
+        self.root, self.spared = trie(t for t in terms if t not in exact_only), spared
+        # terms for exact hits only need no walk
+        self.exact = {t for t in terms if t in exact_only}
+        self.stems = sorted({len(t) - 1 for t in self.exact if t.endswith("*")})
         self.held: dict[str, int] = {}
         self.heads: dict[str, bool] = {}
         self.head = DEPTH + self.root.edits
 
     def in_reach(self, word: str) -> list[tuple[int, str]]:
+        out = [(0, word)] if word in self.exact else []
+        out += [(0, word[:k] + "*") for k in self.stems if len(word) >= k and word[:k] + "*" in self.exact]
+        return out + self._walked(word)
+
+    def _walked(self, word: str) -> list[tuple[int, str]]:
         if len(word) > self.head:
             head = word[: self.head]
             alive = self.heads.get(head)
