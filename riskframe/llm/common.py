@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +55,24 @@ def stage_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers outlive their task, and what they keep is lost to the executor's later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], size: int, name: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` characters of a text column, one text at least."""
+    """Slices of about ``size`` characters of a text column, one text at least; gives memory back after the last."""
     for b in batches:
-        lens = np.cumsum([len(t or "") + 1 for t in b.column(name).to_pylist()])
+        lens = np.cumsum(pc.fill_null(pc.utf8_length(b.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         lo = 0
         while lo < b.num_rows:
             hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + size, side="right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+        b = None
+    give_back()

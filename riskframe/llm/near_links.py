@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import stage_table, text_steps
+from riskframe.llm.common import give_back, stage_table, text_steps
 from riskframe.operators.components import components
 from riskframe.operators.joins import hot_join
 
@@ -130,6 +130,8 @@ def open_pairs(rows: DataFrame, best: bool) -> DataFrame:
                 rows.append(tuple(r))
             yield told(out)
         yield told(fresh())
+        rows, seen, b = [], set(), None
+        give_back()
 
     return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
 
@@ -180,6 +182,8 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sets: Sets, ag
                 elif now == (a, part) and check(mine):
                     out[0].append(a), out[1].append(c)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        now = check = batch = items = values = offs = None
+        give_back()
 
     return dealt.mapInArrow(work, "a long, b long")
 

@@ -11,6 +11,7 @@ without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import give_back, text_steps
 from riskframe.llm.words import word_hashes
 
 FIT_ROWS = 20_000
 KEEP = 0.7
 SHRINK = (0.02, 0.1, 0.3, 0.6)
-ROWS = 500  # texts per step, bounds the arrays in a worker
+ROWS = 500  # texts per step, and
+STEP = 1_000_000  # characters, bound the arrays in a worker
 SOFT = 12.0  # pseudo-counts under each share, so that short texts are not judged by a few characters
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 lower or beyond ASCII, 3 digit, 4 space, 5 mark of a sentence, 6 symbol
@@ -168,8 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Discriminant | None:
 
     def work(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                b = whole.slice(i, ROWS)
+            for b in text_steps([whole], STEP):
                 x = statistics(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], names=["id", "y", "x"])
 
@@ -177,6 +179,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Discriminant | None:
     return fit(np.array(got["x"].tolist()), got["y"].to_numpy()) if len(got) else None
 
 
+def _steps(texts: list) -> Iterator[list]:
+    """At most ``ROWS`` texts of about ``STEP`` characters together, one at least."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if i > lo and (size > STEP or i - lo == ROWS):
+            yield texts[lo:i]
+            lo, size = i, len(t or "")
+    if texts:
+        yield texts[lo:]
+
+
 def scorer(model: Discriminant | None):
     """A column function from text to score; without a model every text scores 0.5."""
 
@@ -184,8 +198,9 @@ def scorer(model: Discriminant | None):
     def score(text: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series(np.full(len(text), 0.5))
-        values = text.tolist()
-        return pd.Series(np.concatenate([model.score(statistics(values[i : i + ROWS])) for i in range(0, len(values), ROWS)]) if values else np.zeros(0))
+        out = [model.score(statistics(part)) for part in _steps(text.tolist())]
+        give_back()
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return score
 

@@ -220,6 +220,13 @@ def test_automaton_against_edit_distance():
         assert tox.nearest(finder.root, w) == want and sorted(finder.in_reach(w)) == near, w
 
 
+def test_quality_steps():
+    texts = [None, "", "a" * qda.STEP, "b" * 3 * qda.STEP, "c"] + ["d"] * 1200
+    steps = list(qda._steps(texts))
+    assert [t for s in steps for t in s] == texts and not list(qda._steps([]))
+    assert all(len(s) == 1 or (len(s) <= qda.ROWS and sum(len(t or "") for t in s) <= qda.STEP) for s in steps)
+
+
 def test_misses_go_to_the_next_term():
     f = tox.Finder(["moron", "morons"], exact_only={"moron"})
     assert f.look("morond") == 1 and f.look("moran") is None and f.look("moron") == 0
