@@ -87,3 +87,12 @@ def test_long_chain_ends_in_few_rounds(spark, monkeypatch):
     out = components(chain.unionByName(star), "a", "b")
     assert {(r.root, r["count"]) for r in out.groupBy("root").count().collect()} == {(0, 10_000), (20_000, 5000)}
     assert len(rounds) <= 16
+
+
+def test_components_leave_the_session_fit_for_model_summaries(spark):
+    from riskframe.models.base import fit_model
+
+    components(spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"), "a", "b").collect()
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], int(i % 7 > 3)) for i in range(40)], "id long, features array<double>, target int")
+    for kind, params in (("logreg", {}), ("linsvc", {}), ("rf", {"trees": 2, "depth": 2})):
+        assert len(fit_model(rows, "target", kind, params).score(rows).select("p").collect()) == 40
