@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 from riskframe.functions.exprs import d
 from riskframe.operators.components import components
 from riskframe.operators.joins import hot_join
-from riskframe.operators.neighbors import _matrix, assign, block_pairs, knn, make_cells, measure, radius_visits
+from riskframe.operators.neighbors import _matrix, _pair_distance, assign, block_pairs, knn, make_cells, measure, radius_visits
 from riskframe.operators.profile import vector_summary
 from riskframe.operators.quantiles import quantiles
 from riskframe.operators.ranking import running_totals
 from riskframe.session import stage
 
+TILE = 2048  # rows a side whose distances are held at once
+
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, col: str = "features") -> list[list[float]]:
     """Centres from k-means|| seeding (the distributed form of squared-distance seeding) and Lloyd iterations."""
@@ -59,28 +61,42 @@ def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _block_components(adj: np.ndarray):
-    """Component number of each left and right row of one block pair (0/1 adjacency), by label spreading."""
+    """Component number of each left and right row of one block pair (0/1 adjacency), by label spreading along its links."""
     nl, nr = adj.shape
-    right = np.arange(nl, nl + nr)
-    left = np.arange(nl)
-    while True:
-        nl_ = np.minimum(left, np.where(adj, right[None, :], nl + nr).min(axis=1, initial=nl + nr))
-        nr_ = np.minimum(right, np.where(adj, nl_[:, None], nl + nr).min(axis=0, initial=nl + nr))
+    left, right = np.arange(nl), np.arange(nl, nl + nr)
+    i, j = np.nonzero(adj)
+    while len(i):
+        nl_, nr_ = left.copy(), right.copy()
+        np.minimum.at(nl_, i, right[j])
+        np.minimum.at(nr_, j, nl_[i])
         if (nl_ == left).all() and (nr_ == right).all():
-            return left, right
+            break
         left, right = nl_, nr_
+    return left, right
 
 
 def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """a x b mask of distances (nine decimals) <= eps, measured row by row."""
-    out = np.empty((len(a), len(b)), dtype=bool)
-    for i, row in enumerate(a):
-        e = b - row
-        out[i] = np.round(np.sqrt((e * e).sum(axis=1)), 9) <= eps
+    """a x b mask of distances (nine decimals) <= eps. The matrix product decides only what rounding cannot turn."""
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    g = a2[:, None] + b2[None, :] - 2.0 * (a @ b.T)
+    reach = 1e-11 * (a2 + b2.max(initial=0.0) + 1.0)[:, None]
+    out = g <= max(eps - 2e-9, 0.0) ** 2 - reach
+    i, j = np.nonzero((g <= (eps + 2e-9) ** 2 + reach) & ~out)
+    for s in range(0, len(i), 65536):
+        p, q = i[s : s + 65536], j[s : s + 65536]
+        out[p, q] = _pair_distance(a[p], b[q]) <= eps
     return out
 
 
-def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str = "id", feat: str = "features", block_rows: int = 2048) -> DataFrame:
+def _tiles(l: pd.DataFrame, r: pd.DataFrame, eps: float):
+    """(left rows, right rows, who is within ``eps``) of a block pair, in tiles that bound the temporary memory."""
+    x, y = _matrix(l["f"]), _matrix(r["f"])
+    for s in range(0, len(l), TILE):
+        for t in range(0, len(r), TILE):
+            yield slice(s, s + TILE), slice(t, t + TILE), _within(x[s : s + TILE], y[t : t + TILE], eps)
+
+
+def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str = "id", feat: str = "features", block_rows: int = 8192) -> DataFrame:
     """``(key, cluster, core)``: density clusters numbered by their smallest core key, noise is -1.
 
     No pair list is built: block pairs return neighbour counts, then only a spanning forest of the core
@@ -100,28 +116,32 @@ def density_clusters(df: DataFrame, eps: float, min_samples: int = 5, key: str =
     def count(l, r):
         if not len(l) or not len(r):
             return pd.DataFrame({"lid": l["lid"][:0], "n": np.zeros(0, dtype=np.int64)})
-        return pd.DataFrame({"lid": l["lid"], "n": _within(_matrix(l["f"]), _matrix(r["f"]), eps) @ r["w"].to_numpy()})
+        n, w = np.zeros(len(l), dtype=np.int64), r["w"].to_numpy()
+        for s, t, near in _tiles(l, r, eps):
+            n[s] += near @ w[t]
+        return pd.DataFrame({"lid": l["lid"], "n": n})
 
     counts = block_pairs(visits, placed, cells, block_rows).applyInPandas(count, T.StructType().add("lid", key_type).add("n", T.LongType()))
     state = stage(counts.groupBy("lid").agg((F.sum("n") >= min_samples).cast("int").alias("core")))
     core_placed = stage(placed.join(state.filter("core = 1").select(F.col("lid").alias("vid")), "vid", "left_semi"))
-    flagged = stage(visits.join(state, "lid").select("lid", "f", "core", "cell"))
+    flagged = stage(visits.join(state, "lid").select("lid", "f", "core", "cells"))
     pair = T.StructType().add("a", key_type).add("b", key_type).add("border", T.IntegerType())
 
     def forest(l, r):
         if not len(l) or not len(r):
             return pd.DataFrame({"a": l["lid"][:0], "b": l["lid"][:0], "border": np.zeros(0, dtype=np.int32)})
-        adj = _within(_matrix(l["f"]), _matrix(r["f"]), eps)
-        lk, rk, core = l["lid"].to_numpy(), r["vid"].to_numpy(), l["core"].to_numpy() == 1
-        left, right = _block_components(adj[core])
-        name = np.concatenate([lk[core], rk])
-        a = np.concatenate([lk[core], rk])
-        b = np.concatenate([name[left], name[right]])
-        out = [pd.DataFrame({"a": a[a != b], "b": b[a != b], "border": 0})]
-        # a border row needs one representative per component it touches
-        for i in np.nonzero(~core)[0]:
-            reps = np.unique(name[right[adj[i]]])
-            out.append(pd.DataFrame({"a": [lk[i]] * len(reps), "b": reps, "border": 1}))
+        lids, vids, cores = l["lid"].to_numpy(), r["vid"].to_numpy(), l["core"].to_numpy() == 1
+        out = []
+        for s, t, adj in _tiles(l, r, eps):
+            lk, rk, core = lids[s], vids[t], cores[s]
+            left, right = _block_components(adj[core])
+            a = np.concatenate([lk[core], rk])
+            b = np.concatenate([a[left], a[right]])
+            out.append(pd.DataFrame({"a": a[a != b], "b": b[a != b], "border": 0}))
+            # a border row needs one representative per component it touches
+            i, j = np.nonzero(adj[~core])
+            i, head = np.unique(np.stack([i, right[j]]), axis=1) if len(i) else (i, j)
+            out.append(pd.DataFrame({"a": lk[~core][i], "b": a[head], "border": 1}))
         return pd.concat(out).astype({"border": np.int32})
 
     links = stage(block_pairs(flagged, core_placed, cells, block_rows).applyInPandas(forest, pair))

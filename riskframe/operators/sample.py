@@ -257,6 +257,7 @@ def adasyn_tomek(df: DataFrame, label: str, k: int = 5, seed: int = 42, key: str
 
 def quality_filter(gen: DataFrame, orig: DataFrame, k: int = 5, max_dist: float = 0.95, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """Generated rows whose mean distance to their k nearest originals is below ``max_dist``."""
+    gen = stage(gen)  # counted, matched and joined
     mean = knn(gen, orig, k, key, feat, exclude_self=False, **nn_args).groupBy("key").agg(F.avg("dist").alias("mean_dist"))
     return gen.join(mean.filter(F.col("mean_dist") < d(max_dist)).withColumnRenamed("key", key), key)
 

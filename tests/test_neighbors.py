@@ -144,3 +144,25 @@ def test_isolation_forest_finds_the_outlier(spark):
     rows = cluster.apply_isolation(df, model).orderBy(F.col("anomaly").desc()).collect()
     assert rows[0]["id"] == 200
     assert sum(r["decision"] < 0 for r in rows) == 10
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies"])
+def test_a_visiting_vector_stays_one_row_however_many_cells_it_visits(spark, kind):
+    x = np.unique(data(kind), axis=0)
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vid long, f array<double>")
+    cells = neighbors.make_cells(vectors, 400)
+    placed = neighbors.assign(vectors, cells)
+    neighbors.measure(cells, placed)
+    visits = neighbors.radius_visits(vectors.withColumnRenamed("vid", "lid"), cells, 1e3)
+    assert visits.count() == len(x)
+    group = cells.groups(len(x))
+    assert set(group) == {0} and set(cells.groups(1)[cells.count > 0]) == set(range((cells.count > 0).sum()))
+    met = neighbors.block_pairs(visits, placed, cells, len(x)).applyInPandas(lambda a, b: a.assign(n=len(b))[["lid", "n"]].head(len(a)), "lid long, n long")
+    assert [(r["lid"], r["n"]) for r in met.orderBy("lid").collect()] == [(i, len(x)) for i in range(len(x))]
+
+
+def test_a_broadcast_match_is_dealt_out_by_its_pairs(spark, monkeypatch):
+    df = frame(spark, data("normal")).coalesce(1)
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 160 * 160 // 4)
+    out = neighbors.knn(df, df, 3)
+    assert out.rdd.getNumPartitions() >= 4 and out.count() == 480
