@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 from riskframe.llm import order_minhash as om
 from riskframe.llm import prefix_tree_join as pt
@@ -19,6 +20,7 @@ from riskframe.llm import url_templates as ut
 from riskframe.llm.bpe import PieceEncoder
 from riskframe.llm import near_links as nl
 from riskframe.llm.mixture_packing import LENGTH, Service, pack
+from riskframe.llm.pfair_mixing import mix
 from riskframe.operators.components import components
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -603,3 +605,38 @@ def test_pipeline_windows_follow_the_mix(spark):
     weights = {s: n**0.7 for s, n in Counter(r[3] for r in rows).items()}
     for took in _took(out, 20):
         assert all(abs(took[s] - LENGTH * w / sum(weights.values())) < 6 for s, w in weights.items())
+
+
+def _by_queue(out):
+    queues = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            queues[r.queue].append(r.doc_id)
+    return queues
+
+
+def test_pack_follows_a_given_order(spark, empty):
+    rows = [(i, prose(i, 20 + i % 300), f"s{i % 3}", (i * 37) % 101) for i in range(101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place long").repartition(6)
+    out = pack(docs, PATH, {"s0": 1.0, "s1": 2.0, "s2": 3.0}, order=["place"], length=256).collect()
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    got = _by_queue(out)
+    for s in ("s0", "s1", "s2"):
+        assert got[s] == [r[0] for r in sorted(rows, key=lambda r: r[3]) if r[2] == s]
+    assert pack(empty, PATH, order=["idx"]).count() == 0
+
+
+def test_packing_follows_the_mixing_stage_as_it_was_written(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(i, prose(i, 60 + i % 50), "en", "big" if i % 10 else "small", 60) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    down = F.col("doc_id").desc()  # any order that a mixing stage may choose
+    docs.repartitionByRange(5, down).sortWithinPartitions(down).write.parquet(f"{tmp_path}/mixed")
+    got = _by_queue(cp.packing(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect())
+    for source in ("big", "small"):
+        assert got[source] == sorted((r[0] for r in rows if r[3] == source), reverse=True)
+    cp.mixing(spark, docs, "").write.parquet(f"{tmp_path}/own")
+    place = {r.doc_id: r.position for r in mix(docs).collect()}
+    got = _by_queue(cp.packing(spark, spark.read.parquet(f"{tmp_path}/own"), "").collect())
+    assert all(q == sorted(q, key=place.get) for q in got.values()) and sum(map(len, got.values())) == 400
