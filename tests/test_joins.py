@@ -96,3 +96,13 @@ def test_components_leave_the_session_fit_for_model_summaries(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], int(i % 7 > 3)) for i in range(40)], "id long, features array<double>, target int")
     for kind, params in (("logreg", {}), ("linsvc", {}), ("rf", {"trees": 2, "depth": 2})):
         assert len(fit_model(rows, "target", kind, params).score(rows).select("p").collect()) == 40
+
+
+def test_fitted_models_score_in_ensembles_after_components(spark):
+    """The models that keep a training summary, inside the ensembles, in a session where components ran."""
+    from riskframe.models import ensembles
+
+    components(spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"), "a", "b").collect()
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], int(i % 7 > 3)) for i in range(60)], "id long, features array<double>, target int")
+    base = [("logreg", {}), ("tree", {"depth": 2})]
+    assert len(ensembles.fit_stacking(rows, "target", base, folds=2).score(rows).select("p").collect()) == 60
