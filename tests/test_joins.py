@@ -98,6 +98,39 @@ def test_components_leave_the_session_fit_for_model_summaries(spark):
         assert len(fit_model(rows, "target", kind, params).score(rows).select("p").collect()) == 40
 
 
+def _chain_and_star(spark):
+    """Chains of 41 nodes and a star of 300 leaves, shuffled over a few partitions."""
+    edges = [(c * 100 + i, c * 100 + i + 1) for c in range(5) for i in range(40)] + [(1000, 1001 + i) for i in range(300)]
+    return spark.createDataFrame(edges, "a long, b long").repartition(4), {n: e[0] // 100 * 100 if e[0] < 1000 else 1000 for e in edges for n in e}
+
+
+def test_few_edges_take_one_task(spark, monkeypatch):
+    edges, want = _chain_and_star(spark)
+    written = []
+    monkeypatch.setattr(cc, "stage", lambda df, real=cc.stage: written.append(df.rdd.getNumPartitions()) or real(df))
+    names = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        got = {r.node: r.root for r in cc.components(edges, "a", "b").collect()}
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    assert got == want and len(written) > 2 and set(written[1:]) == {1}
+
+
+def test_many_edges_stay_dealt_out(spark, monkeypatch):
+    from riskframe.operators import joins
+
+    edges, want = _chain_and_star(spark)
+    monkeypatch.setattr(joins, "EACH", 20)  # hot nodes and several tasks
+    handed = []
+    monkeypatch.setattr(cc, "_handed", lambda e, low, limit, total, real=cc._handed: handed.append(total > limit) or real(e, low, limit, total))
+    assert {r.node: r.root for r in cc.components(edges, "a", "b").collect()} == want
+    assert any(handed)
+
+
 def test_fitted_models_score_in_ensembles_after_components(spark):
     """The models that keep a training summary, inside the ensembles, in a session where components ran."""
     from riskframe.models import ensembles
