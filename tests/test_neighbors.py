@@ -166,3 +166,57 @@ def test_a_broadcast_match_is_dealt_out_by_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "TASK_PAIRS", 160 * 160 // 4)
     out = neighbors.knn(df, df, 3)
     assert out.rdd.getNumPartitions() >= 4 and out.count() == 480
+
+
+def brute_impute(x, k, rows):
+    """The masked distance of every pair, measured plainly."""
+    out = x.copy()
+    for i in rows:
+        both = ~np.isnan(x[i]) & ~np.isnan(x)
+        n = both.sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.round(np.sqrt(np.where(both, (x - x[i]) ** 2, 0).sum(1) * x.shape[1] / n), 9)
+        for c in np.nonzero(np.isnan(x[i]))[0]:
+            ok = np.nonzero((n > 0) & ~np.isnan(x[:, c]))[0]
+            out[i, c] = x[ok[np.lexsort((ok, d[ok]))[:k]], c].mean() if len(ok) else np.nanmean(x[:, c]) if (~np.isnan(x[:, c])).any() else np.nan
+    return out
+
+
+@pytest.mark.parametrize("kind", ["few gaps", "many gaps", "copies", "one column held by few"])
+def test_knn_impute_boxes_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 4)) * [1, 5, 1, 0.1], 3)
+    if kind == "copies":
+        x = np.concatenate([np.zeros((300, 4)), x[:20].repeat(30, axis=0)])
+    x[rng.random(x.shape) < (0.5 if kind == "many gaps" else 0.1)] = np.nan
+    x[5] = np.nan
+    if kind == "copies":
+        x[:200, 1:] = np.nan
+    if kind == "one column held by few":
+        x[3:, 3], x[:, 2] = np.nan, np.nan
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
+    got = np.array([[np.nan if r[c] is None else r[c] for c in cols] for r in clean.knn_impute(df, df, cols, 3, broadcast_bytes=0, block_rows=32).orderBy("id").collect()], dtype=float)
+    assert np.allclose(got, brute_impute(x, 3, range(len(x))), atol=1e-9, equal_nan=True)
+
+
+def test_boxes_leave_most_pairs_unmeasured():
+    """Pairs that meet grow with the rows, not with their square."""
+    from riskframe.operators.boxes import Boxes
+
+    share = []
+    for n in (2000, 16000):
+        x = np.random.default_rng(4).normal(size=(n, 3))
+        x[: n // 10, 2] = np.nan
+        boxes = Boxes(x[::4], n, 64)
+        cell = boxes.place(x)
+        for b in range(boxes.blocks):
+            y = x[cell == b]
+            boxes.count[b], boxes.held[b] = len(y), (~np.isnan(y)).sum(0)
+            boxes.low[b], boxes.high[b] = np.where(np.isnan(y), np.inf, y).min(0, initial=np.inf), np.where(np.isnan(y), -np.inf, y).max(0, initial=-np.inf)
+        asks = x[: n // 10]
+        d = np.sort(np.stack([((x[n // 10 :, :2] - a[:2]) ** 2).sum(1) * 1.5 for a in asks]), axis=1)[:, 4] ** 0.5
+        reach = np.repeat(d[:, None] + 1e-9, 3, axis=1)
+        met = boxes.within(asks, reach)
+        share.append((met @ boxes.count).mean() / n)
+    assert share[1] < share[0] / 3 and share[0] < 0.5
