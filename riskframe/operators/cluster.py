@@ -170,16 +170,17 @@ class Density:
 
 
 def fit_lof(df: DataFrame, k: int = 20, key: str = "id", feat: str = "features", **nn_args) -> Density:
-    nn = stage(knn(df, df, k, key, feat, **nn_args))
+    rows = stage(df.select(key, feat))  # read several times here and by every scoring
+    nn = stage(knn(rows, rows, k, key, feat, **nn_args))
     kdist = nn.groupBy(F.col("key").alias("nbr")).agg(F.max("dist").alias("kd"))
     reach = hot_join(nn, kdist, "nbr").groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"))
     density = reach.select("key", (d(1) / (F.col("r") + d(1e-10))).alias("lrd"))
-    return Density(df.select(key, feat), stage(density.join(kdist.withColumnRenamed("nbr", "key"), "key").select("key", "kd", "lrd")), k)
+    return Density(rows, stage(density.join(kdist.withColumnRenamed("nbr", "key"), "key").select("key", "kd", "lrd")), k)
 
 
 def score_lof(df: DataFrame, fitted: Density, key: str = "id", feat: str = "features", **nn_args) -> DataFrame:
     """``(key, lof)`` of rows that were not fitted, against the fitted ones."""
-    nn = stage(knn(df, fitted.rows, fitted.k, key, feat, exclude_self=False, **nn_args))
+    nn = stage(knn(stage(df.select(key, feat)), fitted.rows, fitted.k, key, feat, exclude_self=False, **nn_args))
     near = hot_join(nn, fitted.around.select(F.col("key").alias("nbr"), "kd", "lrd"), "nbr")
     own = near.groupBy("key").agg(F.avg(F.greatest("kd", "dist")).alias("r"), F.avg("lrd").alias("nl"))
     return own.select(F.col("key").alias(key), (F.col("nl") * (F.col("r") + d(1e-10))).alias("lof"))

@@ -220,3 +220,14 @@ def test_boxes_leave_most_pairs_unmeasured():
         met = boxes.within(asks, reach)
         share.append((met @ boxes.count).mean() / n)
     assert share[1] < share[0] / 3 and share[0] < 0.5
+
+
+def test_equal_vectors_fold_without_sorting_by_them_alone(spark):
+    """Spark normalises a vector again for every comparison of a sort: a hash has to lead."""
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [2.0, 1.0]), (4, [0.0, 1.0])], "key long, f array<double>")
+    folded = neighbors._fold(df, 2)
+    assert sorted(r["ids"] for r in folded.collect()) == [[1, 2], [3]]
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(__h" in plan
+    got = neighbors.knn(df.withColumnsRenamed({"key": "id", "f": "features"}), df.withColumnsRenamed({"key": "id", "f": "features"}), 1, broadcast_bytes=0)
+    assert sorted((r["key"], r["nbr"]) for r in got.collect()) == [(1, 2), (2, 1), (3, 1), (4, 1)]
