@@ -248,7 +248,7 @@ def fit_isolation(
     grown = rows.groupBy("tree").applyInPandas(grow, schema).collect()  # trees x at most 2 * sample nodes
     model = {"trees": [[r["feat"], r["cut"], r["low"], r["high"], r["path"]] for r in sorted(grown, key=lambda r: r["tree"])], "scale": _path_constant(sample)}
     model["offset"] = 0.0
-    scored = apply_isolation(df, model, feat)
+    scored = stage(apply_isolation(df, model, feat).select("anomaly"))  # quantiles read it three times
     model["offset"] = -quantiles(scored, ["anomaly"], [1 - contamination])["anomaly"][0]
     return model
 

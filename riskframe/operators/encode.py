@@ -25,6 +25,7 @@ from riskframe.session import stage
 
 NULL_CATEGORY = "nan"  # fixed value: text of a missing category
 MISSING = "missing"  # fixed value: fill for missing strings
+FEW_CODES = 100_000  # categories whose codes are broadcast
 MAX_ONEHOT = 10_000  # columns of one encoding; beyond, one sparse vector column
 
 
@@ -114,17 +115,19 @@ def fit_target(df: DataFrame, cols: list[str] | str, label: str, smoothing: floa
     out = TargetCodes()
     for c in cols:
         m = df.groupBy(as_category(c).alias("value")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
-        m = m.select("value", ((F.col("s") + d(smoothing * g)) / (F.col("n") + d(smoothing))).alias("enc"))
+        m = stage(m.select("value", ((F.col("s") + d(smoothing * g)) / (F.col("n") + d(smoothing))).alias("enc")))
         out.mapping[c] = m
         out.default[c] = m.agg(F.avg("enc")).first()[0]
     return out
 
 
 def apply_target(df: DataFrame, params: TargetCodes, suffix: str = "_target_encoded") -> DataFrame:
+    """A code beside each column. Few codes are broadcast: a shuffle by five categories would leave all that follows five tasks."""
     for c, m in params.mapping.items():
+        codes = m.select(F.col("value").alias("__v"), F.col("enc").alias("__e"))
         df = (
             df.withColumn("__v", as_category(c))
-            .join(m.select(F.col("value").alias("__v"), F.col("enc").alias("__e")), "__v", "left")
+            .join(F.broadcast(codes) if m.count() <= FEW_CODES else codes, "__v", "left")
             .withColumn(f"{c}{suffix}", F.coalesce("__e", d(params.default[c])))
             .drop("__v", "__e")
         )

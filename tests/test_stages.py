@@ -73,3 +73,10 @@ def test_scored_table_may_lack_a_column(raw):
 def test_queries(spark, sf, name):
     state, n, _, diff = run_one(spark, oracle_connection(sf), sf, name, plans.QUERIES[name], plans.ORACLES.get(name))
     assert state in ("OK", "ROWS") and n > 0, diff
+
+
+def test_few_codes_do_not_gather_the_rows(raw):
+    """Rows stay dealt out beside a code: a shuffle by two categories would leave two tasks to all that follows."""
+    out = st.TargetEncode(inputCols=["t"]).fit(raw).transform(raw)
+    assert "exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    assert out.select("t_target_encoded").distinct().count() == 2
