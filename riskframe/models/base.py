@@ -146,11 +146,19 @@ def fit_model(
         params, df, valid = _stopped(df, label, params, weight, valid, col), df.filter(~F.col(valid)), None
     width = len(df.select(col).first()[0]) if kind == "mlp" else 0
     train = _vectors(df, label, weight, col, [valid] if valid else ())
-    fitted = _estimator(kind, params, width, bool(weight), valid).fit(train)
+    fitted = _without_summary(_estimator(kind, params, width, bool(weight), valid).fit(train), df)
     state = {"layers": [width, *params.get("hidden", [16, 8]), 2]} if kind == "mlp" else {}
     return Model(kind, PipelineModel([fitted]), state, col=col)
 
 
+def _without_summary(fitted, df: DataFrame):
+    """The fitted model alone. Its training summary holds the session, which would go out with every task that scores, and
+    cannot once an ``Observation`` ran in it. Spark drops the summary on saving; in place it takes this call."""
+    if getattr(fitted, "hasSummary", False):
+        fitted._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return fitted
+
+
 def _stopped(df: DataFrame, label: str, params: dict, weight: str | None, valid: str, col: str) -> dict:
     """The settings with ``rounds`` cut at the best validation loss before ``patience`` rounds passed without a gain.
 

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskframe.models import ensembles, network, search
@@ -36,6 +37,19 @@ def test_better_than_chance(planted, kind):
     assert 0 <= lo <= hi <= 1
 
 
+@pytest.mark.parametrize("kind", ["logreg", "linsvc", "rf", "mlp"])
+def test_scores_where_the_session_has_watched_rows(spark, kind):
+    """An Observation makes its session unfit to be sent; a training summary would take that session along with every task."""
+    own, seen = spark.newSession(), Observation("rows")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    rows = own.createDataFrame([(i, [float(i % 7), float(i % 3)], int(i % 7 > 3)) for i in range(60)], "id long, features array<double>, target int")
+    assert len(rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()) == seen.get["n"] == 60
+    m = fit_model(rows, "target", kind, SMALL.get(kind))
+    got = {r.id: r.p for r in m.score(rows).collect()}
+    assert len(got) == 60 and not m.ml.hasSummary
+    assert min(p for i, p in got.items() if i % 7 > 3) > max(p for i, p in got.items() if i % 7 <= 3)
+
+
 def test_unknown_kind(planted):
     with pytest.raises(ValueError):
         fit_model(planted, "target", "svm_rbf")
