@@ -525,6 +525,20 @@ def test_near_duplicates(spark, copies, common, part, block, monkeypatch):
     assert Counter(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect())) == _brute(copies)
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """12 of 24,000 texts hold one passage: 4 of every 8,000, however the rows are dealt."""
+    passage = "five words that come back"
+    own = F.concat_ws(" ", *[F.concat(F.lit(w), "id") for w in "vwxyz"])
+    padded = F.concat(F.lit(passage), F.expr("repeat(' ', cast(id / 2000 as int))"))
+    docs = spark.range(24_000).select(F.when(F.col("id") % 2000 == 7, padded).otherwise(own).alias("text"))
+    one, two = (int(at[0]) for at in pt._counters(pt.shingles([passage], pt.SHINGLE)[0]))
+    for parts, flush in ((3, pt.FLUSH), (7, 500)):
+        monkeypatch.setattr(pt, "FLUSH", flush)
+        level = pt._common(docs.repartition(parts), 24_000)
+        assert level[0, one] == level[1, two] == 1 + 8 * 2
+        assert 0 < np.count_nonzero(level[0]) < 10
+
+
 def test_near_duplicate_edges(spark, edge, edge_rows, empty):
     want = _brute([r[:2] for r in edge_rows])
     assert Counter(map(tuple, pt.near_duplicates(edge).collect())) == want
