@@ -293,3 +293,17 @@ def test_impute_in_rounds(spark, monkeypatch):
     got = sorted(map(tuple, clean.knn_impute(df, df, cols, 3, broadcast_bytes=0, block_rows=20).collect()))
     assert [g[0] for g in got] == [w[0] for w in want]
     assert np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-9)
+
+
+def test_fill_within_bounds_is_the_fill_cut_at_them():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 5))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[:20] = np.nan
+    bound = np.where(rng.random((300, 5)) < 0.1, np.inf, rng.random((300, 5)) * 2)
+    order = np.arange(600)
+    pairs = lambda got: sorted(zip(*(z.tolist() for z in got)))
+    free = clean.masked_nearest(x[:300], x[300:], order, 4)
+    near = free[3] <= bound[free[0], free[1]]
+    assert near.any() and not near.all()
+    assert pairs(clean.masked_nearest(x[:300], x[300:], order, 4, bound)) == pairs([z[near] for z in free])
